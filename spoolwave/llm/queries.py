@@ -27,8 +27,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from spoolwave.llm.bpe_trie import digests
+
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op4_source_mix, op7_simhash)}
+    return {f.__name__: f for f in (op2_secret_scan, op4_source_mix, op7_simhash, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
