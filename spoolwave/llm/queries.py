@@ -15,12 +15,24 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolwave.llm.line_crf import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoolwave.llm.source_mix import mix
 
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op6_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolwave.llm.weak_rules import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoolwave.llm.simhash import near_duplicates
 
@@ -36,7 +48,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op4_source_mix, op7_simhash, op9_bpe)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_line_crf, op4_source_mix, op6_weak_rules, op7_simhash, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

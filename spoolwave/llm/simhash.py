@@ -2,28 +2,25 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import SPACE_CLASS, checkpoint, map_batches, text_col
+from spoolwave.llm.common import checkpoint, map_batches, text_col
 from spoolwave.llm.components import connected_components
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-_WORDS = re.compile(rf"[^{SPACE_CLASS}]+".encode())
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 16
 
 
 def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
     """XXH64 of every word shingle in order, repeats included; fewer words than the width: one shingle of all; none: empty."""
-    words = _WORDS.findall(text.encode("utf-8").translate(_LOWER))
+    words = text.encode("utf-8").translate(_LOWER).split()  # bytes split at the six ASCII white-space characters
     if not words:
         return np.empty(0, np.uint64)
     joined = b" ".join(words)
