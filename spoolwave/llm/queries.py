@@ -39,6 +39,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolwave.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,10 +54,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_line_crf, op4_source_mix, op6_weak_rules, op7_simhash, op9_bpe)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_line_crf, op4_source_mix, op6_weak_rules, op7_simhash, op8_warc, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from spoolwave.llm import secret_scan, source_mix
+    from spoolwave.llm import secret_scan, source_mix, warc
 
-    return {"op2_secret_scan": secret_scan.ORACLE_SQL, "op4_source_mix": source_mix.ORACLE_SQL}
+    return {"op2_secret_scan": secret_scan.ORACLE_SQL, "op4_source_mix": source_mix.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
