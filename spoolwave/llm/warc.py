@@ -105,7 +105,7 @@ class WarcWriter(DataSourceArrowWriter):
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload"))):
                 if out is None:
                     name, at, marks = f"{uuid.uuid4().hex}.warc.gz", 0, [0]
-                    out = fs.open_output_stream(f"{base}/{name}")
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 data = member(record(*row))
                 out.write(data)
                 at += len(data)
