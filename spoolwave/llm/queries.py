@@ -53,8 +53,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolwave.llm.embed_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_line_crf, op4_source_mix, op6_weak_rules, op7_simhash, op8_warc, op9_bpe)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_line_crf, op4_source_mix, op6_weak_rules, op7_simhash, op8_warc, op9_bpe, op10_embed_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
