@@ -27,6 +27,12 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op5_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolwave.llm.wrapper import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoolwave.llm.weak_rules import judge
 
@@ -60,7 +66,7 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_line_crf, op4_source_mix, op6_weak_rules, op7_simhash, op8_warc, op9_bpe, op10_embed_dedup)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_line_crf, op4_source_mix, op5_wrapper, op6_weak_rules, op7_simhash, op8_warc, op9_bpe, op10_embed_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
