@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from spoolwave.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spoolwave.llm.suffix_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spoolwave.llm.secret_scan import scan
 
@@ -66,7 +72,7 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_secret_scan, op3_line_crf, op4_source_mix, op5_wrapper, op6_weak_rules, op7_simhash, op8_warc, op9_bpe, op10_embed_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_secret_scan, op3_line_crf, op4_source_mix, op5_wrapper, op6_weak_rules, op7_simhash, op8_warc, op9_bpe, op10_embed_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
