@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import WORD, text_col
+from spoolwave.llm.common import SPACE_CLASS, WORD, text_col
 
 #: Key ranges per source. A prefix sum runs inside one range; a task sees 1/RANGES of a source, however large the source is.
 RANGES = 4096
@@ -106,7 +106,9 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFr
     names = docs.columns
     taken = mix(docs, quality, carry=True).where("taken > 0")
     copies = taken.withColumn("_cut", F.explode(F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), i -> least(size, taken - (i - 1) * size))")))
-    body = F.when(F.col("_cut") < F.col("size"), F.regexp_substr(F.col("doc.text"), F.concat(F.lit(rf"^(?s:.)*?(?:{WORD}[\x20\x09-\x0D]*+)"), F.lit("{"), F.col("_cut").cast("string"), F.lit("}")))).otherwise(F.col("doc.text"))
+    # words with the space before them, laid end to end again: a pattern that counts would recurse once per word
+    words = F.regexp_extract_all(F.col("doc.text"), F.lit(rf"[{SPACE_CLASS}]*{WORD}"), F.lit(0))
+    body = F.when(F.col("_cut") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("_cut").cast("int")), "")).otherwise(F.col("doc.text"))
     out = copies.select("doc.*", body.alias("_body"))
     for name, value in (("text", F.col("_body")), ("n_chars", F.length("_body").cast(dict(docs.dtypes).get("n_chars", "bigint")))):
         if name in names:
