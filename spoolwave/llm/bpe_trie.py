@@ -15,13 +15,13 @@ from spoolwave.llm.common import map_batches, text_col
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_END = None
 _SHORT = (2, 1)
-#: Words whose encodings a worker keeps between batches; the table is emptied beyond that, which bounds memory.
-CACHED_WORDS = 1_000_000
-PAIRS = 2_000_000
-#: Longer words are walked on their own: a path that long shares little, and its prefixes would take quadratic space.
-LONG_WORD = 1024
+#: Words of the young table of a worker. A full one becomes the old table, whose words return when met again; the old one
+#: before it is dropped. That bounds memory and keeps the frequent words.
+CACHED_WORDS = 250_000
+#: Words of one trie; a larger batch is walked as several tries of neighbouring words.
+TRIE_WORDS = 16_384
+PAIRS = 300_000
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -109,65 +109,54 @@ class Vocabulary:
 def encode_words(vocab: Vocabulary, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
     """Encodings of distinct words: all go into one trie, and one depth-first walk hands each node its last token.
 
-    What two words share at their start is a path of the trie, so it is encoded once. The walk keeps one token per depth.
+    What two words share at their start is a path of the trie, so it is encoded once. A word that shares nothing further is a
+    leaf, whose rest is walked without nodes. The walk keeps one token per depth.
     """
-    root: dict = {}
+    root: dict[bytes, dict | bytes] = {}
     for word in words:
-        if len(word) > LONG_WORD:
-            yield word, _encode_alone(vocab, word)
-            continue
-        node = root
-        for i in range(len(word)):
-            node = node.setdefault(word[i : i + 1], {})
-        node[_END] = word
+        node, i = root, 0
+        while True:
+            b = word[i : i + 1]  # empty where the word ends
+            have = node.get(b)
+            if have is None:
+                node[b] = word
+                break
+            if type(have) is bytes:  # a leaf makes room for a node
+                have = node[b] = {have[i + 1 : i + 2]: have}
+            node, i = have, i + 1
     ids, ends, valid, known = vocab.ids.get, vocab.ends.get, vocab.valid, vocab._valid.get
     last: list[int] = [0]
     size: list[int] = [0]
-    stack = [(b, node) for b, node in root.items()]
+    stack: list[tuple[int, bytes, dict | bytes]] = [(1, b, child) for b, child in root.items()]
     while stack:
-        prefix, node = stack.pop()
-        depth = len(prefix)
+        depth, prefix, child = stack.pop()
         del last[depth:], size[depth:]
-        for n in ends(prefix[-3:], _SHORT):
-            if n > depth:
-                continue
-            token = ids(prefix[depth - n :])
-            if token is not None and (n == depth or known((before := last[depth - n], token)) or valid(before, token)):
-                break
-        else:
-            raise ValueError("no token ends here")
-        last.append(token)
-        size.append(n)
-        for key, child in node.items():
-            if key is _END:
-                found, at = [], depth
-                while at:
-                    found.append(last[at])
-                    at -= size[at]
-                found.reverse()
-                yield child, found
+        leaf = type(child) is bytes
+        if leaf:
+            prefix = child
+        for d in range(depth, len(prefix) + 1):
+            for n in ends(prefix[d - 3 if d > 3 else 0 : d], _SHORT):
+                if n < d:
+                    token = ids(prefix[d - n : d])
+                    if token is not None and (known((before := last[d - n], token)) or valid(before, token)):
+                        break
+                elif n == d:
+                    token = ids(prefix[:d])
+                    if token is not None:
+                        break
             else:
-                stack.append((prefix + key, child))
-
-
-def _encode_alone(vocab: Vocabulary, word: bytes) -> list[int]:
-    """The same walk along one word."""
-    ids, ends, valid = vocab.ids.get, vocab.ends.get, vocab.valid
-    last, size = [0], [0]
-    for depth in range(1, len(word) + 1):
-        for n in ends(word[max(0, depth - 3) : depth], _SHORT):
-            token = ids(word[depth - n : depth]) if n <= depth else None
-            if token is not None and (n == depth or valid(last[depth - n], token)):
-                break
+                raise ValueError("no token ends here")
+            last.append(token)
+            size.append(n)
+        if leaf:
+            found, at = [], len(prefix)
+            while at:
+                found.append(last[at])
+                at -= size[at]
+            found.reverse()
+            yield child, found
         else:
-            raise ValueError("no token ends here")
-        last.append(token)
-        size.append(n)
-    found, at = [], len(word)
-    while at:
-        found.append(last[at])
-        at -= size[at]
-    return found[::-1]
+            stack += [(depth + 1, prefix + b, below) for b, below in child.items()]
 
 
 class Encoder:
@@ -175,7 +164,9 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.vocab = Vocabulary(path)
-        self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, str] = {}  # decoded text of words that do not come back as they were
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.vocab.added, key=len, reverse=True)) + ")") if self.vocab.added else None
 
@@ -185,24 +176,36 @@ class Encoder:
         return [w for i, part in enumerate(self.cut.split(text)) for w in ([part] if i % 2 else self.split(part))]
 
     def learn(self, words: set[str]) -> None:
-        """Fill the table for these words: token count, ids joined by commas, decoded bytes."""
-        new = {w.encode("utf-8"): w for w in words if w not in self.words and w not in self.vocab.added}
-        for raw, found in encode_words(self.vocab, new):
-            self.words[new[raw]] = (len(found), ",".join(map(str, found)), b"".join(map(self.vocab.bytes.__getitem__, found)))
-        for content, i in self.vocab.added.items():
-            self.words[content] = (1, str(i), self.vocab.bytes[i])
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
-        """Per text: token count, ids joined by commas, bytes that the ids decode to."""
+        """Put these words into the young table: ids joined by commas. What the ids decode to is compared with the word."""
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        new = []
+        for w in words.difference(self.young):
+            known = self.old.get(w)
+            if known is None:
+                new.append(w.encode("utf-8"))
+            else:
+                self.young[w] = known
+        new.sort()  # neighbours share their beginnings
+        added, table = self.vocab.added, self.vocab.bytes.__getitem__
+        for at in range(0, len(new), TRIE_WORDS):
+            for raw, found in encode_words(self.vocab, [w for w in new[at : at + TRIE_WORDS] if w.decode("utf-8") not in added]):
+                word = raw.decode("utf-8")
+                self.young[word] = ",".join(map(str, found))
+                if (back := b"".join(map(table, found))) != raw:
+                    self.odd[word] = back.decode("utf-8", "replace")
+        for content in words.intersection(added):
+            self.young[content] = str(added[content])
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Per text: token count, ids joined by commas, text that the ids decode to."""
         split = [self.pieces(t) for t in texts]
-        words = set().union(*split)
-        if len(self.words) + len(words) > CACHED_WORDS:
-            self.words.clear()
-        self.learn(words)
-        get = self.words.__getitem__
+        self.learn(set().union(*split))
+        get = self.young.__getitem__
         for parts in split:
-            rows = list(map(get, parts))
-            yield sum(r[0] for r in rows), ",".join([r[1] for r in rows]), b"".join([r[2] for r in rows])
+            ids = ",".join(map(get, parts))
+            decoded = "".join([self.odd.get(w, w) for w in parts] if self.odd else parts)
+            yield (ids.count(",") + 1 if ids else 0), ids, decoded
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -215,7 +218,7 @@ def encoder(path: str) -> Encoder:
 
 
 #: Characters that are split and encoded together, so that one walk serves many texts and memory stays bounded.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 
 
 def groups(texts: list[str]) -> Iterator[list[str]]:
@@ -241,9 +244,8 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc, rows = encoder(vocabulary), []
         for own in groups(batch.column(1).to_pylist()):
-            for n, ids, raw in enc.encode(own):
-                decoded = raw.decode("utf-8", "replace").encode("utf-8")
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            for n, ids, decoded in enc.encode(own):
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
         n, ids, dec = zip(*rows)
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
