@@ -21,7 +21,7 @@ def _written(spark, sf) -> str:
     return path
 
 
-@query("s57_template_source", "select vec_id as sample, (round(embedding[4]::double * 8192) * 0.25)::float as c3, (round(embedding[1]::double * 8192) * 0.25)::float as c0 from embeddings")
+@query("s57_template_source", "select vec_id as sample, (round(embedding[4]::double * 8192)::bigint * 0.25::double)::float as c3, (round(embedding[1]::double * 8192)::bigint * 0.25::double)::float as c0 from embeddings")
 def s57(spark, sf):
     rows = spark.read.format("recording").option("channels", "3,0").option("scaled", "true").load(_written(spark, sf))
     return rows.select("sample", F.element_at("values", 1).alias("c3"), F.element_at("values", 2).alias("c0"))
