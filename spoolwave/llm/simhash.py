@@ -96,5 +96,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each near-duplicate group left, that of the smallest doc_id; columns unchanged."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    # one key without nulls serves the join and the removal of repeated ids, so texts are shuffled once
+    key = lambda c: F.coalesce(c.cast("bigint").cast("string"), F.lit("null"))
+    kept = near_duplicates(docs).where("doc_id <=> component_id").select(key(F.col("doc_id")).alias("_key")).distinct()
+    return docs.withColumn("_key", key(docs["doc_id"])).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

@@ -70,14 +70,17 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, carry: bool = False)
     else:
         base = base.withColumn("_w", F.lit(1.0))
     keyed = base.withColumn("_key", sampling_key(F.col("doc_id"), F.col("_w"))).withColumn("_range", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * RANGES))
-    within = Window.partitionBy("source", "_range").orderBy("_key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    # a source key without nulls, so that the join below finds the rows where the window has put them
+    keyed = keyed.withColumn("_s", _source_key())
+    within = Window.partitionBy("_s", "_range").orderBy("_key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     keyed = keyed.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     # one row per source and range, at most RANGES + 1 a source
     per_range = base_ranges(docs, quality)
     ahead = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
-    offsets = offsets.join(totals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_ahead", "source_size", "target")
-    out = keyed.join(offsets, keyed["source"].eqNullSafe(offsets["_s"]) & (keyed["_range"] == offsets["_r"]))
+    offsets = offsets.withColumn("_s", _source_key()).drop("source")
+    offsets = offsets.join(totals.withColumn("_s", _source_key()).drop("source"), "_s")
+    out = keyed.join(offsets, ["_s", "_range"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.round(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("bigint")
     part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), F.col("_rest") - F.col("_ahead") - F.col("_before")))
@@ -86,6 +89,10 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, carry: bool = False)
     return out.select(*cols, *(["doc"] if carry else []))
 
 
+def _source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+
+
 def base_ranges(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
     """(source, _range, _sum): words per key range, from a pass over ids, sources and sizes alone."""
     base = docs.select("doc_id", "source", word_count(text_col()).alias("size"))
