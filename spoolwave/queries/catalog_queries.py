@@ -445,6 +445,6 @@ def s19(spark, sf):
     return table(spark, sf, "lineitem").where("l_quantity > 45").groupBy("l_suppkey", "l_linenumber").agg(F.transform(ordered, lambda s: s["l_orderkey"]).alias("files"))
 
 
-@query("s63_checked_bytes", "select sum(length(html)) as bytes from pages where length(html) > 1000")
+@query("s63_checked_bytes", "select sum(length(html))::bigint as bytes from pages where length(html) > 1000")
 def s63(spark, sf):
     return table(spark, sf, "pages").where("length(html) > 1000").agg(F.sum(F.length("html").cast("bigint")).alias("bytes"))

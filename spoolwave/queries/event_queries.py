@@ -31,7 +31,7 @@ def _word(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TRANS = f"""t as (select user_id, us, w, coalesce(lag(w) over (partition by user_id order by us), 0) as p from {WORDS}),
-r as (select user_id, us, b as bit, (w >> b) & 1 = 1 as rising from t, (select unnest(range(16)) as b) where ((w >> b) & 1) <> ((p >> b) & 1)),
+r as (select user_id, us, b::int as bit, (w >> b) & 1 = 1 as rising from t, (select unnest(range(16)) as b) where ((w >> b) & 1) <> ((p >> b) & 1)),
 f as (select user_id, min(us) as first from {EV} group by 1),
 k as (select r.* from r join f using (user_id) where not ((select 1) is null) and (user_id, bit) not in (select (user_id, bit) from (select user_id, bit, count(*) as n, min(us) as m from r group by 1, 2) join f using (user_id) where n = 1 and m = first))"""
 

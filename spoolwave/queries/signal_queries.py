@@ -10,7 +10,7 @@ from spoolwave.operators import integrity, sections, signal, units
 from spoolwave.plans.tables import micros, table
 from spoolwave.queries.registry import query
 
-LONG = "(select vec_id as sample, unnest(range(0, len(embedding))) as channel, unnest(embedding)::double as value from embeddings)"
+LONG = "(select vec_id as sample, unnest(range(0, len(embedding)))::int as channel, unnest(embedding)::double as value from embeddings)"
 ENVELOPE = f"(select channel, ((sample - 100) * 33) // 300 as col, min(value) as lo, max(value) as hi from {LONG} where sample >= 100 and sample < 400 and not isnan(value) group by 1, 2)"
 
 
@@ -96,7 +96,7 @@ def n21(spark, sf):
 
 @query(
     "a17_shortest",
-    """with r as (select l_suppkey, l_returnflag, l_orderkey, row_number() over (partition by l_suppkey, l_returnflag order by l_orderkey, l_linenumber, l_extendedprice, l_quantity) - 1 as k from lineitem),
+    """with r as (select l_suppkey, l_returnflag, l_orderkey, row_number() over (partition by l_suppkey, l_returnflag order by l_orderkey, l_linenumber, l_extendedprice, l_quantity)::int - 1 as k from lineitem),
     m as (select l_suppkey, min(n) as n from (select l_suppkey, l_returnflag, count(*) as n from lineitem group by 1, 2) group by 1)
     select r.l_suppkey, r.l_returnflag, r.k, r.l_orderkey from r join m using (l_suppkey) where r.k < m.n""",
 )
@@ -128,7 +128,7 @@ def a04(spark, sf):
     return units.ragged_index(table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")), ["user_id"], "n")
 
 
-@query("a05_units", "select channel, sort_code, row_number() over (order by channel, sort_code) - 1 as unit from (select distinct (vec_id % 8)::int as channel, label as sort_code from embeddings where label <> 0)")
+@query("a05_units", "select channel, sort_code, row_number() over (order by channel, sort_code)::int - 1 as unit from (select distinct (vec_id % 8)::int as channel, label as sort_code from embeddings where label <> 0)")
 def a05(spark, sf):
     s = _signal(spark, sf).select((F.col("sample") % 8).cast("int").alias("channel"), F.col("label").alias("sort_code"))
     return units.units(s)
