@@ -50,8 +50,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return t.select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("w"))).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame | None = None, carry: bool = False) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), one row per input row; with carry, the input's columns too (as struct doc).
+def mix(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), one row per input row; small columns of the input named in keep come along.
 
     taken counts words: whole epochs of the source first, then a fractional pass in which documents are ordered by their
     sampling key and taken while the running sum stays within what is left of the target. The document that crosses the
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, carry: bool = False)
     size; equal rows are interchangeable. Empty input gives an empty result.
     """
     base = docs.select(
-        F.col("doc_id"), F.col("source").alias("source"), word_count(text_col()).alias("size"), *([F.struct(*[docs[c] for c in docs.columns]).alias("doc")] if carry else [])
+        F.col("doc_id"), F.col("source").alias("source"), word_count(text_col()).alias("size"), *keep
     )
     totals = targets(docs.select("source", word_count(text_col()).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")))
     if quality is not None:
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, carry: bool = False)
     part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), F.col("_rest") - F.col("_ahead") - F.col("_before")))
     out = out.withColumn("_epochs", epochs).withColumn("_rest", rest)
     cols = ["doc_id", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + part).alias("taken")]
-    return out.select(*cols, *(["doc"] if carry else []))
+    return out.select(*cols, *keep)
 
 
 def _source_key() -> Column:
@@ -109,18 +109,22 @@ def base_ranges(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
-    """The mix as documents: a row for each whole copy taken, and one cut after its words for the document that crosses a target."""
-    names = docs.columns
-    taken = mix(docs, quality, carry=True).where("taken > 0")
-    copies = taken.withColumn("_cut", F.explode(F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), i -> least(size, taken - (i - 1) * size))")))
+    """The mix as documents: a row for each whole copy taken, and one cut after its words for the document that crosses a target.
+
+    The mix is made on ids, digests and sizes; texts are shuffled once, to meet what is taken of them. Rows that are equal in id
+    and text share what they take, so one of them stands for all.
+    """
+    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("_digest", F.md5(text_col()))
+    taken = mix(own, quality, ("_id", "_digest")).groupBy("_id", "_digest").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size")).where("_taken > 0")
+    one = own.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_id"))).where("_n = 1")
+    copies = one.join(taken, ["_id", "_digest"]).withColumn("_cut", F.explode(F.expr("transform(sequence(1, cast(ceil(_taken / _size) as int)), i -> least(_size, _taken - (i - 1) * _size))")))
     # words with the space before them, laid end to end again: a pattern that counts would recurse once per word
-    words = F.regexp_extract_all(F.col("doc.text"), F.lit(rf"[{SPACE_CLASS}]*{WORD}"), F.lit(0))
-    body = F.when(F.col("_cut") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("_cut").cast("int")), "")).otherwise(F.col("doc.text"))
-    out = copies.select("doc.*", body.alias("_body"))
-    for name, value in (("text", F.col("_body")), ("n_chars", F.length("_body").cast(dict(docs.dtypes).get("n_chars", "bigint")))):
-        if name in names:
-            out = out.withColumn(name, value)
-    return out.select(*names)
+    words = F.regexp_extract_all(F.col("text"), F.lit(rf"[{SPACE_CLASS}]*{WORD}"), F.lit(0))
+    cut = F.col("_cut") < F.col("_size")
+    out = copies.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_cut").cast("int")), "")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 #: The same mix in DuckDB: direct running sums per source, the water level by its definition over all prefixes.
