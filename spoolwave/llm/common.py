@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def plain(df: DataFrame, *needed: str) -> DataFrame:
+    """df with every column but the needed ones under a neutral name, so that no extra column (whatever its name or case, even
+    a second one of the same name) clashes with what an operator adds. Columns keep their order."""
+    names, left = [], set(needed)
+    for i, n in enumerate(df.columns):
+        names.append(n if n in left else f"extra_{i}")
+        left.discard(n)
+    return df.toDF(*names)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; in tests (setting absent) one is made and recorded."""
     base = spark.conf.get("spark.checkpoint.dir", None)

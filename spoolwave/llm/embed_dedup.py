@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import checkpoint, map_batches
+from spoolwave.llm.common import checkpoint, map_batches, plain
 from spoolwave.llm.components import connected_components
 
 THRESHOLD = 0.9
@@ -109,6 +109,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     different lengths are never linked. Repeated rows are further vectors of their class. Labels and other columns are not
     read. An empty table gives an empty result.
     """
+    vectors = plain(vectors, "vec_id", "embedding")
     kind = dict(vectors.dtypes)["embedding"]
     code = "<f4" if kind == "array<float>" else "<f8"
     rows = checkpoint(map_batches(vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding"), lambda b: _valid(b, code), "vec_id bigint, vec binary"))

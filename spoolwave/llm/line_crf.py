@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import map_batches, text_col
+from spoolwave.llm.common import map_batches, plain, text_col
 
 #: Bound of the training sample (documents) and of the lines of one document that take part in training.
 TRAIN_DOCS = 4000
@@ -204,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Model
     Labels outside 0 and 1, null labels and null ids are left out; of repeated labels the least counts. Only line features
     of that sample reach the driver. Without labels of both kinds, the model scores every text alike.
     """
+    docs, labels = plain(docs, "doc_id", "text"), plain(labels, "doc_id", "quality")
     picked = (
         labels.where("doc_id is not null and quality in (0, 1)")
         .groupBy(F.col("doc_id").alias("_label_id"))
@@ -247,6 +248,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         out = [i is not None and held_out(i) for i in ids.to_pylist()]
         return pa.RecordBatch.from_arrays([ids, pa.array(out, pa.bool_()), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
+    docs = plain(docs, "doc_id", "text")
     return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_col().alias("text")), run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 

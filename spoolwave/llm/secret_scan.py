@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import text_col
+from spoolwave.llm.common import plain, text_col
 
 #: Kind, pattern, least length of the match, least length of group 1 (0: no group). The first three are base kinds.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -70,7 +70,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Null text is empty and has no spans; a null doc_id is kept. An empty table gives an empty result.
     """
-    own = docs.select("doc_id", text_col().alias("text"), F.monotonically_increasing_id().alias("_row"))
+    own = plain(docs, "doc_id", "text").select("doc_id", text_col().alias("text"), F.monotonically_increasing_id().alias("_row"))
     found = spans(own, ["_row", "doc_id"])
     names = F.create_map(*[x for k, spec in enumerate(KINDS) for x in (F.lit(k), F.lit(spec[0]))])
     ordered = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", "kind", F.concat_ws(":", names[F.col("kind")], "start", "end").alias("said")))))
@@ -82,6 +82,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every reported span replaced by a mark (overlapping spans by one), n_chars following; other rows unchanged."""
+    given, docs = docs.columns, plain(docs, "doc_id", "text", "n_chars")
     digest = F.md5(text_col("text"))
     keyed = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), digest.alias("_digest"))
     found = spans(keyed, ["doc_id", "_digest"]).where("kind is not null")
@@ -100,7 +101,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     joined = joined.withColumn("text", clean)
     if "n_chars" in names:
         joined = joined.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return joined.select(*names)
+    return joined.select(*names).toDF(*given)
 
 
 def _oracle() -> str:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import checkpoint, map_batches, text_col
+from spoolwave.llm.common import checkpoint, map_batches, plain, text_col
 from spoolwave.llm.components import connected_components
 
 SHINGLE = 3
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         fps = np.array([fingerprint(shingle_hashes(t)) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps)], names=["id", "fp"])
 
+    docs = plain(docs, id_col, text)
     return map_batches(docs.select(F.col(id_col).cast("bigint").alias("id"), text_col(text).alias("text")), run, "id bigint, fp bigint")
 
 
@@ -96,7 +97,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each near-duplicate group left, that of the smallest doc_id; columns unchanged."""
+    names, docs = docs.columns, plain(docs, "doc_id", "text")
     # one key without nulls serves the join and the removal of repeated ids, so texts are shuffled once
     key = lambda c: F.coalesce(c.cast("bigint").cast("string"), F.lit("null"))
     kept = near_duplicates(docs).where("doc_id <=> component_id").select(key(F.col("doc_id")).alias("_key")).distinct()
-    return docs.withColumn("_key", key(docs["doc_id"])).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return docs.withColumn("_key", key(docs["doc_id"])).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns).toDF(*names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import SPACE_CLASS, WORD, text_col
+from spoolwave.llm.common import SPACE_CLASS, WORD, plain, text_col
 
 #: Key ranges per source. A prefix sum runs inside one range; a task sees 1/RANGES of a source, however large the source is.
 RANGES = 4096
@@ -58,10 +58,11 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...]
     target gives only the words that still fit, so a source's taken words equal its target rounded to a word.
     quality(doc_id, quality) sets weights: the mean quality q of a document gives 0.5 + 1.5 q, none gives 1.
     Null text has size 0 and takes 0. Null sources are one source, the last. Ties in the key (repeated ids) are ordered by
-    size; equal rows are interchangeable. Empty input gives an empty result.
+    size and text; equal rows are interchangeable. Empty input gives an empty result.
     """
+    docs = plain(docs, "doc_id", "text", "source", *keep)
     base = docs.select(
-        F.col("doc_id"), F.col("source").alias("source"), word_count(text_col()).alias("size"), *keep
+        F.col("doc_id"), F.col("source").alias("source"), word_count(text_col()).alias("size"), F.xxhash64("text").alias("_tie"), *keep
     )
     totals = targets(docs.select("source", word_count(text_col()).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")))
     if quality is not None:
@@ -72,7 +73,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...]
     keyed = base.withColumn("_key", sampling_key(F.col("doc_id"), F.col("_w"))).withColumn("_range", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * RANGES))
     # a source key without nulls, so that the join below finds the rows where the window has put them
     keyed = keyed.withColumn("_s", _source_key())
-    within = Window.partitionBy("_s", "_range").orderBy("_key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_s", "_range").orderBy("_key", "size", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     keyed = keyed.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     # one row per source and range, at most RANGES + 1 a source
     per_range = base_ranges(docs, quality)
@@ -114,6 +115,7 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFr
     The mix is made on ids, digests and sizes; texts are shuffled once, to meet what is taken of them. Rows that are equal in id
     and text share what they take, so one of them stands for all.
     """
+    names, docs = docs.columns, plain(docs, "doc_id", "text", "source", "n_chars")
     own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("_digest", F.md5(text_col()))
     taken = mix(own, quality, ("_id", "_digest")).groupBy("_id", "_digest").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size")).where("_taken > 0")
     one = own.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_id"))).where("_n = 1")
@@ -124,7 +126,7 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFr
     out = copies.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_cut").cast("int")), "")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*names)
 
 
 #: The same mix in DuckDB: direct running sums per source, the water level by its definition over all prefixes.

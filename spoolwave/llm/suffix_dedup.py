@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import text_col
+from spoolwave.llm.common import plain, text_col
 
 WINDOW = 50
 K = 20
@@ -107,12 +107,14 @@ def runs(a: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class Batch:
-    """Documents of one group in order of id, laid end to end."""
+    """Documents of one group in order of id and text, laid end to end."""
 
     def __init__(self, t: pa.Table) -> None:
-        order = np.argsort(t.column("id").to_numpy(), kind="stable")
-        self.ids = t.column("id").to_numpy()[order]
+        ids = t.column("id").to_pylist()
         raw = [x.encode("utf-8") for x in t.column("text").to_pylist()]
+        # texts break ties: the order must not follow that in which rows arrive, which a retry may change
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], raw[i]))
+        self.ids = np.array([ids[i] for i in order], np.int64)
         raw = [raw[i] for i in order]
         self.lengths = np.array([len(x) for x in raw], np.int64)
         self.buf = b"".join(raw)
@@ -451,6 +453,7 @@ def removed_bytes(docs: pa.Table, answers: pa.Table, buckets: int) -> tuple[np.n
 
 def _exchange(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Documents by batch, answers by batch and bucket, and the number of buckets. Batches are chosen by the rows' content."""
+    docs = plain(docs, "doc_id", "text")
     size = docs.agg(F.sum(F.octet_length(text_col()).cast("bigint"))).first()[0] or 0
     batches, buckets = max(1, -(-size // BATCH_BYTES)), max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_DOC))).alias("id"), text_col().alias("text"))

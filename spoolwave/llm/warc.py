@@ -35,7 +35,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from spoolwave.llm.common import scratch_path
+from spoolwave.llm.common import plain, scratch_path
 
 SCHEMA = (
     "record_type string, record_id string, date string, target_uri string, payload_digest string, payload_bytes bigint, content_length bigint,"
@@ -353,6 +353,7 @@ def as_records(pages: DataFrame) -> DataFrame:
     Rows that also share the least page_id are all responses; without any page_id in such a group all are. The table of
     shared payloads holds one row per digest that occurs twice, counted before the shuffle.
     """
+    pages = plain(pages, "page_id", "url", "html")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url"), payload.alias("payload"))
     own = own.withColumn("payload_digest", F.sha2("payload", 256))

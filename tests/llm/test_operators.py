@@ -608,3 +608,43 @@ def test_op10_bounds_hold():
     for t in (0.1, 0.5, 0.9):
         i, j = linked(x, x, t)
         assert set(zip(i.tolist(), j.tolist())) == set(zip(*[a.tolist() for a in np.nonzero(exact >= t)]))
+
+
+# extra columns
+
+
+CLASH = ["Text", "fp", "id", "_key", "_digest", "_id", "_n", "_cut", "_cuts", "size", "source_size", "target", "g", "kind", "start", "score", "TAKEN", "bucket", "value", "cid", "component", "host", "payload", "seg", "_size"]
+
+
+def clash(df):
+    for n in CLASH:
+        df = df.select("*", F.lit(1).alias(n))
+    return df.select("*", F.lit("again").alias("text") if "text" in df.columns else F.lit("again").alias("html"))
+
+
+def same(a, b):
+    key = lambda rows: sorted(map(str, (tuple(r) for r in rows)))
+    assert key(a.collect()) == key(b.collect())
+
+
+def test_extra_columns_change_nothing(spark):
+    import public_tokenizers
+
+    from spoolwave.llm import bpe_trie, embed_dedup, line_crf, secret_scan, simhash, source_mix, suffix_dedup, warc, weak_rules, wrapper
+
+    rng = random.Random(20)
+    rows = [(i, words(rng, 60) + (" token=abcdef123" if i % 3 else "###"), f"s{i % 3}") for i in range(24)] + [(None, None, None), (3, "", "s1")]
+    d = docs(spark, rows).cache()
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(24)], "doc_id bigint, quality int")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for op in (suffix_dedup.dedup, secret_scan.scan, simhash.near_duplicates, source_mix.mix, weak_rules.judge, lambda x: line_crf.classify(x, labels), lambda x: bpe_trie.digests(x, path)):
+        same(op(clash(d)), op(d))
+    for stage in (simhash.drop_near_duplicates, secret_scan.redact, source_mix.mixed_documents):
+        out = stage(clash(d))
+        assert out.columns == clash(d).columns
+        same(out.toDF(*[f"c{i}" for i in range(len(out.columns))]).select(*[f"c{i}" for i in range(5)]), stage(d))
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>Page {i}</p>") for i in range(4)], PAGE)
+    same(wrapper.extract(clash(pages)), wrapper.extract(pages))
+    same(warc.round_trip(clash(pages)), warc.round_trip(pages))
+    v = spark.createDataFrame([(i, [1.0, float(i % 2)], 0) for i in range(6)], VEC)
+    same(embed_dedup.near_duplicates(clash(v.withColumn("text", F.lit("x")))), embed_dedup.near_duplicates(v))
