@@ -94,3 +94,40 @@ def test_streaming_windows(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.sql("select max(hi) from env").first()[0] == 6.0 and spark.sql("select records from sec").first()[0] == 60
+
+
+def test_zarr_store(spark, source, tmp_path):
+    import gzip
+
+    from spoolwave.sources import zarr
+
+    chunks = stretches.read(stretches.split(source, 7))
+    path = f"file://{tmp_path}/z"
+    catalog = zarr.write(chunks, path, rows=32)
+    assert sorted(tuple(r) for r in catalog.collect()) == [(n, 100, 2) for n in ("EMG1", "Skip", "Temp")]
+    meta = json.loads((tmp_path / "z" / "Temp" / "zarr.json").read_text())
+    assert meta["shape"] == [100, 2] and meta["chunk_grid"]["configuration"]["chunk_shape"] == [32, 2]
+    first = np.frombuffer(gzip.decompress((tmp_path / "z" / "Temp" / "c" / "1" / "0").read_bytes()), "<f4").reshape(32, 2)
+    assert (first == np.arange(200).reshape(100, 2)[32:64]).all()
+    back = {(r.recording, r.channel, r.sample): r.value for r in stretches.samples(zarr.read(spark, path)).collect()}
+    assert back == {(r.recording, r.channel, r.sample): r.value for r in stretches.samples(chunks).collect()}
+    with pytest.raises(FileExistsError):
+        zarr.write(chunks, path)
+    assert zarr.write(chunks.where("recording = 'Temp'"), path, overwrite=True).count() == 1 and not (tmp_path / "z" / "Skip").exists()
+    assert zarr.chunk_rows(384) == 6510 and zarr.chunk_rows(1, 30000, 1) == 30000
+
+
+def test_metadata_file(spark, tmp_path):
+    from spoolwave.plans import metadata, overlay
+
+    data = {"subject": {"id": "r1", "age": "P90D", "strain": ""}, "streams": {"*": {"include": True}, "Skip": {"include": False}}, "session": {"lab": None}}
+    path = f"file://{tmp_path}/m.json"
+    metadata.write(data, path)
+    back = metadata.read(path)
+    assert back == {"subject": {"id": "r1", "age": "P90D"}, "streams": {"*": {"include": True}, "Skip": {"include": False}}}
+    assert metadata.subject(back, {"species": "rat", "id": "old"}) == {"species": "rat", "id": "r1", "age": "P90D", "sex": "U", "age_reference": "birth"}
+    for bad in ({"other": {}}, {"streams": {"x": {"inclde": True}}}, {"subject": {"sex": "x"}}):
+        with pytest.raises(ValueError):
+            metadata.check(bad)
+    rec = spark.createDataFrame([("EMG",), ("Skip",)], "name string")
+    assert [r.name for r in overlay.resolve(rec, metadata.spec(spark, back))[0].collect()] == ["EMG"]
