@@ -24,7 +24,8 @@ K = 20
 MOST_RUN = 64
 #: Bytes of text in a batch of documents, and of text behind one bucket of an exchange.
 BATCH_BYTES = 16 << 20
-BUCKET_BYTES = 24 << 20
+LEAST_BATCH = 1 << 20
+BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 24
 #: Occurrences from which a hash counts as hot: its windows are then dealt one by one, by their whole content.
 HOT = 20_000
@@ -118,6 +119,7 @@ class Batch:
         raw = [raw[i] for i in order]
         self.lengths = np.array([len(x) for x in raw], np.int64)
         self.buf = b"".join(raw)
+        del raw
         self.bytes = np.frombuffer(self.buf, np.uint8)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths)))
         some = self.lengths > 0
@@ -403,17 +405,24 @@ def _finish(docs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     if not docs.num_rows:
         return pa.table({k: pa.array([], t) for k, t in _OUT})
     covered, b = removed_bytes(docs, answers, buckets)
-    total = np.concatenate(([0], np.cumsum(covered, dtype=np.int64)))
+    s, e = b.starts[:-1], b.starts[1:]
+    removed = _between(covered, s, e)
     opens = covered.copy()
     opens[1:] &= ~covered[:-1]
-    inner = b.starts[:-1][b.lengths > 0]
+    inner = s[b.lengths > 0]
     opens[inner] = covered[inner]
-    spans = np.concatenate(([0], np.cumsum(opens, dtype=np.int64)))
-    s, e = b.starts[:-1], b.starts[1:]
-    removed = total[e] - total[s]
+    spans = _between(opens, s, e)
+    del opens
     digest = [hashlib.sha256(b.buf[i:j] if not r else b.bytes[i:j][~covered[i:j]].tobytes()).hexdigest() for i, j, r in zip(s.tolist(), e.tolist(), removed.tolist())]
     ids = pa.array(b.ids, pa.int64(), mask=b.ids == NO_DOC)
-    return pa.table({"doc_id": ids, "n_bytes": b.lengths, "n_removed": removed, "n_spans": spans[e] - spans[s], "kept_sha256": digest})
+    return pa.table({"doc_id": ids, "n_bytes": b.lengths, "n_removed": removed, "n_spans": spans, "kept_sha256": digest})
+
+
+def _between(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Number of set flags in each [start, end)."""
+    ahead = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)
+    np.cumsum(flags, out=ahead[1:])
+    return (ahead[end] - ahead[start]).astype(np.int64)
 
 
 _OUT = (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))
@@ -447,7 +456,8 @@ def removed_bytes(docs: pa.Table, answers: pa.Table, buckets: int) -> tuple[np.n
         depth = np.zeros(len(b.buf) + 1, np.int32)
         depth[start[hit]] += 1
         depth[(start + size)[hit] + WINDOW - 1] -= 1
-        covered = np.cumsum(depth[:-1], dtype=np.int32) > 0
+        np.cumsum(depth, out=depth)
+        covered = depth[:-1] > 0
     return covered, b
 
 
@@ -455,9 +465,11 @@ def _exchange(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Documents by batch, answers by batch and bucket, and the number of buckets. Batches are chosen by the rows' content."""
     docs = plain(docs, "doc_id", "text")
     size = docs.agg(F.sum(F.octet_length(text_col()).cast("bigint"))).first()[0] or 0
-    batches, buckets = max(1, -(-size // BATCH_BYTES)), max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+    # small inputs are dealt to all cores; tasks follow the bytes of text, whatever the session's number of shuffle partitions
+    cores = min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BATCH))
+    batches, buckets = max(1, cores, -(-size // BATCH_BYTES)), max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_DOC))).alias("id"), text_col().alias("text"))
-    own = own.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(batches)))
+    own = own.withColumn("g", F.pmod(F.xxhash64("id", "text"), F.lit(batches))).repartition(batches, "g")
     message = "g bigint, bucket bigint, value binary"
     offers = own.groupBy("g").applyInArrow(lambda t: _offer(t, buckets), message)
     states = offers.groupBy("bucket").applyInArrow(_settle, message)
