@@ -47,3 +47,25 @@ def test_registered(spark):
     found = entry.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in found} and "pipeline" in found
     assert set(entry.oracle_sql()) <= set(found)
+
+
+def test_queries_against_sql(spark):
+    import math
+    import os
+
+    import duckdb
+
+    from spoolwave.llm import queries
+
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.execute(f"create view {name.removesuffix('.parquet')} as select * from read_parquet('{SF}/{name}')")
+    plain = lambda v: float(f"{v:.12g}") if isinstance(v, float) and not math.isnan(v) else v
+    for name, sql in queries.oracle_sql().items():
+        df = queries.queries()[name](spark, SF)
+        cols = sorted(df.columns)
+        got = sorted(repr([plain(r[c]) for c in cols]) for r in df.collect())
+        cur = con.execute(sql)
+        named = [d[0] for d in cur.description]
+        assert sorted(named) == cols
+        assert got == sorted(repr([plain(r[named.index(c)]) for c in cols]) for r in cur.fetchall()), name
