@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import map_batches, plain, text_col
+from spoolwave.llm.common import map_batches, plain, spread, text_col
 
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -250,7 +250,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = plain(docs, "doc_id", "text")
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_col().alias("text")), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_batches(spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_col().alias("text"))), run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -64,6 +64,12 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | p
     return df.mapInArrow(run, schema)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a small input comes in fewer partitions than there are cores; any other input stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_col(name: str = "text"):
     """Text with null taken as empty."""
     return F.coalesce(F.col(name), F.lit(""))

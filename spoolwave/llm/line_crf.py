@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import map_batches, plain, text_col
+from spoolwave.llm.common import map_batches, plain, spread, text_col
 
 #: Bound of the training sample (documents) and of the lines of one document that take part in training.
 TRAIN_DOCS = 4000
@@ -249,7 +249,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([ids, pa.array(out, pa.bool_()), pa.array(score, pa.float64()), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     docs = plain(docs, "doc_id", "text")
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_col().alias("text")), run, "doc_id bigint, held_out boolean, score double, predicted int")
+    return map_batches(spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_col().alias("text"))), run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

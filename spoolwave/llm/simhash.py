@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import checkpoint, map_batches, plain, text_col
+from spoolwave.llm.common import checkpoint, map_batches, plain, spread, text_col
 from spoolwave.llm.components import connected_components
 
 SHINGLE = 3
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps)], names=["id", "fp"])
 
     docs = plain(docs, id_col, text)
-    return map_batches(docs.select(F.col(id_col).cast("bigint").alias("id"), text_col(text).alias("text")), run, "id bigint, fp bigint")
+    return map_batches(spread(docs.select(F.col(id_col).cast("bigint").alias("id"), text_col(text).alias("text"))), run, "id bigint, fp bigint")
 
 
 def near_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

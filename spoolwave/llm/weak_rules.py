@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import checkpoint, map_batches, plain, text_col
+from spoolwave.llm.common import checkpoint, map_batches, plain, spread, text_col
 
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -75,7 +75,7 @@ def features(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, rows.T.copy())], names=["doc_id", *names])
 
     docs = plain(docs, "doc_id", "text")
-    return map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_col().alias("text")), run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return map_batches(spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_col().alias("text"))), run, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def _ratio(a: str, b: str) -> Column:
