@@ -111,7 +111,8 @@ def test_parts_and_epochs(spark):
 
 
 def test_rates_and_order(spark):
-    df = spark.createDataFrame([("even", t) for t in range(10)] + [("odd", t) for t in (0, 1, 3)] + [("two", t) for t in (0, 1)], "k string, t double").withColumn("t", F.col("t").cast("double")) if False else spark.createDataFrame([("even", float(t)) for t in range(10)] + [("odd", float(t)) for t in (0, 1, 3)] + [("two", float(t)) for t in (0, 1)], "k string, t double")
+    data = [("even", float(t)) for t in range(10)] + [("odd", float(t)) for t in (0, 1, 3)] + [("two", float(t)) for t in (0, 1)]
+    df = spark.createDataFrame(data, "k string, t double")
     assert dict(rows(sections.regular_rate(df, "k", "t"), "k", "rate")) == {"even": 1.0, "odd": None, "two": None}
     d = spark.createDataFrame([("a", 0, 5), ("a", 1, 4), ("a", 2, 6), ("b", 0, 1)], "k string, i int, t int")
     assert rows(sections.out_of_order(d, "k", "i", "t"), "k", "backwards") == [("a", 1), ("b", 0)]
