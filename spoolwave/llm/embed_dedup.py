@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,8 +13,6 @@ from spoolwave.llm.common import checkpoint, map_batches, plain
 from spoolwave.llm.components import connected_components
 
 THRESHOLD = 0.9
-#: Cells a vector visits; it lives in the first of them.
-PROBES = 6
 #: Vectors per cell that the number of cells aims at, the most cells, and the bound of the sample their centres are fitted on.
 CELL_SIZE = 128
 MOST_CELLS = 16384
@@ -100,10 +100,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """vectors(vec_id, embedding) -> (vec_id, n_links, component_id, kept), one row per input row.
 
     Equal vectors are one class from the start, so copies cost nothing further. Classes are assigned to the cells of centres
-    fitted on a bounded sample; each lives in its nearest cell and visits the next ones, and a pair is compared in a cell
-    where one of the two lives. A pair that meets twice is counted once. Cells larger than a tile are dealt into tiles, and
-    a tile returns sums of links and a spanning forest, never its pairs. Every link has cosine >= threshold in double
-    precision; links between vectors that share no cell are missed (see the README for measured recall).
+    fitted on a bounded sample, and cells that lie near each other form groups; each class lives in the group of its nearest
+    cell and visits every group with a cell that may hold a partner: by the triangle inequality of angles none is nearer than
+    the angle to the centre less the cell's radius. So no link is missed, and data that no bound parts are compared pair by
+    pair. Of two groups one hosts their pairs. Groups larger than a tile are dealt into tiles, and a tile returns sums of
+    links and a spanning forest, never its pairs. Every link has cosine >= threshold in double precision.
 
     Vectors that are null, empty, zero, hold a null or a non-finite component, or have no vec_id link with nothing. Vectors of
     different lengths are never linked. Repeated rows are further vectors of their class. Labels and other columns are not
@@ -141,49 +142,70 @@ def _compare(classes: DataFrame, code: str, threshold: float) -> DataFrame:
     width = max(set(widths), key=lambda w: (widths.count(w), w)) if widths else 4
     sample = np.frombuffer(b"".join(r.vec for r in picked if len(r.vec) == width), code).reshape(-1, width // np.dtype(code).itemsize)
     middle = centres(unit(sample), min(k, len(sample))) if len(sample) else np.zeros((1, 1), np.float32)
-    m = min(PROBES, len(middle))
+    groups = np.argmax(middle @ centres(middle.astype(np.float64), min(max(1, n // TILE), len(middle))).T, axis=1)
+    middle, groups = middle[np.argsort(groups, kind="stable")], np.sort(groups)  # the cells of a group lie in a row
+    opens = np.flatnonzero(np.diff(groups, prepend=-1))
+    near = np.float64(np.arccos(np.clip(threshold, -1.0, 1.0)))
 
-    def assign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = batch.column(1).to_pylist()
-        probes = np.zeros((len(raw), m), np.int32)
+    def cosines(raw: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, float]]:
+        """Rows, their cosines to the centres (the shorter of two is filled up with zeros) and a bound of the cosines' error."""
         for w in {len(v) for v in raw}:
             own = [i for i, v in enumerate(raw) if len(v) == w]
-            x = unit(np.frombuffer(b"".join(raw[i] for i in own), code).reshape(len(own), -1)).astype(np.float32)
-            d = min(x.shape[1], middle.shape[1])
-            for at in range(0, len(own), 2048):
-                s = x[at : at + 2048, :d] @ middle[:, :d].T
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                order = np.argsort(-np.take_along_axis(s, top, axis=1), axis=1, kind="stable")
-                probes[own[at : at + 2048]] = np.take_along_axis(top, order, axis=1)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), pa.array(list(probes), pa.list_(pa.int32()))], names=["cid", "n", "vec", "probes"])
-
-    placed = map_batches(classes.select("cid", "vec", "n"), assign, "cid bigint, n bigint, vec binary, probes array<int>")
-    # a row per cell that a class visits; cells are kept apart by the vectors' length
-    placed = checkpoint(placed.select("cid", "n", "vec", "probes", F.posexplode("probes").alias("rank", "cell"), F.length("vec").alias("width")))
-    sizes = placed.groupBy("cell", "width").agg(F.count(F.when(F.col("rank") == 0, 1)).alias("homes"), F.count("*").alias("visits"))
+            for at in range(0, len(own), 512):
+                part = own[at : at + 512]
+                x = unit(np.frombuffer(b"".join(raw[i] for i in part), code).reshape(len(part), -1)).astype(np.float32)
+                d = min(x.shape[1], middle.shape[1])
+                yield part, x[:, :d] @ middle[:, :d].T, 1e-5 + 2e-7 * d
+
+    def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = batch.column(1).to_pylist()
+        cell, least = np.zeros(len(raw), np.int32), np.zeros(len(raw))
+        for part, s, error in cosines(raw):
+            cell[part] = s.argmax(axis=1)
+            least[part] = s.max(axis=1) - error
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), pa.array(cell), pa.array(least)], names=["cid", "n", "vec", "cell", "least"])
+
+    settled = map_batches(classes.select("cid", "vec", "n"), settle, "cid bigint, n bigint, vec binary, cell int, least double")
+    settled = checkpoint(settled)
+    # for vectors of the usual length and for all others: the least cosine that a bound needs to a cell's centre; 2 where nobody lives
+    needed = np.full((2, len(middle)), 2.0)
+    for r in settled.groupBy("cell", (F.length("vec") == width).alias("usual")).agg(F.min("least").alias("least")).collect():
+        needed[int(r.usual), r.cell] = np.cos(min(np.pi, near + np.arccos(np.clip(r.least, -1.0, 1.0))))
+
+    def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw, home = batch.column(2).to_pylist(), groups[batch.column(3).to_numpy()]
+        to: list = [None] * len(raw)
+        for part, s, error in cosines(raw):
+            may = np.logical_or.reduceat(s + error >= needed[int(len(raw[part[0]]) == width)], opens, axis=1)
+            for i, row in zip(part, may):
+                other = groups[opens[row]]
+                # of two groups the upper one hosts if their sum is odd, else the lower one; the own group always does
+                to[i] = other[(other == home[i]) | ((other > home[i]) == ((other + home[i]) % 2 == 1))].astype(np.int32)
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(home.astype(np.int32)), pa.array(to, pa.list_(pa.int32()))], names=["cid", "n", "vec", "home", "to"])
+
+    placed = map_batches(settled.select("cid", "n", "vec", "cell"), visit, "cid bigint, n bigint, vec binary, home int, to array<int>")
+    # groups are kept apart by the vectors' length
+    placed = checkpoint(placed.withColumn("width", F.length("vec")))
+    calls = placed.select("cid", "n", "vec", "home", "width", F.explode("to").alias("cell"))
+    homes = placed.groupBy(F.col("home").alias("cell"), "width").agg(F.count("*").alias("homes"))
     tiles = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / TILE)).cast("int")
-    sizes = sizes.where("homes > 0").select("cell", "width", tiles("homes").alias("th"), tiles("visits").alias("tv"))
-    dealt = placed.join(sizes, ["cell", "width"])
+    sizes = calls.groupBy("cell", "width").agg(F.count("*").alias("visits")).join(homes, ["cell", "width"]).select("cell", "width", tiles("homes").alias("th"), tiles("visits").alias("tv"))
+    sizes = checkpoint(sizes)
     own = F.pmod(F.xxhash64("cid"), F.col("th")).cast("int")
     other = F.pmod(F.xxhash64("cid", F.lit(1)), F.col("tv")).cast("int")
-    lives = dealt.where("rank = 0").select("cell", "width", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("tv") - 1)).alias("j"), F.lit(True).alias("lives"), "cid", "n", "vec", "probes")
-    visits = dealt.select("cell", "width", F.explode(F.sequence(F.lit(0), F.col("th") - 1)).alias("i"), other.alias("j"), F.lit(False).alias("lives"), "cid", "n", "vec", "probes")
-    names = ["cell", "width", "i", "j", "lives", "cid", "n", "vec", "probes"]
+    lives = placed.withColumn("cell", F.col("home")).join(sizes, ["cell", "width"]).select("cell", "width", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("tv") - 1)).alias("j"), F.lit(True).alias("lives"), "cid", "n", "vec", "home")
+    visits = calls.join(sizes, ["cell", "width"]).select("cell", "width", F.explode(F.sequence(F.lit(0), F.col("th") - 1)).alias("i"), other.alias("j"), F.lit(False).alias("lives"), "cid", "n", "vec", "home")
 
     def product(t: pa.Table) -> pa.Table:
         here = t.column("cell")[0].as_py()
         lives = t.column("lives").to_numpy(zero_copy_only=False)
-        cid, n = t.column("cid").to_numpy(), t.column("n").to_numpy()
+        cid, n, home = t.column("cid").to_numpy(), t.column("n").to_numpy(), t.column("home").to_numpy()
         x = unit(np.frombuffer(b"".join(t.column("vec").to_pylist()), code).reshape(len(cid), -1))
-        probes = np.stack(t.column("probes").to_numpy(zero_copy_only=False))
         h, v = np.flatnonzero(lives), np.flatnonzero(~lives)
         i, j = linked(x[h], x[v], threshold)
         i, j = h[i], v[j]
-        both_here = probes[j, 0] == here
-        # in its own cell a pair of residents meets twice in order, kept once; a visitor's pair counts here unless it also
-        # meets in the visitor's cell and that comes first
-        meets_there = (probes[i] == probes[j, :1]).any(axis=1)
-        once = np.where(both_here, cid[i] < cid[j], ~meets_there | (here < probes[j, 0]))
+        # residents of one group meet twice in order, kept once
+        once = (home[j] != here) | (cid[i] < cid[j])
         i, j = i[once], j[once]
         a, b = forest(cid[i], cid[j])
         ends = np.concatenate([cid[i], cid[j]])
@@ -193,4 +215,4 @@ def _compare(classes: DataFrame, code: str, threshold: float) -> DataFrame:
         kinds = np.concatenate([np.zeros(len(nodes), np.int32), np.ones(len(a), np.int32)])
         return pa.table({"kind": kinds, "a": np.concatenate([nodes, a]).astype(np.int64), "b": np.concatenate([total, b]).astype(np.int64)})
 
-    return lives.select(names).unionByName(visits.select(names)).groupBy("cell", "width", "i", "j").applyInArrow(product, "kind int, a bigint, b bigint")
+    return lives.unionByName(visits).groupBy("cell", "width", "i", "j").applyInArrow(product, "kind int, a bigint, b bigint")

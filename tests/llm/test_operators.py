@@ -596,6 +596,21 @@ def test_op10(spark, monkeypatch, tile):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_op10_finds_every_link_of_a_hot_cluster(spark):
+    from spoolwave.llm.embed_dedup import near_duplicates
+
+    rng = np.random.default_rng(17)
+    centre = rng.normal(size=64)
+    x = np.vstack([centre + 0.27 * rng.normal(size=(5000, 64)), rng.normal(size=(5000, 64))]).astype(np.float32)
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = np.concatenate([(u[i : i + 1000] @ u.T >= 0.9).sum(axis=1) for i in range(0, len(u), 1000)]) - 1
+    assert (want[:5000] > 3000).mean() > 0.9
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], VEC).repartition(4)
+    got = {r.vec_id: r for r in near_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(len(x))] == want.tolist()
+    assert {got[i].component_id for i in range(5000) if want[i]} == {min(i for i in range(5000) if want[i])}
+
+
 def test_op10_bounds_hold():
     from spoolwave.llm.embed_dedup import linked, quantise, unit
 
