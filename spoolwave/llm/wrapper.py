@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html as htmllib
+import math
 import re
+import sys
 from collections import Counter
 
 import pyarrow as pa
@@ -22,8 +24,10 @@ SHARE_MAIN = 0.8
 #: Hosts of more than GROUP pages whose table is broadcast; a larger table is joined by shuffle.
 BROADCAST_HOSTS = 50_000
 DEPTH = 150
-#: Cells of one alignment table beyond which children are paired in order within their tags.
+#: Cells of one alignment table beyond which only some of its rows are kept and the others computed again on the way back,
+#: and entries of the memory of scores beyond which it is emptied.
 TABLE = 200_000
+SCORES = 1_000_000
 
 # Element and attribute names with a meaning for extraction.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,10 +66,10 @@ _WORD = re.compile(r"[a-z]+")
 class Node:
     """A block element, or a run of text (tag '#')."""
 
-    __slots__ = ("children", "drop", "link", "main", "sig", "tag", "text")
+    __slots__ = ("children", "drop", "link", "main", "sig", "size", "tag", "text")
 
     def __init__(self, tag: str, text: str = "") -> None:
-        self.tag, self.text, self.children, self.drop, self.main, self.link, self.sig = tag, text, [], False, False, 0, None
+        self.tag, self.text, self.children, self.drop, self.main, self.link, self.sig, self.size = tag, text, [], False, False, 0, None, 1
 
 
 def _roles(tag: str, attrs: str) -> tuple[bool, bool]:
@@ -163,7 +167,7 @@ def parse(page: str) -> Node:
 
 
 def signature(node: Node) -> int:
-    """Hash of the shape below a node, texts left out."""
+    """Hash of the shape below a node, texts left out; every node also gets the number of nodes of its subtree."""
     order, todo = [], [node]
     while todo:
         n = todo.pop()
@@ -171,21 +175,35 @@ def signature(node: Node) -> int:
         todo += n.children
     for n in reversed(order):
         n.sig = hash((n.tag, tuple(c.sig for c in n.children)))
+        n.size = 1 + sum(c.size for c in n.children)
     return node.sig
 
 
 def align(a: Node, b: Node, out: dict[int, Node]) -> None:
     """Simple tree matching: fill out with id(node of a) -> node of b for the best order-preserving alignment.
 
-    Subtrees of one shape at the start and the end of two child lists are taken as matches first; the rest goes through the
-    dynamic programme over child pairs.
+    Subtrees of one shape at the start and the end of two child lists are taken as matches first: none of them can score
+    more than its size, so no best alignment is lost. The rest goes through the dynamic programme over child pairs. Scores
+    depend on shapes only and are remembered by shape.
     """
     scores: dict[tuple[int, int], int] = {}
-    todo = [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        out[id(x)] = y
-        todo += _pairs(x, y, scores)
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 1000 + 4 * min(_depth(a), _depth(b))))  # two calls a level, on the heap
+    try:
+        todo = [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            out[id(x)] = y
+            todo += _pairs(x, y, scores)
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def _depth(root: Node) -> int:
+    depth, level = 0, [root]
+    while level:
+        depth, level = depth + 1, [c for n in level for c in n.children]
+    return depth
 
 
 def _trim(x: Node, y: Node) -> tuple[int, int, int]:
@@ -198,42 +216,38 @@ def _trim(x: Node, y: Node) -> tuple[int, int, int]:
     return p, n - s, m - s
 
 
-def _score(x: Node, y: Node, scores: dict[tuple[int, int], int], depth: int = 0) -> int:
+def _score(x: Node, y: Node, scores: dict[tuple[int, int], int]) -> int:
     if x.tag != y.tag:
         return 0
+    if x.sig == y.sig:
+        return x.size
     if not x.children or not y.children:
         return 1
-    key = (id(x), id(y))
-    if key not in scores:
-        if depth > DEPTH:
-            return 1
+    key = (x.sig, y.sig)
+    own = scores.get(key)
+    if own is None:
         p, n, m = _trim(x, y)
-        own = 1 + p + len(x.children) - n
+        own = 1 + sum(c.size for c in x.children[:p]) + sum(c.size for c in x.children[n:])
         if n > p and m > p:
-            own += max(_table(x.children[p:n], y.children[p:m], scores, depth + 1)[-1]) if (n - p) * (m - p) <= TABLE else len(_in_order(x.children[p:n], y.children[p:m]))
+            row, ys = [0] * (m - p + 1), y.children[p:m]
+            for c in x.children[p:n]:
+                row = _next_row(c, ys, row, scores)
+            own += row[-1]
+        if len(scores) >= SCORES:
+            scores.clear()
         scores[key] = own
-    return scores[key]
+    return own
 
 
-def _table(xs: list[Node], ys: list[Node], scores: dict, depth: int) -> list[list[int]]:
-    rows = [[0] * (len(ys) + 1)]
-    for x in xs:
-        above, row = rows[-1], [0]
-        for j, y in enumerate(ys):
-            best = above[j + 1] if above[j + 1] >= row[j] else row[j]
-            if x.tag == y.tag:
-                w = above[j] + (_score(x, y, scores, depth) if x.children and y.children else 1)
-                best = w if w > best else best
-            row.append(best)
-        rows.append(row)
-    return rows
-
-
-def _in_order(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
-    left: dict[str, list[Node]] = {}
-    for y in reversed(ys):
-        left.setdefault(y.tag, []).append(y)
-    return [(x, left[x.tag].pop()) for x in xs if left.get(x.tag)]
+def _next_row(x: Node, ys: list[Node], above: list[int], scores: dict) -> list[int]:
+    row = [0]
+    for j, y in enumerate(ys):
+        best = above[j + 1] if above[j + 1] >= row[j] else row[j]
+        if x.tag == y.tag:
+            w = above[j] + (_score(x, y, scores) if x.children and y.children else 1)
+            best = w if w > best else best
+        row.append(best)
+    return row
 
 
 def _pairs(x: Node, y: Node, scores: dict) -> list[tuple[Node, Node]]:
@@ -243,18 +257,27 @@ def _pairs(x: Node, y: Node, scores: dict) -> list[tuple[Node, Node]]:
     xs, ys = cx[p:n], cy[p:m]
     if not xs or not ys:
         return found
-    if len(xs) * len(ys) > TABLE:
-        return found + _in_order(xs, ys)
-    rows = _table(xs, ys, scores, 0)
+    step = len(xs) if len(xs) * len(ys) <= TABLE else math.isqrt(len(xs)) + 1
+    row = [0] * (len(ys) + 1)
+    kept = [row]  # the rows before every step-th child
+    for i in range((len(xs) - 1) // step * step):
+        row = _next_row(xs[i], ys, row, scores)
+        if (i + 1) % step == 0:
+            kept.append(row)
     i, j = len(xs), len(ys)
     while i and j:
-        if rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            found.append((xs[i], ys[j]))
+        low = (i - 1) // step * step
+        rows = [kept[low // step]]
+        for c in xs[low:i]:
+            rows.append(_next_row(c, ys, rows[-1], scores))
+        while i > low and j:
+            if rows[i - low][j] == rows[i - low - 1][j]:
+                i -= 1
+            elif rows[i - low][j] == rows[i - low][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((xs[i], ys[j]))
     return found
 
 

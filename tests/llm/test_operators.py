@@ -356,6 +356,31 @@ def test_op5_matching_is_best():
     assert better >= 180  # taking equal ends first costs little
 
 
+def test_op5_matching_is_exact_at_every_size(monkeypatch):
+    from spoolwave.llm import wrapper
+
+    def block(shape):
+        n = wrapper.Node("d")
+        n.children = [wrapper.Node("#", "t") if c == "#" else block(c) for c in shape]
+        return n
+
+    menu = ["#" * 2] * 5
+    other = block([menu, "#" * 7])
+    own = block([menu, "#"])
+    for n in (own, other):
+        wrapper.signature(n)
+    assert wrapper._score(own, own, {}) == own.size == 18 and wrapper._score(own, other, {}) == 17
+    # 500 unlike blocks against the same with one more in front and one more in the middle
+    shapes = [["#" * (1 + i % 9), "#" * (1 + i // 9 % 9), "#" * (1 + i // 81)] for i in range(500)]
+    a, b = block(shapes), block([["#"], *shapes[:250], ["#"], *shapes[250:], "#"])
+    wrapper.signature(a), wrapper.signature(b)
+    for table in (wrapper.TABLE, 10**9):
+        monkeypatch.setattr(wrapper, "TABLE", table)
+        out = {}
+        wrapper.align(a, b, out)
+        assert [out[id(x)] for x in a.children] == [*b.children[1:251], *b.children[252:502]]
+
+
 # 6: rules
 
 
