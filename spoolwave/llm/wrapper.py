@@ -23,7 +23,6 @@ LEAST_PAGES_MAIN = 4
 SHARE_MAIN = 0.8
 #: Hosts of more than GROUP pages whose table is broadcast; a larger table is joined by shuffle.
 BROADCAST_HOSTS = 50_000
-DEPTH = 150
 #: Cells of one alignment table beyond which only some of its rows are kept and the others computed again on the way back,
 #: and entries of the memory of scores beyond which it is emptied.
 TABLE = 200_000
@@ -150,16 +149,15 @@ def parse(page: str) -> Node:
                 if stack[i].tag in names.split():
                     del stack[i:]
                     break
-        if len(stack) < DEPTH:
-            node = Node(tag)
-            node.drop, node.main = _roles(tag, m[3])
-            if tag == "header" and any(n.main for n in stack):
-                node.drop = False
-            stack[-1].children.append(node)
-            if tag not in VOID and not (m[3].endswith("/") and tag in RAW):
-                stack.append(node)
-            if tag not in ("p", "li", "td"):
-                links = 0
+        node = Node(tag)
+        node.drop, node.main = _roles(tag, m[3])
+        if tag == "header" and any(n.main for n in stack):
+            node.drop = False
+        stack[-1].children.append(node)
+        if tag not in VOID and not (m[3].endswith("/") and tag in RAW):
+            stack.append(node)
+        if tag not in ("p", "li", "td"):
+            links = 0
     if at < len(page):
         run.append(htmllib.unescape(page[at:]))
     flush()

@@ -381,6 +381,16 @@ def test_op5_matching_is_exact_at_every_size(monkeypatch):
         assert [out[id(x)] for x in a.children] == [*b.children[1:251], *b.children[252:502]]
 
 
+def test_op5_deep_nesting():
+    from spoolwave.llm import wrapper
+
+    for depth in (160, 3000):
+        page = f"<div><article>{'<div>' * depth}<nav>Menu</nav>Deep.{'</div>' * depth}<p>After.</p></article></div>"
+        assert wrapper.Wrapper([page]).extract(page) == "Deep.\n\nAfter."
+        pages = [page.replace("Deep.", f"Deep {i}.").replace("<p>", "<p>x</p>" * i + "<p>") for i in range(5)]
+        assert all(f"Deep {i}." in t for i, t in enumerate(map(wrapper.Wrapper(pages).extract, pages)))
+
+
 # 6: rules
 
 
