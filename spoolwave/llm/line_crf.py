@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from spoolwave.llm.common import map_batches, plain, spread, text_col
 
-#: Bound of the training sample (documents) and of the lines of one document that take part in training.
+#: Bound of the training sample, in documents; all lines of a sampled document take part.
 TRAIN_DOCS = 4000
-TRAIN_LINES = 64
 THRESHOLD = 0.3
 FOLDS = 5
 SPACES = b" \t\n\x0b\x0c\r"
@@ -154,7 +153,7 @@ def fit(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds:
     The logistic scale comes from the sample's labels too, and its shift puts the threshold where the labels part best.
     """
     use = [i for i, (x, _) in enumerate(parts) if len(x)]
-    x = [parts[i][0][:TRAIN_LINES] for i in use]
+    x = [parts[i][0] for i in use]
     n = np.array([len(a) for a in x], np.int64)
     if not use or len({int(labels[i]) for i in use}) < 2:
         return Model(np.zeros((3 * N_OWN, 2)), np.zeros((2, 2)), 1.0, 2.0)
@@ -217,8 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Model
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [line_features(t) for t in batch.column(2).to_pylist()]
-        flat = [x[:TRAIN_LINES].astype(np.float32).tobytes() for x, _ in parts]
-        sizes = [s[:TRAIN_LINES].astype(np.float32).tobytes() for _, s in parts]
+        flat = [x.astype(np.float32).tobytes() for x, _ in parts]
+        sizes = [s.astype(np.float32).tobytes() for _, s in parts]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.int32()), pa.array(flat, pa.binary()), pa.array(sizes, pa.binary())], names=["id", "label", "x", "s"])
 
     got = map_batches(rows, run, "id bigint, label int, x binary, s binary").collect()

@@ -201,6 +201,18 @@ def test_op3(spark):
     assert len(none) == 1 and 0 <= none[0].score <= 1
 
 
+def test_op3_trains_on_whole_documents(spark):
+    from spoolwave.llm.line_crf import classify
+
+    rng = random.Random(21)
+    clean = lambda n: [" ".join(rng.choice(("river", "stone", "walks", "under", "green")) for _ in range(8)) + "." for _ in range(n)]
+    junk = lambda n: ["### $$$ BUY | NOW !!! %% " + rng.choice("ABC") * 3 for _ in range(n)]
+    rows = [(i, "\n".join(clean(70) + (junk(50) if i % 2 else clean(50))), "s") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id bigint, quality int")
+    got = {r.doc_id: r.predicted for r in classify(docs(spark, rows), labels).collect()}
+    assert got == {i: 1 - i % 2 for i in range(60)}
+
+
 def test_op3_marginals_against_enumeration():
     from itertools import product
 
