@@ -20,20 +20,24 @@ CHUNK = 65536
 
 @dataclass
 class Report:
-    """What a job did; findings are counted by level and the first mismatches are kept."""
+    """What a job did; findings are counted by level, mismatches are counted and the first of them are kept for display.
+
+    All of them are in the table beside the store.
+    """
 
     store: str
     seconds: float = 0.0
     recordings: dict[str, int] = field(default_factory=dict)
     issues: list[dict] = field(default_factory=list)
     mismatches: list[dict] = field(default_factory=list)
+    n_mismatches: int = 0
 
     @property
     def ok(self) -> bool:
-        return not self.mismatches and not any(i["level"] == "error" for i in self.issues)
+        return not self.n_mismatches and not self.mismatches and not any(i["level"] == "error" for i in self.issues)
 
     def json(self) -> str:
-        return json.dumps({"store": self.store, "ok": self.ok, "seconds": round(self.seconds, 3), "recordings": self.recordings, "issues": self.issues, "mismatches": self.mismatches}, indent=2)
+        return json.dumps({"store": self.store, "ok": self.ok, "seconds": round(self.seconds, 3), "recordings": self.recordings, "issues": self.issues, "n_mismatches": self.n_mismatches, "mismatches": self.mismatches}, indent=2)
 
 
 @dataclass
@@ -69,20 +73,27 @@ class Job:
             return report
         chunks = self.samples(plan)
         chunks.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("recording").parquet(path)
-        report.recordings, report.mismatches = self.verify(path, chunks)
+        report.recordings, report.n_mismatches, report.mismatches = self.verify(path, chunks)
         report.seconds = time.time() - began
         fs, where = file_system(path)
         with fs.open_output_stream(f"{where.rstrip('/')}.report.json") as f:
             f.write(report.json().encode())
         return report
 
-    def verify(self, path: str, chunks: DataFrame) -> tuple[dict[str, int], list[dict]]:
-        """Block digests of the source against those of the store (V07, V08); at most 100 bad blocks come back."""
+    def verify(self, path: str, chunks: DataFrame) -> tuple[dict[str, int], int, list[dict]]:
+        """Block digests of the source against those of the store.
+
+        All bad blocks are written to the table PATH.mismatches; their number and the first 100 come back.
+        """
         stored = self.spark.read.parquet(path)
         a, b = digests(chunks), digests(stored)
-        bad = integrity.compare(a, b, ["recording", "channel", "first"]).where("state <> 'ok'").orderBy("recording", "channel", "first").limit(100)
+        table = f"{path.rstrip('/')}.mismatches"
+        found = integrity.compare(a, b, ["recording", "channel", "first"]).where("state <> 'ok'")
+        found.write.mode("overwrite").parquet(table)
+        bad = self.spark.read.schema(found.schema).parquet(table)
         counts = stored.groupBy("recording").agg(F.sum(F.size("values").cast("bigint")).alias("n"))
-        return {r.recording: r.n for r in counts.collect()}, [r.asDict() for r in bad.collect()]
+        shown = bad.orderBy("recording", "channel", "first").limit(100)
+        return {r.recording: r.n for r in counts.collect()}, bad.count(), [r.asDict() for r in shown.collect()]
 
     def cancel(self) -> None:
         """Stop the job's tasks; what was written has no commit marker."""

@@ -49,6 +49,18 @@ def test_job(spark, source, tmp_path):
     assert not refused.ok and not (tmp_path / "never").exists()
 
 
+def test_verify_reports_every_mismatch(spark, source, tmp_path):
+    names = "recording string, channel int, first bigint, values array<float>"
+    chunks = spark.createDataFrame([("r", 0, i, [float(i)]) for i in range(160)], names)
+    path = f"file://{tmp_path}/bad"
+    chunks.withColumn("values", F.when(F.col("first") >= 10, F.array(F.lit(-1.0).cast("float"))).otherwise(F.col("values"))).write.parquet(path)
+    counts, n, shown = job.Job(spark, source).verify(path, chunks)
+    assert counts == {"r": 160} and n == 150 and [x["first"] for x in shown] == list(range(10, 110))
+    assert spark.read.parquet(f"{path}.mismatches").count() == 150
+    report = job.Report(path, n_mismatches=n)
+    assert not report.ok and json.loads(report.json())["n_mismatches"] == 150
+
+
 def test_inspect_and_blocks(spark, source):
     r = {x.recording: x for x in job.inspect(stretches.read(source), at=10).collect()}
     assert r["Temp"].channels == 2 and r["Temp"].samples == 100 and r["Temp"].head == [20.0, 22.0, 24.0, 26.0, 28.0]
