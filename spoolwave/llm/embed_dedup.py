@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoolwave.llm.common import checkpoint, map_batches, plain
-from spoolwave.llm.components import connected_components
+from spoolwave.llm.components import connected_components, forest
 
 THRESHOLD = 0.9
 #: Vectors per cell that the number of cells aims at, the most cells, and the bound of the sample their centres are fitted on.
@@ -56,23 +56,6 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> tuple[
     return np.concatenate([si, i[hit]]), np.concatenate([sj, j[hit]])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, root) that connect what the pairs connect: at most one per node, however many pairs there are."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = flat[: len(a)], flat[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        old = label.copy()
-        low = np.minimum(label[u], label[v])
-        np.minimum.at(label, u, low)
-        np.minimum.at(label, v, low)
-        label = label[label]
-        if np.array_equal(old, label):
-            break
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
 def centres(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """Spherical k-means from evenly spaced start rows; an empty cell keeps its centre."""
     c = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoolwave.llm.common import checkpoint, map_batches, plain, spread, text_col
@@ -15,7 +17,7 @@ SHINGLE = 3
 SEED = 42
 RADIUS = 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CHUNK = 1 << 16
+_CHUNK = 1 << 13
 
 
 def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
@@ -32,16 +34,25 @@ def shingle_hashes(text: str, width: int = SHINGLE) -> np.ndarray:
     return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64)
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the rows of a [n, words] table have each bit set, as 64 * words counts.
+
+    Bits become bytes, and eight bytes are added as one number, 255 rows at a time, so none overflows. Works in chunks, so a long
+    text needs no more memory.
+    """
+    total = np.zeros(64 * hashes.shape[1], np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        part = np.ascontiguousarray(hashes[i : i + _CHUNK], "<u8")
+        bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0)
+        total += sums.view(np.uint8).sum(axis=0, dtype=np.int64)
+    return total
+
+
 def fingerprint(hashes: np.ndarray) -> int:
-    """Bit set where over half of the hashes have it; 0 without hashes. Works in chunks, so a long text needs no more memory."""
-    n = len(hashes)
-    if not n:
-        return 0
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, _CHUNK):
-        bits = np.unpackbits(hashes[i : i + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return sum(1 << k for k in np.flatnonzero(2 * ones > n).tolist())
+    """Bit set where over half of the hashes have it; 0 without hashes."""
+    ones = bit_counts(hashes[:, None])
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,10 +106,230 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return own.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate group left, that of the smallest doc_id; columns unchanged."""
+#: The stage on shingles of five words: least Jaccard similarity, and the least share of pairs at that very similarity which the
+#: tables are laid out to find (more similar pairs are found more surely).
+WIDE = 5
+SIMILARITY = 0.8
+RECALL = 0.97
+#: Bits of a segment beyond the logarithm of the number of texts, so that chance meetings stay a fixed number a text.
+SPARE_BITS = 6
+#: Words of a long fingerprint at least: what the segments leave over sharpens the distance.
+LEAST_WORDS = 8
+#: Pairs of a text that are looked at first, the closest ones.
+FIRST = 3
+#: Texts that meet in one table entry up to which all their pairs are made; a larger entry is first joined as a star.
+SMALL = 8
+#: Entries of the tables behind one task.
+ENTRIES = 2_000_000
+_TEXTS = 2048
+_SIDE = 4096
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int, int]:
+    """(bits of a segment, segments, radius of the first 64 bits, radius of all words) for n texts.
+
+    Two sets of Jaccard similarity s have a cosine of 2s / (1 + s) at least, so a bit of their fingerprints differs with
+    probability p = arccos(cosine) / pi. Balls of radius 1 on both sides meet when a segment differs in at most 2 bits; there are
+    as many segments as it takes for one of them to meet with the recall asked for. The radii are 3 and 2.5 deviations above the mean.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(12, math.ceil(math.log2(max(n, 2))) + SPARE_BITS)
+    meets = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    segments = math.ceil(math.log(1 - recall) / math.log(1 - meets))
+    radius = lambda size, times: math.ceil(size * p + times * math.sqrt(size * p * (1 - p)))
+    return bits, segments, radius(64, 3), radius(64 * _words(bits, segments), 2.5)
+
+
+def _words(bits: int, segments: int) -> int:
+    return max(LEAST_WORDS, 1 + -(-bits * segments // 64))
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """Distinct hashes of the five-word shingles, ascending."""
+    return np.unique(shingle_hashes(text, WIDE))
+
+
+def long_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of 64 * words bits: each word has its own hash function, derived from the given hashes."""
+    own = _mix(hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * _STEP)
+    return np.packbits(2 * bit_counts(own) > len(own), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(id, digest, text) with null text empty."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("id"), F.md5(text_col()).alias("digest"), text_col().alias("text"))
+
+
+def _marked(docs: DataFrame, words: int) -> DataFrame:
+    """(id, digest, fp, words): the first word and all words of each text's long fingerprint."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [long_fingerprint(shingle_set(t), words) for t in batch.column(2).to_pylist()]
+        fp = np.array([f[0] for f in found], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["id", "digest", "fp", "words"])
+
+    return map_batches(spread(_texts(docs)), run, "id bigint, digest string, fp bigint, words array<bigint>")
+
+
+def _entries(fps: np.ndarray, words: np.ndarray, bits: int, segments: int, tables: int) -> pa.RecordBatch:
+    """Table entries of a block of texts: the ball of radius 1 around each segment, packed by the task that they go to."""
+    flat = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")[:, 64 : 64 + bits * segments]
+    value = flat.reshape(len(fps), segments, bits).astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+    mask = np.concatenate(([0], np.uint64(1) << np.arange(bits, dtype=np.uint64))).astype(np.uint64)
+    ball = (value[:, :, None] ^ mask) + (np.arange(segments, dtype=np.uint64) << np.uint64(bits))[None, :, None]
+    key = _mix(ball.reshape(-1) * _STEP)
+    table = (key % np.uint64(tables)).astype(np.int64)
+    order = np.argsort(table, kind="stable")
+    low = (key >> np.uint64(32)).astype("<u4")[order]
+    owner = np.repeat(fps, segments * (bits + 1))[order]
+    used, at = np.unique(table[order], return_index=True)
+    stop = [*at[1:].tolist(), len(order)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(used), pa.array([low[a:b].tobytes() for a, b in zip(at.tolist(), stop)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(at.tolist(), stop)], pa.binary())],
+        names=["table", "keys", "fps"],
+    )
+
+
+def _meet(t: pa.Table, radius: int) -> pa.Table:
+    """(kind, a, b): kind 0 a pair within the radius, kind 1 a text b in the entry a, which more than SMALL texts share.
+
+    All pairs of a small entry are made. A larger one gives its stars and its neighbours in order of fingerprint, and itself.
+    """
+    key = np.frombuffer(b"".join(t.column("keys").to_pylist()), "<u4")
+    fp = np.frombuffer(b"".join(t.column("fps").to_pylist()), "<i8")
+    order = np.lexsort((fp, key))
+    key, fp = key[order], fp[order]
+    fresh = np.append(True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]))
+    key, fp = key[fresh], fp[fresh]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(first, len(key)))
+    left, right = [], []
+    for gap in range(1, SMALL):  # pairs at this distance inside small entries
+        own = first[(size > gap) & (size <= SMALL)]
+        n = size[(size > gap) & (size <= SMALL)] - gap
+        at = np.repeat(own - np.cumsum(n) + n, n) + np.arange(n.sum())
+        left.append(at)
+        right.append(at + gap)
+    big = size > SMALL
+    start, n = first[big], size[big] - 1
+    at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()) + 1
+    left += [np.repeat(start, n), at - 1]
+    right += [at, at]
+    i, j = np.concatenate(left), np.concatenate(right)
+    near = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= radius
+    pairs = np.unique(np.stack([fp[i[near]], fp[j[near]]], axis=1), axis=0) if near.any() else np.empty((0, 2), np.int64)
+    inside = np.repeat(big, size)
+    entry = (np.int64(t.column("table")[0].as_py()) << 32) | key[inside].astype(np.int64)
+    kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(entry), np.int32)])
+    return pa.table({"kind": kind, "a": np.concatenate([pairs[:, 0], entry]), "b": np.concatenate([pairs[:, 1], fp[inside]])})
+
+
+def _across(t: pa.Table, radius: int) -> pa.Table:
+    """Pairs within the radius between the two sides of a tile whose texts are in different groups so far."""
+    side, fp, label = (t.column(c).to_numpy() for c in ("side", "fp", "label"))
+    words = t.column("words").combine_chunks().flatten().to_numpy().reshape(len(fp), -1)
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    left, right, far = [], [], []
+    for i in x.tolist():
+        near = y[(label[y] != label[i]) & (fp[y] != fp[i])]
+        apart = np.bitwise_count((words[near] ^ words[i]).view(np.uint64)).sum(axis=1, dtype=np.int32)
+        near, apart = near[apart <= radius], apart[apart <= radius]
+        left.append(np.full(len(near), fp[i]))
+        right.append(fp[near])
+        far.append(apart)
+    a, b = np.concatenate(left or [fp[:0]]), np.concatenate(right or [fp[:0]])
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": np.concatenate(far or [np.empty(0, np.int32)])})
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have the Jaccard similarity."""
+    joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("_x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("_y")), "b")
+    both = F.size(F.array_intersect("_x", "_y"))
+    return joined.where(both >= similarity * (F.size("_x") + F.size("_y") - both)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, digest, group) of every row: groups of texts linked by five-word shingle sets of Jaccard similarity >= similarity.
+
+    Multi-index hashing over long fingerprints: balls of radius 1 around each segment of both texts meet in a table, the distance
+    of the first word is verified, then that of all words, then the similarity itself. Equal texts, and texts equal in the first 64 bits, are one node.
+    Pairs are made of entries that few texts share; entries of large groups of copies are joined as stars at first, and then
+    only what the groups found so far leave apart is compared, in tiles, until no entry holds an unseen pair of two groups. So no
+    group is expanded into all its pairs. Texts without words are one node. Empty tables give empty results.
+    """
+    docs = plain(docs, "doc_id", "text")
+    n = docs.count()
+    bits, segments, radius, whole = layout(n, similarity)
+    own = checkpoint(_marked(docs, _words(bits, segments)))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "words")
+    nodes = checkpoint(own.groupBy("fp").agg(F.min(order).alias("first")))
+    tables = max(1, -(-n * segments * (bits + 1) // ENTRIES))
+
+    def enter(batch: pa.RecordBatch) -> pa.Table:
+        fps = batch.column(0).to_numpy()
+        words = batch.column(1).flatten().to_numpy().reshape(len(fps), -1)
+        return pa.Table.from_batches([_entries(fps[at : at + _TEXTS], words[at : at + _TEXTS], bits, segments, tables) for at in range(0, len(fps), _TEXTS)])
+
+    entries = map_batches(spread(nodes.select("fp", "first.words")), enter, "table bigint, keys binary, fps binary")
+    met = checkpoint(entries.groupBy("table").applyInArrow(lambda t: _meet(t, radius), "kind int, a bigint, b bigint"))
+    long = lambda c: nodes.select(F.col("fp").alias(c), F.col("first.words").alias(f"_{c}"))
+    apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    pairs = checkpoint(met.where("kind = 0").select("a", "b").distinct().join(long("a"), "a").join(long("b"), "b").withColumn("apart", apart).where(F.col("apart") <= whole).select("a", "b", "apart"))
+    shared = met.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("fp"))
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(shared.select("fp")).distinct()
+    wanted = nodes.join(wanted, "fp", "left_semi").select("fp", F.coalesce(F.col("first.id").cast("string"), F.lit("null")).alias("key"), F.col("first.digest").alias("digest"))
+
+    def collect_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    texts = _texts(docs).withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit("null"))).join(wanted, ["key", "digest"])
+    sets = checkpoint(map_batches(texts.select("fp", "text"), collect_shingles, "fp bigint, shingles array<bigint>").dropDuplicates(["fp"]))
+    # the closest pairs of each text come first and join most of every group; then the closest pair of each two groups; then all
+    # pairs that still lead from group to group
+    ends = pairs.select("a", "b", "apart").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    closest = ends.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("_n") <= FIRST)
+    first = checkpoint(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = checkpoint(_similar(first, sets, similarity))
+    so_far = connected_components(links)
+    label = lambda parts, c: parts.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    of = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c))
+    between = lambda found, parts: found.join(label(parts, "a"), "a", "left").join(label(parts, "b"), "b", "left").where(of("a") != of("b"))
+    large = shared.join(label(so_far, "fp"), "fp", "left").select("entry", "fp", of("fp").alias("label"))
+    split = large.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / _SIDE).cast("int").alias("tiles")).where("low <> high").select("entry", "tiles")
+    large = large.join(split, "entry").join(nodes.select("fp", "first.words"), "fp").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    # a tile for each two parts of an entry, the first no later than the second
+    sides = large.select("entry", "fp", "label", "words", F.col("i"), F.explode(F.expr("sequence(i, tiles - 1)")).alias("j"), F.lit(0).alias("side")).unionByName(
+        large.select("entry", "fp", "label", "words", F.explode(F.expr("sequence(0, i)")).alias("i"), F.col("i").alias("j"), F.lit(1).alias("side"))
+    )
+    more = sides.groupBy("entry", "i", "j").applyInArrow(lambda t: _across(t, whole), "a bigint, b bigint, apart int")
+    rest = checkpoint(between(pairs.unionByName(more).distinct().join(first, ["a", "b"], "left_anti"), so_far).select("a", "b", "apart", F.least(of("a"), of("b")).alias("x"), F.greatest(of("a"), of("b")).alias("y")))
+    second = checkpoint(rest.groupBy("x", "y").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b"))
+    links = checkpoint(links.unionByName(_similar(second, sets, similarity)))
+    so_far = connected_components(links)
+    third = between(rest.select("a", "b").join(second, ["a", "b"], "left_anti"), so_far).select("a", "b")
+    parts = connected_components(links.unionByName(_similar(third, sets, similarity)))
+    return own.join(parts, own.fp == parts.node, "left").select("id", "digest", F.coalesce("component", "fp").alias("group"))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with exactly one row of each group of near-duplicate texts left (see `similar_groups`); columns unchanged.
+
+    The row of the smallest doc_id stays (null last, then by the text's digest); of rows equal in id and text any one. Ids only
+    choose: unrelated texts that share an id or have none all stay, and a copy under the id of another text goes. Null text is
+    empty. An empty table stays empty.
+    """
     names, docs = docs.columns, plain(docs, "doc_id", "text")
-    # one key without nulls serves the join and the removal of repeated ids, so texts are shuffled once
+    groups = similar_groups(docs, similarity)
+    least = groups.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("first"))
+    # one key without nulls serves the join and the removal of repeated rows, so texts are shuffled once
     key = lambda c: F.coalesce(c.cast("bigint").cast("string"), F.lit("null"))
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(key(F.col("doc_id")).alias("_key")).distinct()
-    return docs.withColumn("_key", key(docs["doc_id"])).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns).toDF(*names)
+    kept = least.select(key(F.col("first.id")).alias("_key"), F.col("first.digest").alias("_digest"))
+    marked = docs.withColumn("_key", key(docs["doc_id"])).withColumn("_digest", F.md5(text_col()))
+    return marked.join(kept, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]).select(*docs.columns).toDF(*names)

@@ -19,7 +19,7 @@ def test_stages_by_hand(spark):
     good = {r.doc_id for r in line_crf.classify(docs, labels).where("predicted = 1").collect()}
     one = docs.where(F.col("doc_id").isin(list(good)))
     assert {r.doc_id for r in corpus_pipeline.quality(spark, docs, SF).collect()} == good
-    first = {r.component_id for r in simhash.near_duplicates(one).collect()}
+    first = {r.id for r in simhash.similar_groups(one).groupBy("group").agg(F.min("id").alias("id")).collect()}
     two = corpus_pipeline.near_duplicates(spark, one, SF)
     assert {r.doc_id for r in two.collect()} == first and two.columns == docs.columns
     two = spark.createDataFrame(two.collect(), docs.schema)
