@@ -26,12 +26,11 @@ STOP_WORDS = frozenset(
 )
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_ended", "n_distinct", "n_stop", "n_upper", "n_letters", "n_bang", "n_bytes")
+#: Share of good documents that PRIOR_DOCS imagined documents bring into the estimate; they matter in tiny tables only.
 PRIOR = 0.85
-#: Least chance of any vote in either class.
-FLOOR = 0.002
-#: Ranges of the log-odds weights of a bad and of a good vote.
-BAD_RANGE = (-8.0, -5.0)
-GOOD_RANGE = (0.0, 0.5)
+PRIOR_DOCS = 20
+#: Probability of being good that the estimate starts from, by number of bad votes (the last for more).
+START = (0.95, 0.6, 0.2, 0.05)
 
 
 def measure(text: str) -> tuple[int, ...]:
@@ -85,7 +84,9 @@ def _ratio(a: str, b: str) -> Column:
 def rules() -> list[tuple[str, Column, Column]]:
     """(name, votes bad, votes good); a rule abstains where neither holds.
 
-    Kinds of junk are unlike each other, so most rules can only recognise theirs and have no opinion on other texts.
+    Rules are heuristics that may be wrong on a good document: thresholds lie near what good prose shows, and how much a vote
+    counts is left to the estimate. A rule for one kind of junk has no opinion on other texts. Missing stop words are no bad
+    vote, since the text may be in a language whose words are not listed.
     """
     enough, never = F.col("n_words") >= 20, F.lit(False)
     symbols, upper, bang = _ratio("n_symbols", "n_words"), _ratio("n_upper", "n_bytes"), _ratio("n_bang", "n_words")
@@ -93,17 +94,17 @@ def rules() -> list[tuple[str, Column, Column]]:
     distinct, length, letters = _ratio("n_distinct", "n_words"), _ratio("word_chars", "n_words"), _ratio("n_letters", "n_bytes")
     lines = F.col("n_lines") >= 3
     return [
-        ("length", never, F.col("n_words") >= 80),
+        ("length", enough & (F.col("n_words") < 80), F.col("n_words") >= 80),
         ("symbols", symbols > 0.1, never),
-        ("capitals", enough & (upper > 0.3), never),
-        ("exclamation", enough & (bang > 0.1), never),
-        ("repeated_words", enough & (repeat > 0.3), never),
-        ("repeated_lines", (F.col("n_dup_lines") >= 3) & (dup > 0.3), never),
-        ("line_ends", lines & (ended < 0.3), lines & (ended > 0.8)),
-        ("vocabulary", enough & (F.col("n_words") < 3000) & (distinct < 0.3), enough & (distinct > 0.6)),
-        ("word_length", enough & ((length < 3) | (length > 12)), never),
-        ("stop_words", enough & (F.col("n_stop") == 0), F.col("n_stop") >= 6),
-        ("letters", enough & (letters < 0.6), letters > 0.92),
+        ("capitals", enough & (upper > 0.05), never),
+        ("exclamation", enough & (bang > 0.05), never),
+        ("repeated_words", enough & (repeat > 0.05), never),
+        ("repeated_lines", dup > 0.1, never),
+        ("line_ends", lines & (ended < 0.5), lines & (ended > 0.8)),
+        ("vocabulary", enough & (distinct < 0.5), enough & (distinct > 0.6)),
+        ("word_length", enough & ((length < 4.4) | (length > 6)), never),
+        ("stop_words", never, F.col("n_stop") >= 6),
+        ("letters", enough & (letters < 0.9), letters > 0.95),
     ]
 
 
@@ -116,32 +117,26 @@ def pattern(n_rules: list[tuple[str, Column, Column]]) -> Column:
     return total.cast("bigint")
 
 
-def em(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 200) -> tuple[np.ndarray, float]:
+def em(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 500) -> tuple[np.ndarray, float]:
     """Weights [rule, vote] and bias of the log odds of being good.
 
     Dawid-Skene: each rule has, for each class, a chance to abstain, to vote bad and to vote good; expectation-maximisation
-    over the counts of vote patterns estimates them with the share of the classes. It starts from the number of bad votes.
-    Chances are kept off zero and weights within ranges; silence weighs nothing. Without ranges the estimate drifts: kinds
-    of junk exclude each other, so the rules' errors are not independent, and one kind alone would be taken for false alarms
-    that all other rules contradict.
+    over the counts of vote patterns estimates them together with the share of good documents. It starts from the number of bad
+    votes, which only says which of the two classes is the good one. One imagined document a class, which votes like all
+    documents do, keeps chances off zero; nothing else bounds what a vote may weigh, and silence weighs what it is worth.
     """
     votes = (patterns[:, None] // 3 ** np.arange(n_rules)) % 3
-    n_bad = (votes == 1).sum(1)
-    post = np.choose(np.minimum(n_bad, 2), [0.97, 0.3, 0.05]).astype(float)
+    post = np.array(START)[np.minimum((votes == 1).sum(1), len(START) - 1)]
     weights, bias = np.zeros((n_rules, 3)), 0.0
     for _ in range(rounds):
         good, bad = counts * post, counts * (1 - post)
-        prior = np.clip((good.sum() + 20 * PRIOR) / (counts.sum() + 20), 0.5, 0.99)
+        prior = (good.sum() + PRIOR_DOCS * PRIOR) / (counts.sum() + PRIOR_DOCS)
         bias = np.log(prior / (1 - prior))
         for k in range(n_rules):
-            # sums by vote, smoothed towards the rule's votes over both classes
             g = np.bincount(votes[:, k], good, 3)
             b = np.bincount(votes[:, k], bad, 3)
             base = (g + b + 1e-9) / (g + b + 1e-9).sum()
-            chance_good = np.maximum((g + base) / (g.sum() + 1), FLOOR)
-            chance_bad = np.maximum((b + base) / (b.sum() + 1), FLOOR)
-            w = np.log(chance_good / chance_bad)
-            weights[k] = (0.0, np.clip(w[1], *BAD_RANGE), np.clip(w[2], *GOOD_RANGE))
+            weights[k] = np.log((g + base) / (g.sum() + 1)) - np.log((b + base) / (b.sum() + 1))
         new = 1 / (1 + np.exp(-np.clip(bias + weights[np.arange(n_rules), votes].sum(1), -40, 40)))
         if np.abs(new - post).max(initial=0) < 1e-9:
             break

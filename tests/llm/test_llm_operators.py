@@ -440,6 +440,79 @@ def test_op6(spark):
     assert judge(docs(spark, [])).count() == 0
 
 
+def slow_em(votes, rounds=500):
+    """Dawid-Skene document by document, straight from its definition."""
+    from spoolwave.llm.weak_rules import PRIOR, PRIOR_DOCS, START
+
+    post = [START[min(sum(v == 1 for v in row), len(START) - 1)] for row in votes]
+    for _ in range(rounds):
+        share = (sum(post) + PRIOR_DOCS * PRIOR) / (len(post) + PRIOR_DOCS)
+        tables = []
+        for k in range(len(votes[0])):
+            good, bad, times = [0.0] * 3, [0.0] * 3, [0.0] * 3
+            for p, row in zip(post, votes):
+                good[row[k]] += p
+                bad[row[k]] += 1 - p
+                times[row[k]] += 1 / len(votes)
+            tables.append(([(x + t) / (sum(good) + 1) for x, t in zip(good, times)], [(x + t) / (sum(bad) + 1) for x, t in zip(bad, times)]))
+        new = []
+        for row in votes:
+            good = math.log(share) + sum(math.log(t[0][v]) for t, v in zip(tables, row))
+            bad = math.log(1 - share) + sum(math.log(t[1][v]) for t, v in zip(tables, row))
+            new.append(1 / (1 + math.exp(min(max(bad - good, -40), 40))))
+        done = max(abs(a - b) for a, b in zip(new, post)) < 1e-9
+        post = new
+        if done:
+            break
+    return post
+
+
+def test_op6_posterior_against_slow_em(spark):
+    from spoolwave.llm.weak_rules import features, judge, rules
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = rules()
+    rows = features(table).select("doc_id", *[F.when(bad, 1).when(good, 2).otherwise(0).alias(name) for name, bad, good in found]).orderBy("doc_id").collect()
+    want = slow_em([[r[name] for name, *_ in found] for r in rows])
+    got = {r.doc_id: r for r in judge(table).collect()}
+    assert len(got) == len(rows)
+    for r, p in zip(rows, want):
+        assert abs(got[r.doc_id].posterior - p) < 1e-4
+        assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and got[r.doc_id].posterior >= 0.5)
+
+
+def test_op6_recovers_planted_accuracies():
+    from spoolwave.llm.weak_rules import em
+
+    rng = np.random.default_rng(17)
+    n, share = 60000, 0.8
+    good = np.array([[0.3, 0.1, 0.6], [0.9, 0.1, 0.0], [0.5, 0.05, 0.45], [0.2, 0.3, 0.5], [0.85, 0.15, 0.0], [0.6, 0.1, 0.3]])
+    bad = np.array([[0.3, 0.5, 0.2], [0.3, 0.7, 0.0], [0.5, 0.4, 0.1], [0.2, 0.45, 0.35], [0.84, 0.16, 0.0], [0.4, 0.5, 0.1]])
+    is_good = rng.random(n) < share
+    votes = np.stack([np.where(is_good, rng.choice(3, n, p=good[k]), rng.choice(3, n, p=bad[k])) for k in range(6)], axis=1)
+    patterns, counts = np.unique((votes * 3 ** np.arange(6)).sum(1), return_counts=True)
+    weights, bias = em(patterns, counts.astype(float), 6)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want = np.log(good) - np.log(bad)
+    seen = np.isfinite(want)
+    assert np.abs(weights - want)[seen].max() < 0.25 and abs(1 / (1 + math.exp(-bias)) - share) < 0.02
+    assert abs(weights[4, 1]) < 0.25 < abs(weights[1, 1])  # a rule that knows nothing counts for nothing
+
+
+def test_op6_is_not_all_must_pass(spark):
+    from spoolwave.llm.weak_rules import features, judge, rules
+
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    n_bad = sum((F.when(bad, 1).otherwise(0) for _, bad, _ in rules()), F.lit(0))
+    seen = judge(table).join(features(table).select("doc_id", n_bad.alias("n_bad")), "doc_id").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").where("not base_failed")
+    r = seen.agg(
+        F.count_if(F.expr("kept and n_bad > 0")).alias("despite"), F.count_if(F.expr("not kept")).alias("gone"),
+        F.count_if(F.expr("quality = 1")).alias("good"), F.count_if(F.expr("quality = 1 and kept")).alias("good_kept"), F.count_if(F.expr("quality = 0 and kept")).alias("bad_kept"),
+    ).first()
+    assert r.despite > 50 and r.gone > 20 and r.good_kept >= 0.99 * r.good and r.bad_kept <= 0.05 * r.good_kept
+
+
 # 7: SimHash
 
 
