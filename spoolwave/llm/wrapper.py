@@ -6,22 +6,25 @@ import html as htmllib
 import math
 import re
 import sys
-from collections import Counter
+from collections.abc import Iterable
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spoolwave.llm.common import checkpoint, plain
 
-#: Pages of one host that are aligned together; a host with more is dealt into groups of about this size.
+#: Pages of one host that a task aligns at a time. All parts of a host use one reference page and one template.
 GROUP = 400
 #: A node is template if its text stands at the same place of at least this many distinct pages and this share of them.
 LEAST_PAGES = 3
 SHARE = 0.5
 LEAST_PAGES_MAIN = 4
 SHARE_MAIN = 0.8
-#: Hosts of more than GROUP pages whose table is broadcast; a larger table is joined by shuffle.
+#: A block that holds this share of what varies in the block around it holds the content.
+REGION_SHARE = 0.8
+#: Hosts whose table (a name and three numbers each) is broadcast; a larger table is joined by shuffle.
 BROADCAST_HOSTS = 50_000
 #: Cells of one alignment table beyond which only some of its rows are kept and the others computed again on the way back,
 #: and entries of the memory of scores beyond which it is emptied.
@@ -56,42 +59,54 @@ NOT_CONTENT_NAMES = frozenset(
 MAIN_NAMES = frozenset("article post entry content main body story text".split())
 HEADER_NAMES = frozenset(("header", "head", "top", "topbar"))
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+# a quote opens a value only behind an equals sign; what is taken is never given back, so no page takes long
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_:]+")
 
 
 class Node:
     """A block element, or a run of text (tag '#')."""
 
-    __slots__ = ("children", "drop", "link", "main", "sig", "size", "tag", "text")
+    __slots__ = ("children", "drop", "link", "main", "number", "sig", "size", "tag", "text")
 
     def __init__(self, tag: str, text: str = "") -> None:
-        self.tag, self.text, self.children, self.drop, self.main, self.link, self.sig, self.size = tag, text, [], False, False, 0, None, 1
+        self.tag, self.text, self.children, self.drop, self.main, self.link, self.sig, self.size, self.number = tag, text, [], False, False, 0, None, 1, 0
+
+
+def _noise(token: str) -> bool:
+    """Whether a name says that its element is no content: the whole name, its last part, or its first unless it ends as main."""
+    parts = [p for p in _PARTS.split(token) if p]
+    return token in NOT_CONTENT_NAMES or bool(parts) and (parts[-1] in NOT_CONTENT_NAMES or parts[0] in NOT_CONTENT_NAMES and parts[-1] not in MAIN_NAMES and len(parts) == 2)
 
 
 def _roles(tag: str, attrs: str) -> tuple[bool, bool]:
     """Whether an element is no content by its name, and whether it is named as the main part."""
     if tag in NOT_CONTENT:
         return True, False
-    words: set[str] = set()
+    tokens: set[str] = set()
     for _, a, b, c in _NAMES.findall(attrs) if attrs else ():
-        words.update(_WORD.findall((a or b or c).lower()))
-    main = tag in ("article", "main") or "main" in words and tag in ("div", "section") or "articlebody" in words
-    if words & NOT_CONTENT_NAMES:
+        tokens.update((a or b or c).lower().split())
+    if any(map(_noise, tokens)):
         return True, False
-    if (tag == "header" or words & HEADER_NAMES) and not words & MAIN_NAMES:
+    ends = {_PARTS.split(t)[-1] for t in tokens} | tokens
+    if tag not in INLINE and (tag == "header" or ends & HEADER_NAMES) and not ends & MAIN_NAMES:
         return tag not in ("h1", "h2", "h3", "h4", "h5", "h6"), False
+    main = tag in ("article", "main") or "main" in tokens and tag in ("div", "section") or "articlebody" in tokens
     return bool(attrs and _HIDDEN.search(attrs)), main
 
 
 def parse(page: str) -> Node:
-    """The block tree of a page. Inline elements melt into the text around them; white space runs become one space."""
+    """The block tree of a page. Inline elements melt into the text around them; white space runs become one space.
+
+    An inline element that is no content by its name takes its text along, and the text around it stays one run.
+    """
     root = Node("#root")
     stack = [root]
     run: list[str] = []
     links = linked = 0
+    mute: list[tuple[str, int]] = []  # open inline elements without content, and how deep they stand
 
     def flush() -> None:
         nonlocal linked
@@ -108,9 +123,10 @@ def parse(page: str) -> Node:
     for m in iter(lambda: _TAG.search(page, at), None):
         if m.start() > at:
             piece = page[at : m.start()]
-            piece = htmllib.unescape(piece) if "&" in piece else piece
-            run.append(piece)
-            linked += len(piece) if links else 0
+            if not mute:
+                piece = htmllib.unescape(piece) if "&" in piece else piece
+                run.append(piece)
+                linked += len(piece) if links else 0
         at = m.end()
         name = m[2]
         if name is None:
@@ -123,6 +139,11 @@ def parse(page: str) -> Node:
                 at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
             continue
         if tag in INLINE:
+            if mute and closing and any(t == tag for t, _ in mute):
+                while mute.pop()[0] != tag:
+                    pass
+            elif not closing and tag not in VOID and (mute or m[3]) and (tag in (t for t, _ in mute) or _roles(tag, m[3])[0]):
+                mute.append((tag, len(stack)))
             if tag == "a":
                 links = max(0, links + (-1 if closing else 1))
             elif tag in ("br", "img", "wbr"):
@@ -137,6 +158,8 @@ def parse(page: str) -> Node:
                 if tag == "p" and stack[i].tag in ("article", "main", "section", "div", "td", "li"):
                     break
             links = 0
+            while mute and mute[-1][1] > len(stack):
+                mute.pop()
             continue
         if tag in CLOSES_P:
             if stack[-1].tag == "p":
@@ -153,12 +176,13 @@ def parse(page: str) -> Node:
         node.drop, node.main = _roles(tag, m[3])
         if tag == "header" and any(n.main for n in stack):
             node.drop = False
+        node.drop = node.drop or bool(mute)
         stack[-1].children.append(node)
         if tag not in VOID and not (m[3].endswith("/") and tag in RAW):
             stack.append(node)
         if tag not in ("p", "li", "td"):
             links = 0
-    if at < len(page):
+    if at < len(page) and not mute:
         run.append(htmllib.unescape(page[at:]))
     flush()
     return root
@@ -279,91 +303,212 @@ def _pairs(x: Node, y: Node, scores: dict) -> list[tuple[Node, Node]]:
     return found
 
 
-def leaves(root: Node) -> list[tuple[Node, bool, bool, bool]]:
-    """Text runs in page order with: under a dropped element, under a main element, under a heading."""
-    out, todo = [], [(root, False, False, False)]
+def numbered(page: str) -> tuple[Node, list[Node]]:
+    """The tree of a reference page and its nodes in page order; a node's number is its place in that list."""
+    root = parse(page)
+    signature(root)
+    order, todo = [], [root]
     while todo:
-        n, drop, main, head = todo.pop()
+        n = todo.pop()
+        n.number = len(order)
+        order.append(n)
+        todo += reversed(n.children)
+    return root, order
+
+
+class Run:
+    """A text run of a page with what the elements around it say: dropped, main, heading, its place and that of its block."""
+
+    __slots__ = ("around", "drop", "head", "inside", "link", "main", "spot", "text")
+
+    def __init__(self, leaf: Node, state: tuple, spot: Node | None) -> None:
+        self.text, self.link, self.spot = leaf.text, leaf.link, spot
+        self.drop, self.main, self.head, self.around = state
+
+    @property
+    def chars(self) -> int:
+        """What the run counts for when the content is looked for: nothing where a name drops it or where it is mostly links."""
+        return 0 if self.drop or self.link * 2 > len(self.text) else len(self.text)
+
+
+def runs(page: str, reference: Node | None) -> list[Run]:
+    """Text runs in page order, each with its node of the reference page (None without one)."""
+    root, places = parse(page), {}
+    if reference is not None:
+        signature(root)
+        align(root, reference, places)
+    out, todo = [], [(root, (False, False, False, reference))]
+    while todo:
+        n, (drop, main, head, around) = todo.pop()
+        spot = places.get(id(n))
         if n.tag == "#":
-            out.append((n, drop, main, head))
+            out.append(Run(n, (drop, main, head, around), spot))
         else:
-            state = (drop or n.drop, main or (n.main and not drop), head or n.tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
-            todo += [(c, *state) for c in reversed(n.children)]
+            state = (drop or n.drop, main or (n.main and not drop), head or n.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), around if spot is None else spot)
+            todo += [(c, state) for c in reversed(n.children)]
     return out
 
 
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
+def survey(pages: Iterable[list[Run]]) -> dict[tuple[int, int | None], list[int]]:
+    """{(node, text): [pages, characters]}: how often each text stands at each node of the reference page.
+
+    Runs without a place of their own count under the block around them, with no text.
+    """
+    found: dict[tuple[int, int | None], list[int]] = {}
+    for page in pages:
+        for r in page:
+            key = (r.around.number, None) if r.spot is None else (r.spot.number, digest(r.text))
+            own = found.setdefault(key, [0, 0])
+            own[0] += r.spot is not None
+            own[1] += r.chars
+    return found
+
+
+def totals(found: dict[tuple[int, int | None], list[int]]) -> list[tuple[int, int, int, int | None, int, int]]:
+    """What Spark makes of the surveys of a large host: (node, pages, characters, most frequent text, its pages and characters)."""
+    out: dict[int, list] = {}
+    for (node, text), (pages, chars) in found.items():
+        row = out.setdefault(node, [0, 0, None])
+        row[0] += pages
+        row[1] += chars
+        if text is not None:
+            row[2] = max(row[2] or (0, text, 0), (pages, text, chars))
+    return [(node, pages, chars, *((best[1], best[0], best[2]) if best else (None, 0, 0))) for node, (pages, chars, best) in out.items()]
+
+
+class Template:
+    """What a host's pages share: the frequent text of each slot, and the block that holds most of what varies."""
+
+    def __init__(self, order: list[Node], rows: Iterable[tuple[int, int, int, int | None, int, int]]) -> None:
+        self.slots = {node: (text, times, pages) for node, pages, _, text, times, _ in rows if text is not None}
+        mass = [0] * len(order)
+        for node, pages, chars, text, times, of_text in rows:
+            mass[node] = chars - (of_text if text is not None and times >= LEAST_PAGES and times >= SHARE * pages else 0)
+        parent: list[int | None] = [None] * len(order)
+        for n in reversed(order):  # children come after their parent
+            for c in n.children:
+                mass[n.number] += mass[c.number]
+                parent[c.number] = n.number
+        region = order[0]
+        while True:
+            blocks = [c for c in region.children if any(x.tag != "#" for x in c.children)]
+            best = max(blocks, key=lambda c: mass[c.number], default=None)
+            if best is None or not mass[best.number] or mass[best.number] < REGION_SHARE * mass[region.number]:
+                break
+            region = best
+        up: int | None = region.number
+        while up is not None:  # what is named as main around it belongs to it
+            region = order[up] if order[up].main else region
+            up = parent[up]
+        self.inside = frozenset(range(region.number, region.number + region.size)) if mass[region.number] and region is not order[0] else None
+
+    def constant(self, r: Run, least: int, share: float) -> bool:
+        if r.spot is None or r.spot.number not in self.slots:
+            return False
+        text, times, pages = self.slots[r.spot.number]
+        return times >= least and times >= share * pages and text == digest(r.text)
+
+
+def content(page: list[Run], template: Template | None) -> str:
+    """The text of the content region's varying slots; without a region, that of the elements named as main, or of all."""
+    inside = template.inside if template else None
+    within = [not r.drop and inside is not None and r.around.number in inside for r in page]
+    if not any(within):
+        within = [not r.drop for r in page]
+    marked = any(r.main for r, ok in zip(page, within) if ok)
+    found, spare = [], []
+    for r, ok in zip(page, within):
+        if not ok or (marked and not r.main) or (not marked and not r.head and r.link * 2 > len(r.text)):
+            continue
+        spare.append(r.text)
+        if not template or not template.constant(r, *((LEAST_PAGES_MAIN, SHARE_MAIN) if r.main or inside is not None else (LEAST_PAGES, SHARE))):
+            found.append(r.text)
+    return "\n\n".join(found or spare)
+
+
 class Wrapper:
-    """Template of a group of same-host pages: how often each text stands at each node of a reference page."""
+    """The pages of one host that fit in a task: surveyed, induced and extracted at once."""
 
-    def __init__(self, pages: list[str]) -> None:
+    def __init__(self, pages: Iterable[str], reference: str | None = None) -> None:
         distinct = sorted(set(pages), key=lambda p: (len(p), p))
-        self.n = len(distinct)
-        self.texts: dict[int, Counter] = {}
-        self.reference = parse(distinct[len(distinct) // 2]) if self.n else Node("#root")
-        signature(self.reference)
-        self.trees: dict[str, tuple[Node, dict[int, Node]]] = {}
-        for page in distinct:
-            tree, places = parse(page), {}
-            signature(tree)
-            if self.n >= LEAST_PAGES:
-                align(tree, self.reference, places)
-            kept = {}
-            for leaf, *_ in leaves(tree):
-                spot = places.get(id(leaf))
-                if spot is not None:
-                    kept[id(leaf)] = id(spot)
-                    self.texts.setdefault(id(spot), Counter())[hash(leaf.text)] += 1
-            self.trees[page] = (tree, kept)
-
-    def constant(self, spot: int | None, text: str, least: int, share: float) -> bool:
-        if spot is None:
-            return False
-        seen = self.texts[spot]
-        times = seen[hash(text)]
-        return times >= least and times >= share * sum(seen.values())
+        self.template = None
+        root = order = None
+        if len(distinct) >= LEAST_PAGES:
+            root, order = numbered(distinct[len(distinct) // 2] if reference is None else reference)
+        self.pages = {p: runs(p, root) for p in distinct}
+        if order:
+            self.template = Template(order, totals(survey(self.pages.values())))
 
     def extract(self, page: str) -> str:
-        tree, places = self.trees[page]
-        runs = leaves(tree)
-        marked = any(main and not drop for _, drop, main, _ in runs)
-        content, spare = [], []
-        for leaf, drop, main, head in runs:
-            if drop or (marked and not main):
-                continue
-            if not marked and not head and leaf.link * 2 > len(leaf.text):
-                continue
-            spare.append(leaf.text)
-            if not self.constant(places.get(id(leaf)), leaf.text, *((LEAST_PAGES_MAIN, SHARE_MAIN) if main else (LEAST_PAGES, SHARE))):
-                content.append(leaf.text)
-        return "\n\n".join(content or spare)
+        return content(self.pages[page], self.template)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per input row.
 
-    Pages of a host are dealt into groups of about GROUP pages, so that a host of any size is spread over tasks; each group
-    aligns its distinct pages with a reference page. Text runs whose place holds the same text on most pages are template;
-    varying ones are content unless their element's name says otherwise (navigation, adverts, comments and the like) or, on
-    pages without a main element, they are mostly links. Where all that is left would be template (copies of one page), the
-    runs stay. Null html gives an empty text; null urls form one host; repeated rows repeat; an empty table stays empty.
+    All distinct pages of a host are aligned with one reference page, that of the middle length. Text that stands at its place on
+    most pages is template. What varies and is not mostly links shows where the content is: from the root down, a block that
+    holds nearly all of it is entered, and the varying slots of the last one are content unless an element's name says otherwise
+    (navigation, adverts, comments and the like). Names of main elements decide only where nothing can be induced (fewer than
+    three distinct pages, or a page that has no such block). A host of any size is dealt into parts by its pages' content; the
+    parts' counts are summed over the host, so its size changes nothing. Where all that is left would be template (copies of one
+    page), the runs stay. Null html gives an empty text; null urls form one host; repeated rows repeat; an empty table stays empty.
     """
     pages = plain(pages, "page_id", "url", "html")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    large = own.groupBy("host").count().where(F.col("count") > GROUP).select(F.col("host").alias("_host"), F.ceil(F.col("count") / GROUP).alias("_parts"))
-    large = checkpoint(large)
-    if large.count() <= BROADCAST_HOSTS:  # pages then stay where they are until they are dealt
-        large = F.broadcast(large)
-    dealt = own.join(large, F.col("host") == F.col("_host"), "left").withColumn("part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.col("_parts"))))
-
-    def run(t: pa.Table) -> pa.Table:
-        html = t.column("html").to_pylist()
-        wrapper = Wrapper(html)
-        done: dict[str, str] = {}
-        texts = [done[p] if p in done else done.setdefault(p, wrapper.extract(p)) for p in html]
-        return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
-
-    types = dict(pages.dtypes)
+    own = own.withColumn("chars", F.length("html")).withColumn("digest", F.xxhash64("html"))
+    hosts = checkpoint(own.groupBy(F.col("host").alias("_host")).agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.percentile_approx("chars", 0.5).alias("_middle")))
+    few = hosts.count() <= BROADCAST_HOSTS  # pages then stay where they are until they are dealt
+    placed = own.join(F.broadcast(hosts) if few else hosts, F.col("host") == F.col("_host")).withColumn("part", F.pmod("digest", "parts"))
+    chosen = placed.groupBy("host").agg(F.min(F.struct(F.abs(F.col("chars") - F.col("_middle")), "digest"))["digest"].alias("_digest"))
+    chosen = checkpoint(chosen.withColumnRenamed("host", "_chosen"))
+    reference = placed.join(F.broadcast(chosen) if few else chosen, (F.col("host") == F.col("_chosen")) & (F.col("digest") == F.col("_digest"))).groupBy("host", "parts").agg(F.min("html").alias("reference"))
     # tasks follow the number of pages, whatever the session's number of shuffle partitions
     tasks = max(1, -(-pages.count() // (GROUP * 4)), min(pages.sparkSession.sparkContext.defaultParallelism, 8))
-    return dealt.select("page_id", "url", "html", "host", "part").repartition(tasks, "host", "part").groupBy("host", "part").applyInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars bigint")
+    dealt = placed.select("page_id", "url", "html", "host", "part").repartition(tasks, "host", "part")
+    large = checkpoint(reference.where("parts > 1"))
+    # a column of its own: that of the checkpoint still counts as the pages' one, and the two meet below
+    asked = large.select(F.concat("host", F.lit("")).alias("host"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "reference")
+
+    def look(own: pa.Table, asked: pa.Table) -> pa.Table:
+        """Survey of a part of a large host."""
+        rows: list[tuple] = []
+        if own.num_rows and asked.num_rows:
+            root, _ = numbered(asked.column("reference")[0].as_py())
+            html = sorted(set(own.column("html").to_pylist()))
+            name = own.column("host")[0].as_py()
+            rows = [(name, *key, *value) for key, value in survey(runs(p, root) for p in html).items()]
+        columns = list(zip(*rows)) or [()] * 5
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("host", "node", "text", "pages", "chars"), columns, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))})
+
+    seen = dealt.groupBy("host", "part").cogroup(asked.groupBy("host", "part")).applyInArrow(look, "host string, node int, text bigint, pages bigint, chars bigint")
+    slots = seen.groupBy("host", "node", "text").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars")).groupBy("host", "node")
+    best = F.max(F.when(F.col("text").isNotNull(), F.struct("pages", "text", "chars"))).alias("best")
+    slots = slots.agg(F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), best)
+    # one row a host: as many slots as its reference page has nodes
+    row = F.struct("node", "pages", "chars", F.col("best.text").alias("text"), F.col("best.pages").alias("times"), F.col("best.chars").alias("of_text"))
+    induced = asked.join(slots.groupBy("host").agg(F.collect_list(row).alias("slots")), "host").select("host", "part", "reference", "slots")
+
+    def read(own: pa.Table, induced: pa.Table) -> pa.Table:
+        html = own.column("html").to_pylist()
+        if not induced.num_rows:
+            texts = _texts(html, Wrapper(html).extract)
+        else:
+            root, order = numbered(induced.column("reference")[0].as_py())
+            rows = [(s["node"], s["pages"], s["chars"], s["text"], s["times"] or 0, s["of_text"] or 0) for s in induced.column("slots")[0].as_py()]
+            template = Template(order, rows)
+            texts = _texts(html, lambda p: content(runs(p, root), template))
+        return pa.table({"page_id": own.column("page_id"), "url": own.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
+
+    types = dict(pages.dtypes)
+    return dealt.groupBy("host", "part").cogroup(induced.groupBy("host", "part")).applyInArrow(read, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars bigint")
+
+
+def _texts(pages: list[str], one) -> list[str]:
+    done: dict[str, str] = {}
+    return [done[p] if p in done else done.setdefault(p, one(p)) for p in pages]

@@ -29,7 +29,8 @@ def by_id(df, key="doc_id"):
 
 
 def words(rng, n, pool=60):
-    return " ".join(rng.choice([f"w{i}x" for i in range(pool)]) for _ in range(n))
+    known = [f"w{i}x" for i in range(pool)]
+    return " ".join(rng.choice(known) for _ in range(n))
 
 
 # 1: exact substrings
@@ -403,6 +404,69 @@ def test_op5_deep_nesting():
         assert all(f"Deep {i}." in t for i, t in enumerate(map(wrapper.Wrapper(pages).extract, pages)))
 
 
+def test_op5_odd_markup():
+    from spoolwave.llm.wrapper import Wrapper
+
+    one = lambda page: Wrapper([page]).extract(page)
+    assert one('<p title="5" tall">two</p><p>three</p>') == "two\n\nthree" and one('a<img alt=5" src=x>b') == "a b"
+    assert one('<p title="a > b">x</p>') == "x" and one("<p " + "a='b' " * 3000 + "c") .startswith("<p ")
+    assert one('<p>Read <span class="ad">BUY</span>on <b hidden>no</b><a class="share" href=x>Tweet <i>it</i></a>and on.</p>') == "Read on and on."
+    assert one('<div><span class="ad"><div>BUY</div></span><p>Text.</p></div>') == "Text."
+    for name in ("text-ad-free", "story-related-facts", "shadow", "header-free-content", "adventure"):
+        assert one(f'<section class="{name}"><p>Kept.</p></section>') == "Kept."
+    for name in ("sidebar", "left-sidebar", "ad-slot", "site_footer wide", "post-comments"):
+        assert one(f'<div><div class="{name.replace("_", "-")}"><p>Gone.</p></div><p>Kept.</p></div>') == "Kept."
+
+
+def bare_page(i, rng):
+    """A page without a telling name; menu, advert and notice vary or not, as does the number of paragraphs."""
+    menu = "".join(f'<div><a href="/{rng.random()}">{words(rng, 2)}</a></div>' for _ in range(rng.randint(3, 6)))
+    body = [f"Story {i} " + words(rng, rng.randint(20, 60)) for _ in range(rng.randint(2, 7))]
+    inner = "".join(f"<p>{b}</p>" for b in body)
+    return f"<body><div>{menu}</div><div>{words(rng, 3)}</div><div><h1>Title {i}</h1>{inner}</div><div>All rights with us</div></body>", "\n\n".join([f"Title {i}", *body])
+
+
+@pytest.mark.parametrize("group", [400, 3])
+def test_op5_without_any_name(spark, monkeypatch, group):
+    from spoolwave.llm import wrapper
+
+    monkeypatch.setattr(wrapper, "GROUP", group)
+    rng = random.Random(21)
+    made = [bare_page(i, rng) for i in range(30)]
+    rows = [(i, f"http://h{i % 2}.example/{i}", html) for i, (html, _) in enumerate(made)]
+    got = by_id(wrapper.extract(spark.createDataFrame(rows + rows[:2], PAGE)), "page_id")
+    assert [got[i][0].text for i in range(30)] == [text for _, text in made] and len(got[0]) == len(got[1]) == 2
+    # without a host's other pages nothing tells the menu's end from the story
+    assert all(wrapper.Wrapper([html]).extract(html) != text for html, text in made)
+
+
+def test_op5_parts_of_a_host_agree(spark, monkeypatch):
+    from spoolwave.llm import wrapper
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", F.lit("http://one.example/").alias("url"), "html")
+    whole = {r.page_id: r.text for r in wrapper.extract(pages).collect()}
+    monkeypatch.setattr(wrapper, "GROUP", 4)
+    assert {r.page_id: r.text for r in wrapper.extract(pages).collect()} == whole
+
+
+def test_op5_template_against_brute_force():
+    from spoolwave.llm.wrapper import LEAST_PAGES, SHARE, Template, numbered, runs, survey, totals
+
+    rng = random.Random(22)
+    html = [bare_page(i, rng)[0] for i in range(12)]
+    root, order = numbered(html[3])
+    pages = [runs(h, root) for h in html]
+    rows = totals(survey(pages))
+    template = Template(order, rows)
+    stand = [(r.spot.number, r.text) for page in pages for r in page if r.spot is not None]
+    for page in pages:
+        for r in page:
+            times, here = stand.count((r.spot.number, r.text)) if r.spot else 0, sum(n == r.spot.number for n, _ in stand) if r.spot else 0
+            # of two equally frequent texts at most one is template, so the share must be above a half to be sure
+            if times * 2 != here:
+                assert template.constant(r, LEAST_PAGES, SHARE) == (times >= LEAST_PAGES and times >= SHARE * here)
+
+
 # 6: rules
 
 
