@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that count as white space in every word rule of the operators: space and 0x09-0x0D.
 SPACE_CLASS = r"\x20\x09-\x0D"
+#: Bytes of a file that Spark reads in one piece.
+SPLIT_BYTES = 128 << 20
 WORD = rf"[^{SPACE_CLASS}]+"
 
 
@@ -30,9 +32,11 @@ def plain(df: DataFrame, *needed: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; in tests (setting absent) one is made and recorded."""
+    """The folder that driver and executors share. Only a local session, whose executors are the driver, may go without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark, "_spoolwave_scratch", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="spoolwave-")
@@ -70,6 +74,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def split_small(df: DataFrame) -> DataFrame:
+    """df over all cores where it is read from fewer files than there are cores, none large enough to be split; else as it lies."""
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < files < cores and size <= files * SPLIT_BYTES else df
+
+
 def text_col(name: str = "text"):
     """Text with null taken as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -5,63 +5,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import plain, text_col
+from spoolwave.llm.common import plain, split_small, text_col
 
-#: Kind, pattern, least length of the match, least length of group 1 (0: no group). The first three are base kinds.
+#: Kind, pattern, least length of the match, least value (length of group 1, or 1 for a mixed token; 0: none asked for), and
+#: strings of which the text in lower case must hold one for a match to be possible (none: every text is searched). The first
+#: three are base kinds.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = (
-    ("assign", ASSIGN, 0, 6),
-    ("access", r"AKIA[A-Z0-9]+", 20, 0),
-    ("hex", r"[0-9a-f]{24,}", 24, 0),
-    ("pair_id", r"""(?i:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 0, 4),
-    ("pair_secret", r"""(?i:pwd|pass|auth|credentials?|private_?key|client_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 0, 8),
-    ("pair_endpoint", r"(?i:https?|ftp|sftp|ssh|amqps?|redis|mysql|postgres(?:ql)?|mongodb)://[A-Za-z0-9@:._-]+", 12, 0),
+    ("assign", ASSIGN, 0, 6, ("passw", "secret", "token", "api")),
+    ("access", r"AKIA[A-Z0-9]+", 20, 0, ("akia",)),
+    ("hex", r"[0-9a-f]{24,}", 24, 0, ()),
+    (
+        "pair_id",
+        r"""(?i:user(?:_?name|_?id)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""",
+        0,
+        4,
+        ("user", "login", "client", "account", "access"),
+    ),
+    (
+        "pair_secret",
+        r"""(?i:pwd|pass|auth|credentials?|private_?key|client_?key|signing_?key|secret_?(?:access_?)?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        0,
+        8,
+        ("pwd", "pass", "auth", "credential", "private", "client", "signing", "secret"),
+    ),
+    ("pair_endpoint", r"(?i:https?|ftp|sftp|ssh|amqps?|redis|mysql|postgres(?:ql)?|mongodb)://[A-Za-z0-9@:._-]+", 12, 0, ("://",)),
+    ("pair_token", r"[A-Za-z0-9+/]{32,}", 32, 1, ()),
 )
 N_BASE = 3
+ACCESS, HEX, ID, SECRET, ENDPOINT, TOKEN = 1, 2, 3, 4, 5, 6
 #: Two parts belong to one scope if their starts are at most this many code points apart.
-SCOPE = 256
+SCOPE = 512
 
 
 def _found(text: Column, kind: int) -> Column:
-    """Array of (kind, gap before, length, length of group 1) of the leftmost non-overlapping matches, failing ones included.
+    """Array of (kind, gap before, length, value) of the leftmost non-overlapping matches, failing ones included.
 
     Gaps are what split leaves between the matches, so starts follow by running sums; only texts with a match are split.
     """
-    _, pattern, _, group = KINDS[kind]
+    _, pattern, _, value, needs = KINDS[kind]
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = (lambda m: F.length(F.regexp_extract(m, pattern, 1))) if group else (lambda m: F.lit(0))
+    if kind == TOKEN:
+        worth = lambda m: (m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")).cast("int")
+    else:
+        worth = (lambda m: F.length(F.regexp_extract(m, pattern, 1))) if value else (lambda m: F.lit(0))
     pieces = F.split(text, pattern, -1)
-    rows = F.zip_with(pieces, hits, lambda p, m: F.struct(F.lit(kind).alias("kind"), F.length(p).alias("gap"), F.length(m).alias("len"), value(m).alias("val")))
-    return F.when(F.size(hits) > 0, F.filter(rows, lambda r: r["len"].isNotNull())).otherwise(F.expr("cast(array() as array<struct<kind:int,gap:int,len:int,val:int>>)"))
+    rows = F.zip_with(pieces, hits, lambda p, m: F.struct(F.lit(kind).alias("kind"), F.length(p).alias("gap"), F.length(m).alias("len"), worth(m).alias("val")))
+    able = F.size(hits) > 0
+    for k, need in enumerate(needs):
+        one = F.contains(F.lower(text), F.lit(need))
+        may = one if k == 0 else may | one
+    able = may & able if needs else able
+    return F.when(able, F.filter(rows, lambda r: r["len"].isNotNull())).otherwise(F.expr("cast(array() as array<struct<kind:int,gap:int,len:int,val:int>>)"))
 
 
 def spans(docs: DataFrame, keys: list[str], text: str = "text", scope: int = SCOPE) -> DataFrame:
     """(*keys, kind int, start bigint, end bigint): base spans and linked weak spans; a row with kind null for a key without.
 
     Rows with equal keys must hold equal texts and give their spans once. Weak parts (identifiers, secrets, endpoints) are
-    reported only when complementary parts start within `scope` code points: an identifier needs a secret, a secret needs an
-    identifier, an endpoint needs both. Base spans count as parts: access as identifier, assign and hex as secret. A weak
-    match that a base span overlaps is not reported again. The interval join is a range frame over starts, so its cost is
-    linear in the matches of a text however dense they are. Offsets are code points, end exclusive. Null text is empty.
+    reported only when complementary parts start within `scope` code points: an identifier needs a secret, a secret or a bare
+    token of mixed characters needs an identifier, an endpoint needs both. Base spans count as parts: access as identifier,
+    assign and hex as secret. An identifier or token inside a labelled secret is part of that secret ("secret_access_key = ..."),
+    and a weak match that a base span overlaps is not reported again. The interval join is a range frame over starts, bounded by
+    the scope; all other frames run from one end, so the cost is linear in the matches of a text. Offsets are code points, end
+    exclusive. Null text is empty.
     """
     found = F.flatten(F.array(*[_found(F.col("_t"), k) for k in range(len(KINDS))]))
     rows = docs.select(*keys, text_col(text).alias("_t")).select(*keys, F.posexplode_outer(found).alias("pos", "m"))
     rows = rows.select(*keys, "pos", F.col("m.kind").alias("kind"), F.col("m.gap").cast("bigint").alias("gap"), F.col("m.len").alias("len"), F.col("m.val").alias("val")).repartition(*keys).dropDuplicates([*keys, "kind", "pos"])
     by_kind = Window.partitionBy(*keys, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(by_kind)).withColumn("start", F.col("end") - F.col("len"))
-    least = F.create_map(*[x for k, (_, _, m, g) in enumerate(KINDS) for x in (F.lit(k), F.struct(F.lit(m).alias("m"), F.lit(g).alias("g")))])[F.col("kind")]
+    least = F.create_map(*[x for k, (_, _, m, g, _) in enumerate(KINDS) for x in (F.lit(k), F.struct(F.lit(m).alias("m"), F.lit(g).alias("g")))])[F.col("kind")]
     good = F.col("kind").isNull() | ((F.col("len") >= least["m"]) & (F.col("val") >= least["g"]))
     near = Window.partitionBy(*keys).orderBy("start").rangeBetween(-scope, scope)
     has = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
-    covered_before = F.max(F.when(F.col("kind") < N_BASE, F.col("end"))).over(Window.partitionBy(*keys).orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
-    base_after = F.min(F.when(F.col("kind") < N_BASE, F.col("start"))).over(Window.partitionBy(*keys).orderBy("start").rangeBetween(0, Window.unboundedFollowing))
-    rows = (
-        rows.withColumn("kind", F.when(good, F.col("kind")))
-        .withColumn("_id", has(1, 3))
-        .withColumn("_secret", has(0, 2, 4))
-        .withColumn("_over", F.coalesce(covered_before > F.col("start"), F.lit(False)) | F.coalesce(base_after < F.col("end"), F.lit(False)))
-    )
-    linked = F.when(F.col("kind") == 3, F.col("_secret")).when(F.col("kind") == 4, F.col("_id")).when(F.col("kind") == 5, F.col("_id") & F.col("_secret")).otherwise(F.lit(True))
+    up_to = Window.partitionBy(*keys).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    from_here = Window.partitionBy(*keys).orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    reach = lambda which: F.max(F.when(which, F.col("end"))).over(up_to)
+    base = F.col("kind") < N_BASE
+    rows = rows.withColumn("kind", F.when(good, F.col("kind")))
+    rows = rows.withColumn("_over", F.coalesce(reach(base) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(base, F.col("start"))).over(from_here) < F.col("end"), F.lit(False)))
+    rows = rows.withColumn("_within", reach(F.col("kind") == SECRET) > F.col("start"))
+    rows = rows.withColumn("kind", F.when(F.coalesce(F.col("kind").isin(ID, TOKEN) & F.col("_within"), F.lit(False)), F.lit(None)).otherwise(F.col("kind")))
+    rows = rows.withColumn("_id", has(ACCESS, ID)).withColumn("_secret", has(0, HEX, SECRET, TOKEN))
+    needs_id, needs_secret = F.col("kind").isin(SECRET, ENDPOINT, TOKEN), F.col("kind").isin(ID, ENDPOINT)
+    linked = (~needs_id | F.col("_id")) & (~needs_secret | F.col("_secret"))
     return rows.withColumn("kind", F.when(linked & ((F.col("kind") < N_BASE) | ~F.col("_over")), F.col("kind"))).select(*keys, "kind", F.when(F.col("kind").isNotNull(), F.col("start")).alias("start"), F.when(F.col("kind").isNotNull(), F.col("end")).alias("end"))
 
 
@@ -70,7 +98,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Null text is empty and has no spans; a null doc_id is kept. An empty table gives an empty result.
     """
-    own = plain(docs, "doc_id", "text").select("doc_id", text_col().alias("text"), F.monotonically_increasing_id().alias("_row"))
+    own = split_small(plain(docs, "doc_id", "text").select("doc_id", text_col().alias("text"))).withColumn("_row", F.monotonically_increasing_id())
     found = spans(own, ["_row", "doc_id"])
     names = F.create_map(*[x for k, spec in enumerate(KINDS) for x in (F.lit(k), F.lit(spec[0]))])
     ordered = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("start", "kind", F.concat_ws(":", names[F.col("kind")], "start", "end").alias("said")))))
@@ -107,9 +135,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 def _oracle() -> str:
     """DuckDB form: positions by running sums of split pieces, linking as an EXISTS interval join."""
     parts = []
-    for k, (_, pattern, m, g) in enumerate(KINDS):
+    for k, (_, pattern, m, g, _) in enumerate(KINDS):
         p = pattern.replace("'", "''")
         v = f"length(regexp_extract(hit, '{p}', 1))" if g else "0"
+        if k == TOKEN:
+            v = "(regexp_matches(hit, '[0-9]') and regexp_matches(hit, '[A-Z]') and regexp_matches(hit, '[a-z]'))::int"
         parts.append(
             f"select r, doc_id, {k} as kind, n, length(piece) as gap, length(hit) as len, {v} as val, {m} as m, {g} as g from (select r, doc_id, unnest(string_split_regex(t, '{p}')) as piece, "
             f"unnest(regexp_extract_all(t, '{p}')) as hit, unnest(range(1, 1 + len(regexp_extract_all(t, '{p}')))) as n from d where regexp_matches(t, '{p}')) where hit is not null"
@@ -119,10 +149,11 @@ def _oracle() -> str:
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 raw as ({' union all '.join(parts)}),
 placed as (select *, sum(gap + len) over (partition by r, kind order by n) as e from raw),
-ok as (select r, doc_id, kind, (e - len)::bigint as s, e::bigint as e from placed where len >= m and val >= g),
+good as (select r, doc_id, kind, (e - len)::bigint as s, e::bigint as e from placed where len >= m and val >= g),
+ok as (select * from good a where kind not in ({ID}, {TOKEN}) or not exists (select 1 from good b where b.r = a.r and b.kind = {SECRET} and b.s <= a.s and b.e > a.s)),
 linked as (select * from ok a where kind < {N_BASE} or (
-  (kind = 4 or exists (select 1 from ok b where b.r = a.r and b.kind in (0, 2, 4) and abs(b.s - a.s) <= {SCOPE}))
-  and (kind = 3 or exists (select 1 from ok b where b.r = a.r and b.kind in (1, 3) and abs(b.s - a.s) <= {SCOPE}))
+  (kind in ({SECRET}, {TOKEN}) or exists (select 1 from ok b where b.r = a.r and b.kind in (0, {HEX}, {SECRET}, {TOKEN}) and abs(b.s - a.s) <= {SCOPE}))
+  and (kind = {ID} or exists (select 1 from ok b where b.r = a.r and b.kind in ({ACCESS}, {ID}) and abs(b.s - a.s) <= {SCOPE}))
   and not exists (select 1 from ok b where b.r = a.r and b.kind < {N_BASE} and b.s < a.e and b.e > a.s))),
 said as (select r, kind, s, {named}[kind + 1] || ':' || s || ':' || e as x from linked)
 select d.doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,

@@ -40,10 +40,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     t = sizes.withColumn("w", weight.cast("double")).withColumn("cap", (F.col("source_size") * most).cast("double"))
     fill = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = fill.rowsBetween(0, Window.unboundedFollowing)
     t = (
         t.withColumn("budget", F.sum("source_size").over(everything) * F.lit(share))
-        .withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after))
+        .withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
         .withColumn("open", F.col("level") * F.col("w") <= F.col("cap"))
         .withColumn("final", F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("w"), "level"))).over(everything)["level"])
     )

@@ -138,7 +138,7 @@ def test_op2_spans(spark):
 
     text = 'Password: "hunter22" x AKIA' + "A" * 16 + " y " + "0f" * 12 + " token=abc secret = key1"
     pair = "é user=alice42 then pwd=s3cretvalue at https://db.example.com:5432/x"
-    rows = [(1, text), (2, None), (3, ""), (4, pair), (5, "pwd=s3cretvalue alone"), (6, "user=alice42 " + "z" * 400 + " pwd=s3cretvalue"), (7, text), (7, text), (None, "token=abcdef1")]
+    rows = [(1, text), (2, None), (3, ""), (4, pair), (5, "pwd=s3cretvalue alone"), (6, "user=alice42 " + "z" * 600 + " pwd=s3cretvalue"), (7, text), (7, text), (None, "token=abcdef1")]
     got = by_id(scan(docs(spark, rows)))
     r = got[1][0]
     kinds = {}
@@ -160,6 +160,40 @@ def test_op2_spans(spark):
     assert clean[5][0].text == "pwd=s3cretvalue alone" and redact(docs(spark, rows)).columns == docs(spark, rows).columns
 
 
+def test_op2_multipart_keys(spark):
+    from spoolwave.llm.secret_scan import redact, scan
+
+    key, token = "AKIA" + "Q7" * 8, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    texts = {
+        1: f"aws_access_key_id = {key}\naws_secret_access_key = {token}\n",
+        2: f"secret_key: {token} for user_id: u-1234",
+        3: f"{key} {token} at https://s3.example.com/bucket",
+        4: f"lonely {token} here",
+        5: f"secret_access_key = {token}",
+        6: "user: bob-the-builder " + "x" * 450 + f" signing_key={token}",
+    }
+    got = {i: [texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in v[0].spans.split(",") if s] for i, v in by_id(scan(docs(spark, list(texts.items())))).items()}
+    assert got[1] == [key, f"secret_access_key = {token}"]
+    assert got[2] == [f"secret_key: {token}", "user_id: u-1234"] and got[3] == [key, token, "https://s3.example.com"]
+    assert got[4] == [] and got[5] == [] and got[6] == ["user: bob-the-builder", f"signing_key={token}"]
+    clean = by_id(redact(docs(spark, list(texts.items()))))
+    assert not any(token in clean[i][0].text for i in (1, 2, 3, 6))
+
+
+def test_op2_dense_text_in_linear_time(spark):
+    import time
+
+    from spoolwave.llm.secret_scan import scan
+
+    took = []
+    for n in (2000, 10000, 50000):
+        start = time.time()
+        r = scan(docs(spark, [(1, "token=abcdef1 user=bob77 " * n)])).first()
+        took.append(time.time() - start)
+        assert r.n_assign == n and r.n_linked == n
+    assert took[2] < 8 * took[1] + 5
+
+
 def test_op2_brute_force(spark):
     from spoolwave.llm.secret_scan import scan
 
