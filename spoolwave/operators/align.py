@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def nearest(left: DataFrame, right: DataFrame, key: str, at: str, tolerance: float | int | None = None) -> DataFrame:
     """(key, at, near): for each left time the nearest right time of its key, the earlier of equals; none farther than tolerance.
 
-    Both sides are laid on one time axis per key; the last right time before and the first after come from two window
-    frames, so the cost is one sort however far apart matches are. Ties at the same instant count as distance 0.
+    Both sides are laid on one time axis per key; the last right time before comes from a frame that runs up the axis and the
+    first after from one that runs down it. Both grow row by row, so the cost is two sorts however far apart matches are (a
+    frame up to the following end would be evaluated anew for every row). Ties at the same instant count as distance 0.
     """
     axis = left.select(key, F.col(at).alias("_t"), F.lit(None).cast(dict(right.dtypes)[at]).alias("_r")).unionByName(right.select(key, F.col(at).alias("_t"), F.col(at).alias("_r")))
-    w = Window.partitionBy(key).orderBy("_t")
-    before = F.last("_r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("_r", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    last = lambda t: F.last("_r", ignorenulls=True).over(Window.partitionBy(key).orderBy(t).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before, after = last(F.col("_t").asc()), last(F.col("_t").desc())
     both = axis.withColumn("_b", before).withColumn("_a", after).where("_r is null")
     near = F.when(F.col("_a").isNull() | (F.col("_t") - F.col("_b") <= F.col("_a") - F.col("_t")), F.col("_b")).otherwise(F.col("_a"))
     out = both.select(key, F.col("_t").alias(at), near.alias("near")).where("near is not null")

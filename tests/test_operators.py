@@ -228,3 +228,19 @@ def test_text_functions(spark):
     assert value(spark, text.start_time(F.lit(None).cast("string"), F.lit("Z"), F.lit("2020-01-01T00:00:00")), text.has_zone(F.lit("2020-01-01T00:00:00-05:00"))) == ("2020-01-01T00:00:00Z", True)
     assert value(spark, *text.age(F.lit("P90D"))) == (90, "D") and value(spark, text.hex16(F.lit(255).cast("bigint"))) == "00000000000000ff"
     assert value(spark, text.entries(F.lit("(h)(a:1)(b)")), text.counts(F.lit("1,0,x")), text.number_text(F.lit(2.0))) == (["a:1", "b"], [1, 0, None], "2")
+
+
+def test_nearest_takes_linear_time_on_one_key(spark):
+    import time
+
+    from spoolwave.operators.align import nearest
+
+    took = []
+    for n in (50_000, 500_000):
+        left = spark.range(n).selectExpr("1 as k", "cast(id * 3 as double) as t")
+        right = spark.range(n).selectExpr("1 as k", "cast(id * 3 + 1 as double) as t")
+        start = time.time()
+        row = nearest(left, right, "k", "t").selectExpr("count(*) as n", "max(abs(near - t)) as far", "sum(near - t) as total").first()
+        took.append(time.time() - start)
+        assert (row.n, row.far, row.total) == (n, 1.0, float(n))
+    assert took[1] < 20 * took[0] + 10
