@@ -105,7 +105,6 @@ class Vocabulary:
         return False
 
 
-
 def encode_words(vocab: Vocabulary, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
     """Encodings of distinct words: all go into one trie, and one depth-first walk hands each node its last token.
 
@@ -166,7 +165,7 @@ class Encoder:
         self.vocab = Vocabulary(path)
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
-        self.odd: dict[str, str] = {}  # decoded text of words that do not come back as they were
+        self.said = {str(i): t for i, t in self.vocab.bytes.items()}  # token bytes by the id as it is written
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.vocab.added, key=len, reverse=True)) + ")") if self.vocab.added else None
 
@@ -176,7 +175,7 @@ class Encoder:
         return [w for i, part in enumerate(self.cut.split(text)) for w in ([part] if i % 2 else self.split(part))]
 
     def learn(self, words: set[str]) -> None:
-        """Put these words into the young table: ids joined by commas. What the ids decode to is compared with the word."""
+        """Put these words into the young table: ids joined by commas."""
         if len(self.young) > CACHED_WORDS:
             self.old, self.young = self.young, {}
         new = []
@@ -187,25 +186,25 @@ class Encoder:
             else:
                 self.young[w] = known
         new.sort()  # neighbours share their beginnings
-        added, table = self.vocab.added, self.vocab.bytes.__getitem__
+        added = self.vocab.added
         for at in range(0, len(new), TRIE_WORDS):
             for raw, found in encode_words(self.vocab, [w for w in new[at : at + TRIE_WORDS] if w.decode("utf-8") not in added]):
-                word = raw.decode("utf-8")
-                self.young[word] = ",".join(map(str, found))
-                if (back := b"".join(map(table, found))) != raw:
-                    self.odd[word] = back.decode("utf-8", "replace")
+                self.young[raw.decode("utf-8")] = ",".join(map(str, found))
         for content in words.intersection(added):
             self.young[content] = str(added[content])
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
-        """Per text: token count, ids joined by commas, text that the ids decode to."""
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, str]]:
+        """Per text: token count, ids joined by commas."""
         split = [self.pieces(t) for t in texts]
         self.learn(set().union(*split))
         get = self.young.__getitem__
         for parts in split:
             ids = ",".join(map(get, parts))
-            decoded = "".join([self.odd.get(w, w) for w in parts] if self.odd else parts)
-            yield (ids.count(",") + 1 if ids else 0), ids, decoded
+            yield (ids.count(",") + 1 if ids else 0), ids
+
+    def decode(self, ids: str) -> str:
+        """The text of a sequence of ids joined by commas: the tokens' bytes end to end; what is no UTF-8 becomes U+FFFD."""
+        return b"".join(map(self.said.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -244,8 +243,8 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc, rows = encoder(vocabulary), []
         for own in groups(batch.column(1).to_pylist()):
-            for n, ids, decoded in enc.encode(own):
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
+            for n, ids in enc.encode(own):
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(enc.decode(ids).encode("utf-8")).hexdigest()))
         n, ids, dec = zip(*rows)
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(dec, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -258,7 +257,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc = encoder(vocabulary)
-        ids = [[int(x) for x in joined.split(",")] if joined else [] for own in groups(batch.column(1).to_pylist()) for _, joined, _ in enc.encode(own)]
+        ids = [[int(x) for x in joined.split(",")] if joined else [] for own in groups(batch.column(1).to_pylist()) for _, joined in enc.encode(own)]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     docs = plain(docs, "doc_id", "text")
@@ -269,8 +268,8 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids): invalid UTF-8 becomes U+FFFD; null ids give an empty text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = encoder(vocabulary).vocab.bytes
-        texts = [b"".join(map(table.__getitem__, ids or ())).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+        enc = encoder(vocabulary)
+        texts = [enc.decode(",".join(map(str, ids or ()))) for ids in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return map_batches(encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids"), run, "doc_id bigint, text string")
