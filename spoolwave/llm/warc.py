@@ -268,21 +268,30 @@ class WarcReader(DataSourceReader):
         return at + size, row
 
     def _member(self, f: io.BufferedReader, at: int) -> tuple[int, dict | None]:
-        z, plain, fed = zlib.decompressobj(31), b"", 0
+        """A gzip member of unknown length: inflated to the end of the headers, then kept if the record is wanted, else dropped
+        piece by piece, since only inflating finds where it ends."""
+        z, plain, fed = zlib.decompressobj(31), bytearray(), 0
+        row, cut, keep = None, -1, True
         while not z.eof:
             data = f.read(1 << 16)
             if not data:
                 raise EOFError("a gzip member ends early")
-            plain += z.decompress(data)
             fed += len(data)
+            piece = z.decompress(data)
+            if keep:
+                plain += piece
+            if cut < 0 and (cut := plain.find(b"\r\n\r\n")) >= 0:
+                row = header_row(bytes(plain[:cut]))
+                wanted = self.wanted(row)
+                keep, row = wanted and self.payload, row if wanted else None
+                if not keep:
+                    plain.clear()
+        if cut < 0:
+            raise ValueError("a WARC record without a header end")
         at += fed - len(z.unused_data)
         f.seek(at)
-        cut = plain.find(b"\r\n\r\n")
-        row = header_row(plain[:cut])
-        if not self.wanted(row):
-            return at, None
-        if self.payload:
-            row["payload"] = _payload(row, plain[cut + 4 : cut + 4 + row["content_length"]])
+        if row is not None and self.payload:
+            row["payload"] = _payload(row, bytes(plain[cut + 4 : cut + 4 + row["content_length"]]))
         return at, row
 
     def _plain(self, f: io.BufferedReader, at: int) -> tuple[int, dict | None]:
@@ -365,7 +374,9 @@ def as_records(pages: DataFrame) -> DataFrame:
         .drop("_n")
     )
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return own.join(shared, F.col("payload_digest") == F.col("_digest"), "left").select(
+    # payloads that are never shared get keys of their own, so that all empty pages do not meet in one task
+    key = F.when(F.length("payload") >= LEAST_SHARED, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    return own.withColumn("_key", key).join(shared, F.col("_key") == F.col("_digest"), "left").select(
         "page_id", "url", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"), "payload_digest", "payload"
     )
 
