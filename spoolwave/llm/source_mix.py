@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import SPACE_CLASS, WORD, plain, text_col
+from spoolwave.llm.common import SPACE_CLASS, WORD, checkpoint, plain, split_small, text_col
 
 #: Key ranges per source. A prefix sum runs inside one range; a task sees 1/RANGES of a source, however large the source is.
 RANGES = 4096
@@ -59,25 +59,25 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...]
     Null text has size 0 and takes 0. Null sources are one source, the last. Ties in the key (repeated ids) are ordered by
     size and text; equal rows are interchangeable. Empty input gives an empty result.
     """
-    docs = plain(docs, "doc_id", "text", "source", *keep)
-    base = docs.select(
-        F.col("doc_id"), F.col("source").alias("source"), word_count(text_col()).alias("size"), F.xxhash64("text").alias("_tie"), *keep
-    )
-    totals = targets(docs.select("source", word_count(text_col()).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")))
+    docs = split_small(plain(docs, "doc_id", "text", "source", *keep))
+    base = docs.select("doc_id", "source", word_count(text_col()).alias("size"), F.xxhash64("text").alias("_tie"), *keep)
     if quality is not None:
         q = quality.groupBy(F.col("doc_id").alias("_q_id")).agg(F.avg("quality").alias("_q"))
         base = base.join(q, base["doc_id"] == q["_q_id"], "left").withColumn("_w", F.coalesce(F.lit(0.5) + 1.5 * F.col("_q"), F.lit(1.0))).drop("_q_id", "_q")
     else:
         base = base.withColumn("_w", F.lit(1.0))
     keyed = base.withColumn("_key", sampling_key(F.col("doc_id"), F.col("_w"))).withColumn("_range", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * RANGES))
+    # texts are read and counted once; everything below works on this table of ids and sizes
+    keyed = checkpoint(keyed)
+    ranges = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
+    totals = targets(ranges.groupBy("source").agg(F.sum("_sum").alias("source_size")))
     # a source key without nulls, so that the join below finds the rows where the window has put them
     keyed = keyed.withColumn("_s", _source_key())
     within = Window.partitionBy("_s", "_range").orderBy("_key", "size", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     keyed = keyed.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     # one row per source and range, at most RANGES + 1 a source
-    per_range = base_ranges(docs, quality)
     ahead = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
+    offsets = ranges.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
     offsets = offsets.withColumn("_s", _source_key()).drop("source")
     offsets = offsets.join(totals.withColumn("_s", _source_key()).drop("source"), "_s")
     out = keyed.join(offsets, ["_s", "_range"])
@@ -93,21 +93,6 @@ def _source_key() -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
 
 
-def base_ranges(docs: DataFrame, quality: DataFrame | None) -> DataFrame:
-    """(source, _range, _sum): words per key range, from a pass over ids, sources and sizes alone."""
-    base = docs.select("doc_id", "source", word_count(text_col()).alias("size"))
-    if quality is not None:
-        q = quality.groupBy(F.col("doc_id").alias("_q_id")).agg(F.avg("quality").alias("_q"))
-        base = base.join(q, base["doc_id"] == q["_q_id"], "left").withColumn("_w", F.coalesce(F.lit(0.5) + 1.5 * F.col("_q"), F.lit(1.0)))
-    else:
-        base = base.withColumn("_w", F.lit(1.0))
-    return (
-        base.withColumn("_range", F.floor((F.lit(1.0) - F.exp(-sampling_key(F.col("doc_id"), F.col("_w")))) * RANGES))
-        .groupBy("source", "_range")
-        .agg(F.sum("size").alias("_sum"))
-    )
-
-
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """The mix as documents: a row for each whole copy taken, and one cut after its words for the document that crosses a target.
 
