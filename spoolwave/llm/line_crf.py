@@ -43,8 +43,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
         n = len(words)
         if not n:
             continue
-        size = len(line)
-        body = size - (size - len(line.translate(None, SPACES)))
+        size, body = len(line), len(line.translate(None, SPACES))
         count = lambda chars, line=line, size=size: size - len(line.translate(None, chars))
         triples = list(zip(words, words[1:], words[2:]))
         own = set(triples)
@@ -252,7 +251,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows that the classifier rejects; columns and their order unchanged."""
+    """docs without the rows that the classifier rejects; columns and their order unchanged.
+
+    A null or empty text scores 0 and goes. Ids play no part: rows of one id, or of none, are judged by their texts. Without labels
+    of both kinds nothing but rows without a line goes. An empty table stays empty.
+    """
     model, at = train(docs, labels), docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

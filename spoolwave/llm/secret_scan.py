@@ -109,7 +109,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span replaced by a mark (overlapping spans by one), n_chars following; other rows unchanged."""
+    """docs with every reported span replaced by a mark (overlapping spans by one), n_chars following; other rows unchanged.
+
+    Spans are found once for rows that are equal in id and text, null ids included; a null text stays null. An empty table stays
+    empty.
+    """
     given, docs = docs.columns, plain(docs, "doc_id", "text", "n_chars")
     digest = F.md5(text_col("text"))
     keyed = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), digest.alias("_digest"))
