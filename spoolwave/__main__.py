@@ -1,9 +1,10 @@
-"""python -m spoolwave formats | inspect PATH | convert PATH STORE | verify STORE."""
+"""python -m spoolwave formats | containers PATH | inspect PATH | convert PATH STORE | verify STORE."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -15,6 +16,8 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("formats", help="list the readers")
     one = sub.add_parser("inspect", help="channels, samples and first values of a recording folder")
     one.add_argument("path")
+    four = sub.add_parser("containers", help="blocks, runs or recordings below a folder")
+    four.add_argument("path")
     two = sub.add_parser("convert", help="write a recording folder to a store and verify it")
     two.add_argument("path")
     two.add_argument("store")
@@ -25,39 +28,32 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "formats":
         from spoolwave.sources.registry import builtin
 
-        print("\n".join([r.name for r in builtin().readers] + ["spikeglx", "openephys"]))
+        from spoolwave.sources.folders import FOLDERS
+
+        print("\n".join([r.name for r in builtin().readers] + [f.name for f in FOLDERS]))
         return 0
     spark = SparkSession.builder.appName("spoolwave").getOrCreate()
     from spoolwave.plans import job
+    from spoolwave.sources.folders import containers, open_folder
 
     if args.command == "verify":
         found = [r.asDict() for r in job.structural_checks(spark.read.parquet(args.store)).limit(100).collect()]
         print(json.dumps(found, indent=2))
         return int(bool(found))
-    source = open_folder(spark, args.path)
+    if args.command == "containers":
+        print("\n".join(containers(as_uri(args.path))))
+        return 0
+    session = open_folder(spark, as_uri(args.path))
     if args.command == "inspect":
-        from spoolwave.sources import stretches
-
-        print("\n".join(json.dumps(r.asDict()) for r in job.inspect(stretches.read(source)).orderBy("recording").collect()))
+        print("\n".join(json.dumps(r.asDict()) for r in job.inspect(session.chunks()).orderBy("recording").collect()))
         return 0
-    report = job.Job(spark, source).write(args.store, args.overwrite)
+    report = job.Job.of(spark, session).write(args.store, args.overwrite)
     print(report.json())
     return int(not report.ok)
 
 
-def open_folder(spark: SparkSession, path: str):
-    """Stretches of the recordings in a folder, by what lies in it."""
-    from spoolwave.sources import openephys, spikeglx
-
-    uri = path if "://" in path else f"file://{path}"
-    if folders := openephys.walk(uri, "structure.oebin"):
-        out = [openephys.binary_stretches(spark, f"file://{f}") for f in folders]
-        for more in out[1:]:
-            out[0] = out[0].unionByName(more)
-        return out[0]
-    if spikeglx.runs(uri):
-        return spikeglx.run_stretches(spark, uri)
-    raise ValueError(f"no reader opens {path}")
+def as_uri(path: str) -> str:
+    return path if "://" in path else f"file://{os.path.abspath(path)}"
 
 
 if __name__ == "__main__":

@@ -31,23 +31,42 @@ class Report:
     issues: list[dict] = field(default_factory=list)
     mismatches: list[dict] = field(default_factory=list)
     n_mismatches: int = 0
+    tables: dict[str, int] = field(default_factory=dict)
 
     @property
     def ok(self) -> bool:
         return not self.n_mismatches and not self.mismatches and not any(i["level"] == "error" for i in self.issues)
 
     def json(self) -> str:
-        return json.dumps({"store": self.store, "ok": self.ok, "seconds": round(self.seconds, 3), "recordings": self.recordings, "issues": self.issues, "n_mismatches": self.n_mismatches, "mismatches": self.mismatches}, indent=2)
+        return json.dumps({"store": self.store, "ok": self.ok, "seconds": round(self.seconds, 3), "recordings": self.recordings, "tables": self.tables, "issues": self.issues, "n_mismatches": self.n_mismatches, "mismatches": self.mismatches}, indent=2)
 
 
 @dataclass
 class Job:
-    """Stretches (what to read) and a spec (what to write and how). Stop it from another thread with cancel()."""
+    """Stretches or chunks (what to read) and a spec (what to write and how). Stop it from another thread with cancel().
+
+    Events, snippets and further tables of a session are written beside the samples, a folder each (K09-K14).
+    """
 
     spark: SparkSession
     source: DataFrame
     spec: DataFrame | None = None
     group: str = "spoolwave-job"
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, spark: SparkSession, session, spec: DataFrame | None = None) -> Job:
+        """The job of a folder's session, its events and waveforms included."""
+        tables = {}
+        if session.events is not None:
+            tables["events"] = session.events
+        if session.snippets is not None:
+            tables["snippets"] = session.waveforms()
+            tables["units"] = units_table(tables["snippets"])
+        if session.metadata:
+            tables["metadata"] = spark.createDataFrame(sorted(session.metadata.items()), "key string, value string")
+        source = session.signals if session.chunked is None else session.chunks()
+        return cls(spark, source, spec, tables=tables)
 
     def plan(self) -> tuple[DataFrame, DataFrame]:
         """(plan, issues) over the recordings of the source."""
@@ -58,8 +77,8 @@ class Job:
     def samples(self, plan: DataFrame) -> DataFrame:
         """Chunks of the planned recordings under their output names; those left out are never read."""
         keep = plan.select(F.col("name").alias("recording"), "out_name")
-        own = self.source.join(F.broadcast(keep), "recording").withColumn("recording", F.col("out_name")).drop("out_name")
-        return stretches.read(own.select(*self.source.columns))
+        own = self.source.join(keep, "recording").withColumn("recording", F.col("out_name")).drop("out_name").select(*self.source.columns)
+        return stretches.read(own) if "places" in own.columns else own
 
     def write(self, path: str, overwrite: bool = False) -> Report:
         """Plan, write, verify and report. Errors in the plan stop the job before a byte is read."""
@@ -74,6 +93,10 @@ class Job:
         chunks = self.samples(plan)
         chunks.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("recording").parquet(path)
         report.recordings, report.n_mismatches, report.mismatches = self.verify(path, chunks)
+        for name, rows in self.tables.items():
+            at = f"{path.rstrip('/')}.{name}"
+            rows.write.mode("overwrite" if overwrite else "errorifexists").parquet(at)
+            report.tables[name] = self.spark.read.parquet(at).count()
         report.seconds = time.time() - began
         fs, where = file_system(path)
         with fs.open_output_stream(f"{where.rstrip('/')}.report.json") as f:
@@ -106,6 +129,15 @@ class Job:
         return sum(s.numCompletedTasks for s in stages if s), sum(s.numTasks for s in stages if s)
 
 
+def units_table(snippets: DataFrame) -> DataFrame:
+    """(store, channel, sort_code, spikes, first, last, mean): a row per unit, the mean waveform taken point by point."""
+    own = snippets.where("sort_code <> 0")
+    sums = own.groupBy("store", "channel", "sort_code").agg(F.count("*").alias("spikes"), F.min("t").alias("first"), F.max("t").alias("last"))
+    points = own.select("store", "channel", "sort_code", F.posexplode("waveform").alias("_i", "_v")).groupBy("store", "channel", "sort_code", "_i").agg(F.avg("_v").alias("_v"))
+    mean = points.groupBy("store", "channel", "sort_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda s: s["_v"]).alias("mean"))
+    return sums.join(mean, ["store", "channel", "sort_code"])
+
+
 def digests(chunks: DataFrame) -> DataFrame:
     """(recording, channel, first, digest) of every chunk: its values' text is stable across write and read."""
     said = F.concat_ws(",", F.transform("values", lambda v: v.cast("string")))
