@@ -171,7 +171,10 @@ def _blackrock(path: str) -> float:
 
 def _open_blackrock(spark: SparkSession, path: str) -> Session:
     out, signals, events, snippets, warnings = Session("blackrock"), [], [], [], []
-    for base, files in blackrock.file_sets(path).items():
+    sets = blackrock.file_sets(path)
+    for base, files in sets.items():
+        # with several recordings their names tell apart what they hold
+        of = (lambda c, b=base.rsplit("/", 1)[-1]: F.concat(F.lit(f"{b}/"), c)) if len(sets) > 1 else (lambda c: c)
         for file in files:
             at, suffix = _uri(file, path), file.rsplit(".", 1)[1].lower()
             if suffix == "nev":
@@ -179,10 +182,10 @@ def _open_blackrock(spark: SparkSession, path: str) -> Session:
                 rows = blackrock.packets(spark, at, h)
                 words = blackrock.digital_words(rows, h.spec)
                 w = Window.partitionBy("kind").orderBy("pos")
-                events.append(words.select(F.col("kind").alias("series"), (F.row_number().over(w) - 1).cast("bigint").alias("pos"), (F.col("ticks") / h.resolution).alias("onset"), F.lit(None).cast("double").alias("offset"), F.col("value").cast("double").alias("value"), F.lit("").alias("label")))
+                events.append(words.select(of(F.col("kind")).alias("series"), (F.row_number().over(w) - 1).cast("bigint").alias("pos"), (F.col("ticks") / h.resolution).alias("onset"), F.lit(None).cast("double").alias("offset"), F.col("value").cast("double").alias("value"), F.lit("").alias("label")))
                 if h.waves:
                     s = blackrock.spikes(spark, rows, at, h)
-                    snippets.append(s.select("store", F.col("pos").alias("idx"), (F.col("ticks") / h.resolution).alias("t"), F.col("channel").cast("int").alias("channel"), F.col("sort_code").cast("int").alias("sort_code"), "path", F.col("offset").cast("bigint").alias("offset"), F.col("count").cast("int").alias("count"), "dtype", "scale"))
+                    snippets.append(s.select(of(F.col("store")).alias("store"), F.col("pos").alias("idx"), (F.col("ticks") / h.resolution).alias("t"), F.col("channel").cast("int").alias("channel"), F.col("sort_code").cast("int").alias("sort_code"), "path", F.col("offset").cast("bigint").alias("offset"), F.col("count").cast("int").alias("count"), "dtype", "scale"))
             else:
                 found, h = blackrock.nsx_stretches(spark, at, f"{base.rsplit('/', 1)[-1]}.{suffix}")
                 signals.append(found)
