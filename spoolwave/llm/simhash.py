@@ -114,7 +114,9 @@ RECALL = 0.97
 #: Bits of a segment beyond the logarithm of the number of texts, so that chance meetings stay a fixed number a text.
 SPARE_BITS = 6
 #: Words of a long fingerprint at least: what the segments leave over sharpens the distance.
-LEAST_WORDS = 8
+LEAST_WORDS = 24
+#: Words that are compared first; only pairs that pass are compared in all.
+COARSE_WORDS = 8
 #: Pairs of a text that are looked at first, the closest ones.
 FIRST = 3
 #: Texts that meet in one table entry up to which all their pairs are made; a larger entry is first joined as a star.
@@ -132,19 +134,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int, int]:
-    """(bits of a segment, segments, radius of the first 64 bits, radius of all words) for n texts.
+def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int, int, int]:
+    """(bits of a segment, segments, radius of the first word, of the coarse words, of all words) for n texts.
 
     Two sets of Jaccard similarity s have a cosine of 2s / (1 + s) at least, so a bit of their fingerprints differs with
     probability p = arccos(cosine) / pi. Balls of radius 1 on both sides meet when a segment differs in at most 2 bits; there are
-    as many segments as it takes for one of them to meet with the recall asked for. The radii are 3 and 2.5 deviations above the mean.
+    as many segments as it takes for one of them to meet with the recall asked for. The radii are 3, 2.5 and 2.5 deviations above the mean.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = max(12, math.ceil(math.log2(max(n, 2))) + SPARE_BITS)
     meets = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
     segments = math.ceil(math.log(1 - recall) / math.log(1 - meets))
     radius = lambda size, times: math.ceil(size * p + times * math.sqrt(size * p * (1 - p)))
-    return bits, segments, radius(64, 3), radius(64 * _words(bits, segments), 2.5)
+    return bits, segments, radius(64, 3), radius(64 * COARSE_WORDS, 2.5), radius(64 * _words(bits, segments), 2.5)
 
 
 def _words(bits: int, segments: int) -> int:
@@ -259,14 +261,14 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """(id, digest, group) of every row: groups of texts linked by five-word shingle sets of Jaccard similarity >= similarity.
 
     Multi-index hashing over long fingerprints: balls of radius 1 around each segment of both texts meet in a table, the distance
-    of the first word is verified, then that of all words, then the similarity itself. Equal texts, and texts equal in the first 64 bits, are one node.
+    of the first word is verified, then that of eight and of all words, then the similarity itself. Equal texts, and texts equal in the first 64 bits, are one node.
     Pairs are made of entries that few texts share; entries of large groups of copies are joined as stars at first, and then
     only what the groups found so far leave apart is compared, in tiles, until no entry holds an unseen pair of two groups. So no
     group is expanded into all its pairs. Texts without words are one node. Empty tables give empty results.
     """
     docs = plain(docs, "doc_id", "text")
     n = docs.count()
-    bits, segments, radius, whole = layout(n, similarity)
+    bits, segments, radius, coarse, whole = layout(n, similarity)
     own = checkpoint(_marked(docs, _words(bits, segments)))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "words")
     nodes = checkpoint(own.groupBy("fp").agg(F.min(order).alias("first")))
@@ -279,9 +281,11 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
     entries = map_batches(spread(nodes.select("fp", "first.words")), enter, "table bigint, keys binary, fps binary")
     met = checkpoint(entries.groupBy("table").applyInArrow(lambda t: _meet(t, radius), "kind int, a bigint, b bigint"))
+    some = lambda c: nodes.select(F.col("fp").alias(c), F.slice("first.words", 1, COARSE_WORDS).alias(f"_{c}"))
     long = lambda c: nodes.select(F.col("fp").alias(c), F.col("first.words").alias(f"_{c}"))
     apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    pairs = checkpoint(met.where("kind = 0").select("a", "b").distinct().join(long("a"), "a").join(long("b"), "b").withColumn("apart", apart).where(F.col("apart") <= whole).select("a", "b", "apart"))
+    pairs = met.where("kind = 0").select("a", "b").distinct().join(some("a"), "a").join(some("b"), "b").where(apart <= coarse).select("a", "b")
+    pairs = checkpoint(pairs.join(long("a"), "a").join(long("b"), "b").withColumn("apart", apart).where(F.col("apart") <= whole).select("a", "b", "apart"))
     shared = met.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("fp"))
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(shared.select("fp")).distinct()
     wanted = nodes.join(wanted, "fp", "left_semi").select("fp", F.coalesce(F.col("first.id").cast("string"), F.lit("null")).alias("key"), F.col("first.digest").alias("digest"))
