@@ -98,7 +98,7 @@ def ticks_to_seconds(ticks: Column, zero: Column, rate: Column) -> Column:
 
 def waveform_width(packet_bytes: Column, header_bytes: Column, sample_bytes: Column, stated: Column) -> Column:
     """Samples in a packet: stated, or what fits."""
-    return F.when(stated > 0, stated).otherwise(F.expr("1") * F.floor((packet_bytes - header_bytes) / sample_bytes))
+    return F.when(stated > 0, stated).otherwise(F.floor((packet_bytes - header_bytes) / sample_bytes))
 
 
 def progress(done: Column, total: Column, elapsed: Column) -> tuple[Column, Column]:

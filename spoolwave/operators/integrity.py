@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,8 +29,10 @@ def compare(source: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
 def mismatch_summary(states: DataFrame, path: str, block: str, shown: int = 5) -> DataFrame:
     """(path, blocks, mismatches, first): paths with bad blocks and the first of them."""
     bad = F.col("state") != "ok"
-    g = states.groupBy(path).agg(F.count("*").alias("blocks"), F.count(F.when(bad, 1)).alias("mismatches"), F.slice(F.array_sort(F.collect_list(F.when(bad, F.col(block)))), 1, shown).alias("first"))
-    return g.where("mismatches > 0")
+    counts = states.groupBy(path).agg(F.count("*").alias("blocks"), F.count(F.when(bad, 1)).alias("mismatches")).where("mismatches > 0")
+    # the first few of each path are cut before they are gathered, however many there are
+    few = states.where(bad).withColumn("_n", F.row_number().over(Window.partitionBy(path).orderBy(block))).where(F.col("_n") <= shown)
+    return counts.join(few.groupBy(path).agg(F.array_sort(F.collect_list(block)).alias("first")), path)
 
 
 def close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 0.0) -> Column:

@@ -54,7 +54,10 @@ def s17(spark, sf):
 def s11(spark, sf):
     found = _stretches(spark, sf)
     index = table(spark, sf, "embeddings").where("label = 3").select(F.col("vec_id").alias("idx"))
-    at = index.join(found, (F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("first") + F.col("samples")))
+    # stretches and vectors meet by spans of sample numbers, so that the range condition is checked inside a span only
+    span = 65536
+    cover = found.withColumn("span", F.explode(F.expr(f"sequence(first div {span}, (first + samples - 1) div {span})")))
+    at = index.withColumn("span", F.expr(f"idx div {span}")).join(cover, "span").where((F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("first") + F.col("samples")))
     places = at.select("idx", "path", (F.col("offset") + (F.col("idx") - F.col("first")) * F.col("step")).alias("offset"), F.lit(8).alias("count"), F.lit("<i2").alias("dtype"))
     w = stretches.payloads(places, ["idx"])
     return w.select("idx", F.round(F.aggregate("waveform", F.lit(0.0), lambda a, v: a + v.cast("double"))).cast("bigint").alias("total"))

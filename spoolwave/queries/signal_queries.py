@@ -11,7 +11,8 @@ from spoolwave.plans.tables import micros, table
 from spoolwave.queries.registry import query
 
 LONG = "(select vec_id as sample, unnest(range(0, len(embedding)))::int as channel, unnest(embedding)::double as value from embeddings)"
-ENVELOPE = f"(select channel, ((sample - 100) * 33) // 300 as col, min(value) as lo, max(value) as hi from {LONG} where sample >= 100 and sample < 400 and not isnan(value) group by 1, 2)"
+N = "(select max(vec_id) + 1 from embeddings)"
+ENVELOPE = f"(select channel, (sample * 33) // {N} as col, min(value) as lo, max(value) as hi from {LONG} where not isnan(value) group by 1, 2)"
 
 
 def _signal(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,7 +20,12 @@ def _signal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _envelope(spark: SparkSession, sf: str) -> DataFrame:
-    return signal.envelope(_signal(spark, sf), 100, 400, 33)
+    """The whole recording in 33 columns."""
+    return signal.envelope(_signal(spark, sf), 0, _end(spark, sf), 33)
+
+
+def _end(spark: SparkSession, sf: str) -> int:
+    return (table(spark, sf, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1
 
 
 @query("a01_envelope", f'select channel, col as "column", lo, hi from {ENVELOPE}')
@@ -34,13 +40,13 @@ def a01_short(spark, sf):
 
 @query(
     "a15_resample",
-    f"""with v as (select range as view, ((3.0 + range * 10.0 / 20) * 25 - 100) as s0 from range(20)),
-    b as (select view, greatest(floor(s0 / 300.0 * 33), 0)::int as c0, s0, s0 + 10.0 / 20 * 25 as s1 from v),
-    c as (select view, c0, least(greatest(least(ceil(s1 / 300.0 * 33), 33)::int, c0 + 1), 33) as c1 from b where s1 > 0 and s0 < 300)
+    f"""with v as (select range as view, ((3.0 + range * 10.0 / 20) * 25) as s0, {N}::double as n from range(20)),
+    b as (select view, n, greatest(floor(s0 / n * 33), 0)::int as c0, s0, s0 + 10.0 / 20 * 25 as s1 from v),
+    c as (select view, c0, least(greatest(least(ceil(s1 / n * 33), 33)::int, c0 + 1), 33) as c1 from b where s1 > 0 and s0 < n)
     select e.channel, c.view as "column", min(lo) as lo, max(hi) as hi from {ENVELOPE} e join c on e.col >= c.c0 and e.col < c.c1 group by 1, 2""",
 )
 def a15(spark, sf):
-    return signal.resample(_envelope(spark, sf), 33, 100, 400, 25.0, 3.0, 10.0, 20)
+    return signal.resample(_envelope(spark, sf), 33, 0, _end(spark, sf), 25.0, 3.0, 10.0, 20)
 
 
 @query("a14_peak", f"select coalesce(max(greatest(abs(lo), abs(hi))), 0) as peak from {ENVELOPE} where isfinite(lo) and isfinite(hi)")

@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only where unset)."""
+    """A fresh path in the folder that driver and executors share. Only a local session may go without spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(spark, "_spoolwave_files", None) or "file://" + tempfile.mkdtemp(prefix="spoolwave-files-")
         spark._spoolwave_files = base
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -14,6 +14,8 @@ from spoolwave.sources.files import file_system
 
 #: Rows of a chunk unless stated: about 10 MB of float32.
 CHUNK_BYTES = 10_000_000
+#: Tasks of a read at most; each reads its chunks one after another.
+MOST_TASKS = 10_000
 
 
 def chunk_rows(channels: int, rate: float | None = None, seconds: float | None = None) -> int:
@@ -88,8 +90,12 @@ def read(spark, path: str) -> DataFrame:
         with fs.open_input_stream(f"{base}/{name}/zarr.json") as f:
             meta = json.loads(f.read())
         n, rows = meta["shape"][0], meta["chunk_grid"]["configuration"]["chunk_shape"][0]
-        todo += [(name, b, min(rows, n - b * rows), meta["attributes"]["channels"], rows) for b in range(-(-n // rows))]
-    plan = spark.createDataFrame(todo, "recording string, block bigint, n bigint, channels array<int>, rows bigint").repartition(max(1, len(todo)))
+        if n:
+            todo.append((name, n, meta["attributes"]["channels"], rows))
+    # a row per array on the driver; chunks are told apart by the executors
+    arrays = spark.createDataFrame(todo, "recording string, total bigint, channels array<int>, rows bigint")
+    plan = arrays.withColumn("block", F.explode(F.expr("sequence(0L, (total - 1) div rows)"))).withColumn("n", F.least(F.col("rows"), F.col("total") - F.col("block") * F.col("rows")))
+    plan = plan.drop("total").repartition(max(1, min(sum(-(-t[1] // t[3]) for t in todo), MOST_TASKS)), "recording", "block")
 
     def load(batches):
         for batch in batches:
