@@ -61,11 +61,10 @@ def test_stage_equals_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(components, "BLOCK", 64 if small == 2 else components.BLOCK)
     monkeypatch.setattr(components, "HUB", 16)
     rows = sample(random.Random(31))
-    got, want = left(simhash.drop_near_duplicates(docs(spark, rows))), brute_keep(rows)
-    # links at the threshold itself may be missed: at most the share that the layout allows
-    assert set(want) <= set(got) and len(got) - len(want) <= 2
     found = simhash.drop_near_duplicates(docs(spark, rows))
-    assert left(found) == got and found.columns == docs(spark, rows).columns
+    got, want = left(found), brute_keep(rows)
+    # links at the threshold itself may be missed: at most the share that the layout allows
+    assert set(want) <= set(got) and len(got) - len(want) <= 2 and found.columns == docs(spark, rows).columns
 
 
 def test_unrelated_rows_that_share_an_id_stay(spark):
