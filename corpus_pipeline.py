@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from spoolwave.llm import bpe_trie, line_crf, secret_scan, simhash, source_mix
-from spoolwave.llm.common import scratch_path, table
+from spoolwave.llm.common import discard, scratch_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
+    """Of each group of texts linked by five-word shingles of Jaccard similarity 0.8 or more the document of the smallest id stays."""
     return simhash.drop_near_duplicates(docs)
 
 
@@ -53,8 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents; each result but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order over documents; each result but the last is written to the shared folder and read again.
+
+    A written result goes when the next one stands.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
@@ -62,4 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, f"stage-{name}")
         out.write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
