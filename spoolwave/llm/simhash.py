@@ -180,13 +180,39 @@ def _marked(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(spread(_texts(docs)), run, "id bigint, digest string, fp bigint, words array<bigint>")
 
 
+def _segments(words: np.ndarray, bits: int, segments: int) -> np.ndarray:
+    """Values of the segments of each row of words; the first word is none of them."""
+    flat = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")[:, 64 : 64 + bits * segments]
+    return flat.reshape(len(words), segments, bits).astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+
+
+def _key(value: np.ndarray, segment: np.ndarray, bits: int) -> np.ndarray:
+    """The hashed table key of a segment's value."""
+    return _mix((value + (segment.astype(np.uint64) << np.uint64(bits))) * _STEP)
+
+
+def _entry(table: np.ndarray | np.int64, low: np.ndarray) -> np.ndarray:
+    return (table << 32) | low.astype(np.int64)
+
+
+def _first_entry(x: np.ndarray, y: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """Of the entries in which pairs of texts meet the first, given their segments' values: least segment, least common value."""
+    apart = x ^ y
+    segment = (np.bitwise_count(apart) <= 2).argmax(axis=1)
+    own = np.arange(len(x))
+    x, apart = x[own, segment], apart[own, segment]
+    low = apart & (~apart + np.uint64(1))  # the lowest bit in which they differ; without any both values are x
+    two = np.bitwise_count(apart) == 2
+    one, other = np.where(two, x ^ low, x), np.where(two, x ^ apart ^ low, x ^ apart)
+    key = _key(np.minimum(one, other), segment, bits)
+    return _entry((key % np.uint64(tables)).astype(np.int64), key >> np.uint64(32))
+
+
 def _entries(fps: np.ndarray, words: np.ndarray, bits: int, segments: int, tables: int) -> pa.RecordBatch:
     """Table entries of a block of texts: the ball of radius 1 around each segment, packed by the task that they go to."""
-    flat = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")[:, 64 : 64 + bits * segments]
-    value = flat.reshape(len(fps), segments, bits).astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+    value = _segments(words, bits, segments)
     mask = np.concatenate(([0], np.uint64(1) << np.arange(bits, dtype=np.uint64))).astype(np.uint64)
-    ball = (value[:, :, None] ^ mask) + (np.arange(segments, dtype=np.uint64) << np.uint64(bits))[None, :, None]
-    key = _mix(ball.reshape(-1) * _STEP)
+    key = _key(value[:, :, None] ^ mask, np.arange(segments)[None, :, None], bits).reshape(-1)
     table = (key % np.uint64(tables)).astype(np.int64)
     order = np.argsort(table, kind="stable")
     low = (key >> np.uint64(32)).astype("<u4")[order]
@@ -228,21 +254,27 @@ def _meet(t: pa.Table, radius: int) -> pa.Table:
     near = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= radius
     pairs = np.unique(np.stack([fp[i[near]], fp[j[near]]], axis=1), axis=0) if near.any() else np.empty((0, 2), np.int64)
     inside = np.repeat(big, size)
-    entry = (np.int64(t.column("table")[0].as_py()) << 32) | key[inside].astype(np.int64)
+    entry = _entry(np.int64(t.column("table")[0].as_py()), key[inside])
     kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(entry), np.int32)])
     return pa.table({"kind": kind, "a": np.concatenate([pairs[:, 0], entry]), "b": np.concatenate([pairs[:, 1], fp[inside]])})
 
 
-def _across(t: pa.Table, radius: int) -> pa.Table:
-    """Pairs within the radius between the two sides of a tile whose texts are in different groups so far."""
+def _across(t: pa.Table, radius: int, bits: int, segments: int, tables: int) -> pa.Table:
+    """Pairs within the radius between the two sides of a tile whose texts are in different groups so far.
+
+    A pair that meets in several entries comes out of the first of them alone.
+    """
     side, fp, label = (t.column(c).to_numpy() for c in ("side", "fp", "label"))
     words = t.column("words").combine_chunks().flatten().to_numpy().reshape(len(fp), -1)
     x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    here, value = t.column("entry")[0].as_py(), _segments(words, bits, segments)
     left, right, far = [], [], []
     for i in x.tolist():
         near = y[(label[y] != label[i]) & (fp[y] != fp[i])]
         apart = np.bitwise_count((words[near] ^ words[i]).view(np.uint64)).sum(axis=1, dtype=np.int32)
         near, apart = near[apart <= radius], apart[apart <= radius]
+        first = _first_entry(np.broadcast_to(value[i], (len(near), segments)), value[near], bits, tables) == here
+        near, apart = near[first], apart[first]
         left.append(np.full(len(near), fp[i]))
         right.append(fp[near])
         far.append(apart)
@@ -312,7 +344,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     sides = large.select("entry", "fp", "label", "words", F.col("i"), F.explode(F.expr("sequence(i, tiles - 1)")).alias("j"), F.lit(0).alias("side")).unionByName(
         large.select("entry", "fp", "label", "words", F.explode(F.expr("sequence(0, i)")).alias("i"), F.col("i").alias("j"), F.lit(1).alias("side"))
     )
-    more = sides.groupBy("entry", "i", "j").applyInArrow(lambda t: _across(t, whole), "a bigint, b bigint, apart int")
+    more = sides.groupBy("entry", "i", "j").applyInArrow(lambda t: _across(t, whole, bits, segments, tables), "a bigint, b bigint, apart int")
     rest = checkpoint(between(pairs.unionByName(more).distinct().join(first, ["a", "b"], "left_anti"), so_far).select("a", "b", "apart", F.least(of("a"), of("b")).alias("x"), F.greatest(of("a"), of("b")).alias("y")))
     second = checkpoint(rest.groupBy("x", "y").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b"))
     links = checkpoint(links.unionByName(_similar(second, sets, similarity)))
