@@ -217,25 +217,36 @@ def _entries(fps: np.ndarray, words: np.ndarray, bits: int, segments: int, table
     order = np.argsort(table, kind="stable")
     low = (key >> np.uint64(32)).astype("<u4")[order]
     owner = np.repeat(fps, segments * (bits + 1))[order]
+    place = np.tile(np.arange(bits + 1, dtype=np.uint8), segments * len(fps))[order]  # which bit of the segment was turned; 0: none
     used, at = np.unique(table[order], return_index=True)
     stop = [*at[1:].tolist(), len(order)]
     return pa.RecordBatch.from_arrays(
-        [pa.array(used), pa.array([low[a:b].tobytes() for a, b in zip(at.tolist(), stop)], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in zip(at.tolist(), stop)], pa.binary())],
-        names=["table", "keys", "fps"],
+        [pa.array(used), *(pa.array([v[a:b].tobytes() for a, b in zip(at.tolist(), stop)], pa.binary()) for v in (low, owner, place))],
+        names=["table", "keys", "fps", "places"],
     )
 
 
 def _meet(t: pa.Table, radius: int) -> pa.Table:
     """(kind, a, b): kind 0 a pair within the radius, kind 1 a text b in the entry a, which more than SMALL texts share.
 
-    All pairs of a small entry are made. A larger one gives its stars and its neighbours in order of fingerprint, and itself.
+    All pairs of a small entry are made. A larger one gives its stars and its neighbours in order of fingerprint, and itself. Texts
+    that come to an entry by the same turned bit have one value and meet at that value too, so an entry of such texts alone is left
+    out: most entries of a large group of copies are.
     """
     key = np.frombuffer(b"".join(t.column("keys").to_pylist()), "<u4")
     fp = np.frombuffer(b"".join(t.column("fps").to_pylist()), "<i8")
+    place = np.frombuffer(b"".join(t.column("places").to_pylist()), np.uint8)
     order = np.lexsort((fp, key))
-    key, fp = key[order], fp[order]
+    key, fp, place = key[order], fp[order], place[order]
     fresh = np.append(True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]))
-    key, fp = key[fresh], fp[fresh]
+    key, fp, place = key[fresh], fp[fresh], place[fresh]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(first, len(key)))
+    low, high = np.minimum.reduceat(place, first), np.maximum.reduceat(place, first)
+    of_use = np.repeat((size > 1) & ((low != high) | (low == 0)), size)
+    key, fp = key[of_use], fp[of_use]
+    if not len(key):
+        return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(first, len(key)))
     left, right = [], []
@@ -311,7 +322,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         words = batch.column(1).flatten().to_numpy().reshape(len(fps), -1)
         return pa.Table.from_batches([_entries(fps[at : at + _TEXTS], words[at : at + _TEXTS], bits, segments, tables) for at in range(0, len(fps), _TEXTS)])
 
-    entries = map_batches(spread(nodes.select("fp", "first.words")), enter, "table bigint, keys binary, fps binary")
+    entries = map_batches(spread(nodes.select("fp", "first.words")), enter, "table bigint, keys binary, fps binary, places binary")
     met = checkpoint(entries.groupBy("table").applyInArrow(lambda t: _meet(t, radius), "kind int, a bigint, b bigint"))
     some = lambda c: nodes.select(F.col("fp").alias(c), F.slice("first.words", 1, COARSE_WORDS).alias(f"_{c}"))
     long = lambda c: nodes.select(F.col("fp").alias(c), F.col("first.words").alias(f"_{c}"))
@@ -339,7 +350,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     between = lambda found, parts: found.join(label(parts, "a"), "a", "left").join(label(parts, "b"), "b", "left").where(of("a") != of("b"))
     large = shared.join(label(so_far, "fp"), "fp", "left").select("entry", "fp", of("fp").alias("label"))
     split = large.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / _SIDE).cast("int").alias("tiles")).where("low <> high").select("entry", "tiles")
-    large = large.join(split, "entry").join(nodes.select("fp", "first.words"), "fp").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    large = checkpoint(large.join(split, "entry").join(nodes.select("fp", "first.words"), "fp")).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     # a tile for each two parts of an entry, the first no later than the second
     sides = large.select("entry", "fp", "label", "words", F.col("i"), F.explode(F.expr("sequence(i, tiles - 1)")).alias("j"), F.lit(0).alias("side")).unionByName(
         large.select("entry", "fp", "label", "words", F.explode(F.expr("sequence(0, i)")).alias("i"), F.col("i").alias("j"), F.lit(1).alias("side"))
