@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, what: str) -> str:
@@ -30,3 +30,11 @@ def listing(uri: str, suffix: str) -> tuple[pafs.FileSystem, list[pafs.FileInfo]
     info = fs.get_file_info(path)
     found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(path, recursive=True))
     return fs, sorted((i for i in found if i.type == pafs.FileType.File and i.path.lower().endswith(suffix) and not i.base_name.startswith("._")), key=lambda i: i.path)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written once to the folder that driver and executors share, so that neither a lost executor nor a second use computes it anew."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
+    return df.checkpoint(eager=True)
