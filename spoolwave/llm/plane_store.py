@@ -15,8 +15,10 @@ import json
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,22 @@ SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 #: Fixed value: characters that a byte-level pre-tokenizer takes for white space.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that a worker remembers; a full table becomes the old one, whose pieces return when they are met again.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 700_000
+#: Characters of texts that are encoded together.
+GROUP_CHARS = 1_000_000
+#: Marks that end a word; behind a letter a run of them is a pre-token of its own (no apostrophe, and none that added tokens have).
+MARKS = '!"#$%&()*+,-./:;=?@[]^_`{}~'
+#: Letters below this are letters in every version of the character tables; others take the library's whole way.
+LETTERS_END = "\u0530"
+
+
+def _byte_signs() -> dict[int, str]:
+    """The signs by which a byte-level vocabulary writes bytes: visible Latin-1 characters are themselves, the rest follow from U+0100."""
+    hidden = [b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b < 0xAD or 0xAE <= b)]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_SIGNS = _byte_signs() | {10: "\n"}  # the line end parts words
 
 
 # planes
@@ -65,7 +82,7 @@ def from_planes(planes: list[bytes], n: int, kind: np.dtype, bits: bool) -> np.n
 class Codec:
     """Packs arrays of numbers into planes and back; used for ids (32 bits) and documents (64 bits) alike."""
 
-    def __init__(self, bits: bool = False, level: int = 3) -> None:
+    def __init__(self, bits: bool = False, level: int = 1) -> None:
         self.bits, self.pack_, self.unpack_ = bits, zstandard.ZstdCompressor(level=level), zstandard.ZstdDecompressor()
 
     def pack(self, values: np.ndarray) -> tuple[bytes, list[int]]:
@@ -193,17 +210,28 @@ class PlaneWriter(DataSourceArrowWriter):
     """A file per task under a fresh name. The manifest, written at commit, names the files of successful attempts in order of
     their partitions with the ids before each; what other attempts left is no part of the store."""
 
-    def __init__(self, path: str, bits: bool, chunk: int) -> None:
-        self.path, self.bits, self.chunk = path, bits, chunk
+    def __init__(self, path: str, bits: bool, chunk: int, vocabulary: str | None = None, end_id: int | None = None) -> None:
+        self.path, self.bits, self.chunk, self.vocabulary, self.end_id = path, bits, chunk, vocabulary, end_id
+
+    def rows(self, batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
+        """(doc_id, ids) of a batch: given, or encoded here where the store is given texts."""
+        doc_ids = batch.column("doc_id").to_pylist()
+        if self.vocabulary is None:
+            yield from zip(doc_ids, (x.as_buffer() or b"" for x in batch.column("ids")))
+            return
+        enc, end, at = encoder(self.vocabulary), end_bytes(self.end_id), 0
+        for own in texts_in_groups(batch.column("text")):
+            yield from zip(doc_ids[at : at + len(own)], enc.encode_all(own, end))
+            at += len(own)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, base = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(base, recursive=True)
         part, name, writer = TaskContext.get().partitionId(), f"{uuid.uuid4().hex}.planes", None
         for batch in iterator:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+            for doc_id, ids in self.rows(batch):
                 writer = writer or FileWriter(fs.open_output_stream(f"{base}/{name}", compression=None), Codec(self.bits), self.chunk)
-                writer.add(doc_id, np.frombuffer(ids.as_buffer() or b"", "<u4"))
+                writer.add(doc_id, np.frombuffer(ids, "<u4"))
         if writer is None:
             return Written(part, "", 0, 0, 0)
         writer.close()
@@ -241,9 +269,11 @@ class PlaneReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[Stretch]:
-        return [Stretch(name, first, k, min(k + STRETCH, n)) for name, first, _, _, n in manifest(self.path)["files"] for k in range(0, n, STRETCH)]
+        return [Stretch(name, first, k, min(k + STRETCH, n)) for name, first, _, _, n in manifest(self.path)["files"] for k in range(0, n, STRETCH)] or [Stretch("", 0, 0, 0)]
 
     def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        if not partition.name:
+            return
         fs, base = pafs.FileSystem.from_uri(self.path)
         reader = FileReader(fs, f"{base}/{partition.name}")
         rows, held = [], 0
@@ -270,7 +300,8 @@ def manifest(path: str) -> dict:
 
 
 class PlaneSource(DataSource):
-    """format("planes"): option path; when written also planes (byte or bit) and chunk (ids)."""
+    """format("planes"): option path; when written also planes (byte or bit) and chunk (ids). With the option vocabulary (and endId)
+    the rows to write are (doc_id, text) and encoded by the task that writes them, else (doc_id, ids)."""
 
     @classmethod
     def name(cls) -> str:
@@ -283,13 +314,18 @@ class PlaneSource(DataSource):
         return PlaneReader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> PlaneWriter:
-        return PlaneWriter(self.options["path"], self.options.get("planes", "byte") == "bit", int(self.options.get("chunk", CHUNK)))
+        end = self.options.get("endId")
+        return PlaneWriter(self.options["path"], self.options.get("planes", "byte") == "bit", int(self.options.get("chunk", CHUNK)), self.options.get("vocabulary"), int(end) if end else None)
 
 
-def write_planes(encoded: DataFrame, path: str, planes: str = "byte", chunk: int = CHUNK) -> None:
-    """Write (doc_id, ids binary), dealt and sorted as they are to be stored, a file per partition in partition order."""
-    encoded.sparkSession.dataSource.register(PlaneSource)
-    encoded.select("doc_id", "ids").write.format("planes").option("planes", planes).option("chunk", str(chunk)).mode("append").save(path)
+def write_planes(rows: DataFrame, path: str, planes: str = "byte", chunk: int = CHUNK, vocabulary: str | None = None, end_id: int | None = None) -> None:
+    """Write (doc_id, ids binary), or with a vocabulary (doc_id, text), dealt and sorted as they are to be stored: a file per
+    partition in partition order."""
+    rows.sparkSession.dataSource.register(PlaneSource)
+    options = {"planes": planes, "chunk": str(chunk)}
+    if vocabulary is not None:
+        options |= {"vocabulary": vocabulary} | ({} if end_id is None else {"endId": str(end_id)})
+    rows.select("doc_id", "ids" if vocabulary is None else "text").write.format("planes").options(**options).mode("append").save(path)
 
 
 def read_planes(spark: SparkSession, path: str) -> DataFrame:
@@ -317,7 +353,8 @@ class PieceEncoder:
 
     A piece is a run of white space with the run of other characters that follows. No token, added ones included, goes over the
     end of such a piece, as the pre-tokenizer starts a word at most one white space early; so a text's ids are its pieces' ids
-    end to end.
+    end to end. For the same reason full stops, commas and the like behind a letter are words of their own. A new piece of
+    letters alone is one word, which goes to the library's model as it is; any other one takes the library's whole way.
     """
 
     def __init__(self, path: str) -> None:
@@ -327,40 +364,88 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.pieces = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        self.tokenize = self.tokenizer.model.tokenize
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.young) > CACHED_PIECES:
-            self.old, self.young = self.young, {}
-        new = []
-        for p in pieces.difference(self.young):
-            if (known := self.old.get(p)) is None:
+        """Put these pieces into the young table."""
+        young, old, ends, new = self.young, self.old, [], []
+        for p in pieces:
+            if p in old:
+                young[p] = old[p]
+            elif p[-1] in MARKS and (word := p.rstrip(MARKS)) and word[-1].isalpha():
+                ends.append((p, word, p[len(word) :]))
+            else:
                 new.append(p)
+        for w in {w for e in ends for w in e[1:] if w not in young}.difference(new):
+            if w in old:
+                young[w] = old[w]
             else:
-                self.young[p] = known
-        for at in range(0, len(new), 4096):
-            own = new[at : at + 4096]
+                new.append(w)
+        rest, words = [], []
+        for p in new:
+            word = p[1:] if p[0] == " " else p
+            (words if word.isalpha() and (word.isascii() or max(word) < LETTERS_END) else rest).append(p)
+        if words:
+            signs = "\n".join(words).encode().decode("latin-1").translate(BYTE_SIGNS).split("\n")
+            found = list(map(self.tokenize, signs))
+            raw = array("I", [t.id for tokens in found for t in tokens]).tobytes()
+            at = 0
+            for p, n in zip(words, map(len, found)):
+                young[p] = raw[at : at + 4 * n]
+                at += 4 * n
+        for at in range(0, len(rest), 4096):
+            own = rest[at : at + 4096]
             for p, found in zip(own, self.tokenizer.encode_batch_fast(own, add_special_tokens=False)):
-                self.young[p] = np.array(found.ids, "<u4").tobytes()
+                young[p] = array("I", found.ids).tobytes()
+        for p, word, mark in ends:
+            young[p] = young[word] + young[mark]
+
+    def encode_all(self, texts: list[str], end: bytes = b"") -> list[bytes]:
+        """Ids of each text, with the end id behind."""
+        split = list(map(self.pieces, texts))
+        pieces = set().union(*split)
+        if len(self.young) > CACHED_PIECES:  # what these texts need comes back from the old table or is encoded
+            self.old, self.young = self.young, {}
+        self.learn(pieces.difference(self.young))
+        return [b"".join(itemgetter(*pieces, pieces[0])(self.young)[:-1]) + end if pieces else end for pieces in split]
 
     def encode(self, text: str, end: bytes = b"") -> bytes:
-        pieces = self.pieces(text)
-        self.learn(set(pieces))
-        return b"".join(map(self.young.__getitem__, pieces)) + end
+        return self.encode_all([text], end)[0]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
+def encoder(vocabulary: str) -> PieceEncoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, PieceEncoder(vocabulary))
+
+
+def texts_in_groups(texts: pa.Array) -> Iterator[list[str]]:
+    """Texts of a batch, about GROUP_CHARS at a time."""
+    own, chars = [], 0
+    for t in texts:
+        own.append(t.as_py())
+        chars += len(own[-1])
+        if chars > GROUP_CHARS:
+            yield own
+            own, chars = [], 0
+    if own:
+        yield own
+
+
+def end_bytes(end_id: int | None) -> bytes:
+    return b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+
+
 def token_bytes(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID) -> DataFrame:
-    """(doc_id, ids binary) of docs(doc_id, text), in their order and partitions."""
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    """(doc_id, ids binary) of docs(doc_id, text), in their order and partitions; for ids that go elsewhere than into a store."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        enc = _ENCODERS.get(vocabulary) or _ENCODERS.setdefault(vocabulary, PieceEncoder(vocabulary))
-        ids = [enc.encode(t.as_py(), end) for t in batch.column(1)]
+        enc, end = encoder(vocabulary), end_bytes(end_id)
+        ids = [x for own in texts_in_groups(batch.column(1)) for x in enc.encode_all(own, end)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, ids binary")
@@ -375,10 +460,11 @@ def store(docs: DataFrame, vocabulary: str, path: str, planes: str = "byte", chu
     docs = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_col().alias("text"))
     spark = docs.sparkSession
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SPLIT_BYTES))
+    by_size = -(-size // SPLIT_BYTES) if size < 1 << 60 else 0  # a table without statistics claims the largest number
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), by_size)
     order = [F.col("doc_id").asc_nulls_last(), F.col("_tie").asc(), F.col("_row").asc()]
     told = docs.withColumn("_tie", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
-    write_planes(token_bytes(told.repartitionByRange(parts, *order).sortWithinPartitions(*order), vocabulary), path, planes, chunk)
+    write_planes(told.repartitionByRange(parts, *order).sortWithinPartitions(*order), path, planes, chunk, vocabulary, END_ID)
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
