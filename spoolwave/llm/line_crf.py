@@ -256,10 +256,12 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null or empty text scores 0 and goes. Ids play no part: rows of one id, or of none, are judged by their texts. Without labels
     of both kinds nothing but rows without a line goes. An empty table stays empty.
     """
-    model, at = train(docs, labels), docs.columns.index("text")
+    model, names = train(docs, labels), docs.columns
+    docs = plain(docs, "doc_id", "text")
+    at = docs.columns.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = score_texts(model, [t or "" for t in batch.column(at).to_pylist()])
         return batch.filter(pa.array(score >= THRESHOLD))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, run, docs.schema).toDF(*names)

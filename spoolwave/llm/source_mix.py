@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import SPACE_CLASS, WORD, checkpoint, plain, split_small, text_col
+from spoolwave.llm.common import SPACE_CLASS, WORD, plain, split_small, text_col
+from spoolwave.operators.ranking import running_sum
 
-#: Key ranges per source. A prefix sum runs inside one range; a task sees 1/RANGES of a source, however large the source is.
-RANGES = 4096
+#: Shares of a source that meet its target apart, so that a large source is no single task of a join.
+SHARES = 64
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_REPEATS = 2
@@ -27,7 +28,7 @@ def sampling_key(id_col: Column, weight: Column, seed: str = SEED) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> DataFrame:
-    """sizes(source, source_size) -> (source, source_size, target).
+    """sizes(source, source_size) -> (source, source_size, target); further columns come along.
 
     Sources in code-point order, null last, take the weights in turn and share `share` times all sizes. A target stops at
     `most` times its source; the excess goes to the others by weight until none is above. That fixed point is a water level:
@@ -46,7 +47,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         .withColumn("open", F.col("level") * F.col("w") <= F.col("cap"))
         .withColumn("final", F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("w"), "level"))).over(everything)["level"])
     )
-    return t.select("source", "source_size", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("w"))).alias("target"))
+    return t.select(*sizes.columns, F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("w"))).alias("target"))
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -56,8 +57,9 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...]
     sampling key and taken while the running sum stays within what is left of the target. The document that crosses the
     target gives only the words that still fit, so a source's taken words equal its target rounded to a word.
     quality(doc_id, quality) sets weights: the mean quality q of a document gives 0.5 + 1.5 q, none gives 1.
-    Null text has size 0 and takes 0. Null sources are one source, the last. Ties in the key (repeated ids) are ordered by
-    size and text; equal rows are interchangeable. Empty input gives an empty result.
+    Null text has size 0 and takes 0. Null sources are one source, the last. Ties in the key (repeated ids, rows without an id) are
+    ordered by size, id and text; equal rows are interchangeable, and rows of one key are dealt over tasks like any others. Empty
+    input gives an empty result.
     """
     docs = split_small(plain(docs, "doc_id", "text", "source", *keep))
     base = docs.select("doc_id", "source", word_count(text_col()).alias("size"), F.xxhash64("text").alias("_tie"), *keep)
@@ -66,24 +68,17 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, keep: tuple[str, ...]
         base = base.join(q, base["doc_id"] == q["_q_id"], "left").withColumn("_w", F.coalesce(F.lit(0.5) + 1.5 * F.col("_q"), F.lit(1.0))).drop("_q_id", "_q")
     else:
         base = base.withColumn("_w", F.lit(1.0))
-    keyed = base.withColumn("_key", sampling_key(F.col("doc_id"), F.col("_w"))).withColumn("_range", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * RANGES))
-    # texts are read and counted once; everything below works on this table of ids and sizes
-    keyed = checkpoint(keyed)
-    ranges = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    totals = targets(ranges.groupBy("source").agg(F.sum("_sum").alias("source_size")))
-    # a source key without nulls, so that the join below finds the rows where the window has put them
-    keyed = keyed.withColumn("_s", _source_key())
-    within = Window.partitionBy("_s", "_range").orderBy("_key", "size", "doc_id", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    keyed = keyed.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    # one row per source and range, at most RANGES + 1 a source
-    ahead = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
-    offsets = offsets.withColumn("_s", _source_key()).drop("source")
-    offsets = offsets.join(totals.withColumn("_s", _source_key()).drop("source"), "_s")
-    out = keyed.join(offsets, ["_s", "_range"])
+    keyed = base.withColumn("_key", sampling_key(F.col("doc_id"), F.col("_w"))).withColumn("_share", F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)))
+    # words of all rows before, sources one after another; texts are read and counted once, for the rows that this deals and keeps
+    order = [F.col("source").asc_nulls_last(), F.col("_key"), F.col("size"), F.col("doc_id"), F.col("_tie")]
+    placed = running_sum(keyed, order, F.col("size"), "_run").withColumn("_s", _source_key())
+    # one row per source and share
+    sums = placed.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("_run").alias("_start"))
+    goals = targets(sums).withColumn("_s", _source_key()).drop("source").withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))))
+    out = placed.join(goals, ["_s", "_share"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.round(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("bigint")
-    part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), F.col("_rest") - F.col("_ahead") - F.col("_before")))
+    part = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), F.col("_rest") - (F.col("_run") - F.col("_start"))))
     out = out.withColumn("_epochs", epochs).withColumn("_rest", rest)
     cols = ["doc_id", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + part).alias("taken")]
     return out.select(*cols, *keep)
@@ -96,14 +91,18 @@ def _source_key() -> Column:
 def mixed_documents(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """The mix as documents: a row for each whole copy taken, and one cut after its words for the document that crosses a target.
 
-    The mix is made on ids, digests and sizes; texts are shuffled once, to meet what is taken of them. Rows that are equal in id
-    and text share what they take, so one of them stands for all.
+    The mix is made on ids, digests and sizes; texts are shuffled once, to meet what is taken of them. Rows that are equal in id,
+    text and source share what they take: one of them, the least by a hash of all columns, stands for all. Rows of one text in two
+    sources take for their own source each. Equal rows fold into one before the shuffle.
     """
     names, docs = docs.columns, plain(docs, "doc_id", "text", "source", "n_chars")
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).withColumn("_digest", F.md5(text_col()))
-    taken = mix(own, quality, ("_id", "_digest")).groupBy("_id", "_digest").agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size")).where("_taken > 0")
-    one = own.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_digest").orderBy("_id"))).where("_n = 1")
-    copies = one.join(taken, ["_id", "_digest"]).withColumn("_cut", F.explode(F.expr("transform(sequence(1, cast(ceil(_taken / _size) as int)), i -> least(_size, _taken - (i - 1) * _size))")))
+    keys = ["_id", "_digest", "_s"]
+    sorts = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_digest": F.md5(text_col()), "_s": _source_key(), "_hash": F.xxhash64(*sorts)})
+    taken = mix(own.withColumnsRenamed({k: f"own{k}" for k in (*keys, "_hash")}), quality, tuple(f"own{k}" for k in (*keys, "_hash")))
+    taken = taken.groupBy(*[F.col(f"own{k}").alias(k) for k in keys]).agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"), F.min("own_hash").alias("_hash")).where("_taken > 0")
+    one = own.dropDuplicates([*keys, "_hash"])
+    copies = one.join(taken, [*keys, "_hash"]).withColumn("_cut", F.explode(F.expr("transform(sequence(1, cast(ceil(_taken / _size) as int)), i -> least(_size, _taken - (i - 1) * _size))")))
     # words with the space before them, laid end to end again: a pattern that counts would recurse once per word
     words = F.regexp_extract_all(F.col("text"), F.lit(rf"[{SPACE_CLASS}]*{WORD}"), F.lit(0))
     cut = F.col("_cut") < F.col("_size")

@@ -10,12 +10,12 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoolwave.llm.common import checkpoint, plain
 
-#: Pages of one host that a task aligns at a time. All parts of a host use one reference page and one template.
+#: Rows of one host that a task aligns at a time. All parts of a host use one reference page and one template.
 GROUP = 400
 #: A node is template if its text stands at the same place of at least this many distinct pages and this share of them.
 LEAST_PAGES = 3
@@ -430,15 +430,28 @@ def content(page: list[Run], template: Template | None) -> str:
     return "\n\n".join(found or spare)
 
 
+def middle(pages: Iterable[str]) -> str:
+    """The reference page among distinct pages: of those of middle length the one of the least hash, as `references` finds it."""
+    distinct = sorted(set(pages), key=len)
+    at = len(distinct[len(distinct) // 2])
+    return min((p for p in distinct if len(p) == at), key=lambda p: (_signed(p), p))
+
+
+def _signed(page: str) -> int:
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(page.encode("utf-8"), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 class Wrapper:
     """The pages of one host that fit in a task: surveyed, induced and extracted at once."""
 
-    def __init__(self, pages: Iterable[str], reference: str | None = None) -> None:
-        distinct = sorted(set(pages), key=lambda p: (len(p), p))
+    def __init__(self, pages: Iterable[str]) -> None:
+        distinct = sorted(set(pages))
         self.template = None
         root = order = None
         if len(distinct) >= LEAST_PAGES:
-            root, order = numbered(distinct[len(distinct) // 2] if reference is None else reference)
+            root, order = numbered(middle(distinct))
         self.pages = {p: runs(p, root) for p in distinct}
         if order:
             self.template = Template(order, totals(survey(self.pages.values())))
@@ -447,31 +460,47 @@ class Wrapper:
         return content(self.pages[page], self.template)
 
 
+def references(own: DataFrame) -> DataFrame:
+    """(_host, _parts, _distinct, _digest) of own(host, chars, digest): rows dealt in parts, distinct pages, the reference page.
+
+    The reference is of the middle length of the distinct pages: lengths are counted, and the counts of a host (one row a length)
+    are summed in order, so no task sees a host's pages. Copies of a page count once, whatever their number.
+    """
+    pages = own.groupBy("host", "chars", "digest").agg(F.count("*").alias("rows"))
+    lengths = pages.groupBy("host", "chars").agg(F.count("*").alias("pages"), F.sum("rows").alias("rows"), F.min("digest").alias("digest"))
+    whole = Window.partitionBy("host")
+    up_to = F.sum("pages").over(whole.orderBy("chars").rowsBetween(Window.unboundedPreceding, 0))
+    told = lengths.select("host", "digest", "pages", up_to.alias("up_to"), F.sum("pages").over(whole).alias("distinct"), F.sum("rows").over(whole).alias("rows"))
+    at = F.floor(F.col("distinct") / 2)
+    found = told.where((F.col("up_to") > at) & (F.col("up_to") - F.col("pages") <= at))
+    return found.select(F.col("host").alias("_host"), F.ceil(F.col("rows") / GROUP).alias("_parts"), F.col("distinct").alias("_distinct"), F.col("digest").alias("_digest"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per input row.
 
-    All distinct pages of a host are aligned with one reference page, that of the middle length. Text that stands at its place on
+    All distinct pages of a host are aligned with one reference page, one of the middle length. Text that stands at its place on
     most pages is template. What varies and is not mostly links shows where the content is: from the root down, a block that
     holds nearly all of it is entered, and the varying slots of the last one are content unless an element's name says otherwise
     (navigation, adverts, comments and the like). Names of main elements decide only where nothing can be induced (fewer than
     three distinct pages, or a page that has no such block). A host of any size is dealt into parts by its pages' content; the
-    parts' counts are summed over the host, so its size changes nothing. Where all that is left would be template (copies of one
+    parts' counts are summed over the host. Reference, counts and the least number of pages go by distinct pages, so neither the
+    number of rows nor copies of a page change another page's text. Where all that is left would be template (copies of one
     page), the runs stay. Null html gives an empty text; null urls form one host; repeated rows repeat; an empty table stays empty.
     """
     pages = plain(pages, "page_id", "url", "html")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     own = own.withColumn("chars", F.length("html")).withColumn("digest", F.xxhash64("html"))
-    hosts = checkpoint(own.groupBy(F.col("host").alias("_host")).agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.percentile_approx("chars", 0.5).alias("_middle")))
+    hosts = checkpoint(references(own))
     few = hosts.count() <= BROADCAST_HOSTS  # pages then stay where they are until they are dealt
-    placed = own.join(F.broadcast(hosts) if few else hosts, F.col("host") == F.col("_host")).withColumn("part", F.pmod("digest", "parts"))
-    chosen = placed.groupBy("host").agg(F.min(F.struct(F.abs(F.col("chars") - F.col("_middle")), "digest"))["digest"].alias("_digest"))
-    chosen = checkpoint(chosen.withColumnRenamed("host", "_chosen"))
-    reference = placed.join(F.broadcast(chosen) if few else chosen, (F.col("host") == F.col("_chosen")) & (F.col("digest") == F.col("_digest"))).groupBy("host", "parts").agg(F.min("html").alias("reference"))
+    placed = own.join(F.broadcast(hosts) if few else hosts, F.col("host") == F.col("_host")).withColumn("part", F.pmod("digest", "_parts"))
+    chosen = placed.where((F.col("_parts") > 1) & (F.col("_distinct") >= LEAST_PAGES) & (F.col("digest") == F.col("_digest")))
+    reference = chosen.groupBy("host", F.col("_parts").alias("parts")).agg(F.min("html").alias("reference"))
     # tasks follow the number of pages, whatever the session's number of shuffle partitions
     tasks = max(1, -(-pages.count() // (GROUP * 4)), min(pages.sparkSession.sparkContext.defaultParallelism, 8))
     dealt = placed.select("page_id", "url", "html", "host", "part").repartition(tasks, "host", "part")
-    large = checkpoint(reference.where("parts > 1"))
+    large = checkpoint(reference)
     # a column of its own: that of the checkpoint still counts as the pages' one, and the two meet below
     asked = large.select(F.concat("host", F.lit("")).alias("host"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "reference")
 
