@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spoolwave.operators.ranking import ranked
+
 
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key (J01, J02): an aggregate, combined before the shuffle, not a sort of every key's rows."""
@@ -63,12 +65,12 @@ def replace_groups(reader: DataFrame, declared: DataFrame, key: str, keep: str)
 
 
 def ordered_union(parts: list[DataFrame], key: str, pos: str) -> DataFrame:
-    """(key, rank): keys of the first list in order, then unseen ones of the next."""
+    """(key, rank): keys of the first list in order, then unseen ones of the next (U03); the rank is taken over ranges of the keys."""
     rows = parts[0].select(key, F.lit(0).alias("_part"), F.col(pos).alias("_pos"))
     for i, p in enumerate(parts[1:], 1):
         rows = rows.unionByName(p.select(key, F.lit(i).alias("_part"), F.col(pos).alias("_pos")))
     first = rows.groupBy(key).agg(F.min(F.struct("_part", "_pos")).alias("_at"))
-    return first.withColumn("rank", F.row_number().over(Window.orderBy("_at", key))).select(key, "rank")
+    return ranked(first, [F.col("_at"), F.col(key)], "rank").select(key, "rank")
 
 
 def numeric_columns(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -26,6 +26,21 @@ def compare(source: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys, "full_outer").select(*keys, state.alias("state"))
 
 
+def choose_blocks(places: DataFrame, keys: list[str], at: str, some: int = 8, seed: int = 0) -> DataFrame:
+    """(keys, at) of the first, the last and `some` further blocks of every array, all where there are few.
+
+    places has a row a block: (keys, at). The inner blocks are ranked by a digest of seed, keys and place; a limit by rank is
+    applied before the shuffle, so of each array a few rows a task move, and reruns agree.
+    """
+    places = places.select(*keys, at).distinct()
+    ends = places.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
+    inner = places.join(ends, keys).where((F.col(at) > F.col("_a")) & (F.col(at) < F.col("_b")))
+    said = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in (*keys, at)]))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(said, at))
+    drawn = inner.select(*keys, at, rank.alias("_n")).where(F.col("_n") <= some).select(*keys, at)
+    return ends.select(*keys, F.explode(F.array_distinct(F.array("_a", "_b"))).alias(at)).unionByName(drawn)
+
+
 def mismatch_summary(states: DataFrame, path: str, block: str, shown: int = 5) -> DataFrame:
     """(path, blocks, mismatches, first): paths with bad blocks and the first of them."""
     bad = F.col("state") != "ok"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spoolwave.operators.ranking import running_sum
+
 
 def units(snippets: DataFrame, channel: str = "channel", code: str = "sort_code") -> DataFrame:
     """(channel, sort_code, unit): distinct sorted units, code 0 left out, numbered by channel then code.
@@ -33,8 +35,8 @@ def spike_times(snippets: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 
 def ragged_index(counts: DataFrame, order: list[str], n: str) -> DataFrame:
-    """counts with `end`: cumulative end offsets in order (A04); one row per unit."""
-    return counts.withColumn("end", F.sum(n).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    """counts with `end`: cumulative end offsets in order (A04), summed over ranges of the order."""
+    return running_sum(counts, [F.col(c) for c in order], F.col(n), "end").withColumn("end", F.col("end") + F.col(n))
 
 
 def channel_summary(snippets: DataFrame, keys: list[str], code: Column) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spoolwave.sources.files import file_system
 
@@ -45,6 +46,49 @@ def check(data: dict[str, Any]) -> None:
         raise ValueError(f"subject.sex must be one of {', '.join(SEXES)}")
 
 
+def faults(files: DataFrame, text: str = "text") -> DataFrame:
+    """files with `fault`, a row for each key of a file's JSON text that no file may have, and for a sex that is none (S58): the checks
+    of `check` for any number of files, on executors. A text that is no JSON object has the fault `no metadata`."""
+    keep = [c for c in files.columns if c != text]
+    keys = lambda c: F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+    parts = F.from_json(F.col(text), "map<string, string>")
+    rows = files.withColumn("_keys", F.json_object_keys(F.col(text))).withColumn("_parts", parts)
+    found = [F.when(F.col("_keys").isNull(), F.array(F.lit("no metadata"))), F.transform(F.array_sort(F.array_except("_keys", F.array(*map(F.lit, sorted(KEYS))))), lambda k: F.concat(F.lit("unknown key "), k))]
+    for part, allowed in sorted(KEYS.items()):
+        own = F.col("_parts")[part]
+        if part in ("streams", "snippets"):
+            inner = F.flatten(F.transform(F.map_values(F.from_json(own, "map<string, string>")), keys))
+        elif part == "groups":
+            inner = F.flatten(F.transform(F.from_json(own, "array<string>"), keys))
+        else:
+            inner = keys(own)
+        found.append(_unknown(part, inner, allowed))
+    sex = F.get_json_object(F.col(text), "$.subject.sex")
+    found.append(F.when(sex.isNotNull() & ~sex.isin(*SEXES), F.array(F.lit("subject.sex"))))
+    none = F.array().cast("array<string>")
+    return rows.select(*keep, F.explode(F.concat(*[F.coalesce(f, none) for f in found])).alias("fault"))
+
+
+def _unknown(part: str, inner: Column, allowed: set[str]) -> Column:
+    extra = F.array_sort(F.array_distinct(F.array_except(inner, F.array(*map(F.lit, sorted(allowed))))))
+    return F.transform(extra, lambda k: F.concat(F.lit(f"unknown key {part}."), k))
+
+
+def subjects(stated: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
+    """(key, field, value): stated over recorded fields of every subject, U for an unknown sex, only what is present; an age counts
+    from birth (K21, P25). A subject that only one side has counts with what that side says."""
+    names = sorted(KEYS["subject"])
+    own = lambda df, side: df.select(F.col(key).alias(f"_{side}"), *[F.nullif(F.col(n).cast("string"), F.lit("")).alias(f"{side}_{n}") for n in names if n in df.columns])
+    a, b = own(stated, "a"), own(recorded, "b")
+    both = a.join(b, F.col("_a") == F.col("_b"), "full_outer")
+    value = {n: F.coalesce(*[F.col(f"{side}_{n}") for side, df in (("a", a), ("b", b)) if f"{side}_{n}" in df.columns], F.lit(None).cast("string")) for n in names}
+    some = F.coalesce(*[v for v in value.values()]).isNotNull()
+    value["sex"] = F.coalesce(value["sex"], F.lit("U"))
+    value["age_reference"] = F.when(value["age"].isNotNull(), "birth")
+    fields = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), v.alias("value")) for n, v in sorted(value.items())])).alias("_f")
+    return both.where(some).select(F.coalesce("_a", "_b").alias(key), fields).select(key, "_f.field", "_f.value").where("value is not null")
+
+
 def read(path: str) -> dict[str, Any]:
     fs, where = file_system(path)
     with fs.open_input_stream(where) as f:

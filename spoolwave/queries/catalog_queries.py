@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spoolwave.operators import catalog, integrity
+from spoolwave.operators.ranking import ranked
 from spoolwave.plans import overlay
 from spoolwave.plans.tables import micros, table
 from spoolwave.queries.registry import query
@@ -348,7 +349,7 @@ def a23(spark, sf):
 
 @query("o01_sorted_names", "select p_partkey, row_number() over (order by p_name, p_partkey) as pos from part")
 def o01(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.row_number().over(Window.orderBy("p_name", "p_partkey")).cast("bigint").alias("pos"))
+    return ranked(table(spark, sf, "part").select("p_name", "p_partkey"), [F.col("p_name"), F.col("p_partkey")], "pos").select("p_partkey", "pos")
 
 
 @query("o03_trigger_order", "select l_orderkey, list(l_returnflag order by case l_returnflag when 'N' then 0 when 'A' then 1 else 2 end, l_linenumber, l_extendedprice) as flags from lineitem group by 1")
@@ -404,9 +405,9 @@ def u03(spark, sf):
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("u04_except", "select n_nationkey from nation where n_nationkey not in (select c_nationkey from customer where c_acctbal > 9500)")
+@query("u04_except", "select n_nationkey from nation where n_nationkey not in (select c_nationkey from customer where c_acctbal > 9900)")
 def u04(spark, sf):
-    return catalog.unknown(table(spark, sf, "nation"), table(spark, sf, "customer").where("c_acctbal > 9500"), "n_nationkey", "c_nationkey")
+    return catalog.unknown(table(spark, sf, "nation"), table(spark, sf, "customer").where("c_acctbal > 9900"), "n_nationkey", "c_nationkey")
 
 
 @query("u07_file_list", "select distinct p_type || '/' || p_brand as path from part")

@@ -80,22 +80,6 @@ def k06(spark, sf):
     return spark.createDataFrame(done, "write string, rows bigint")
 
 
-@query("k17_commit_marker", "select unnest(['whole', 'stopped']) as store, unnest([true, false]) as marked")
-def k17(spark, sf):
-    """A store whose job fails half way has no marker."""
-    rows, out = table(spark, sf, "orders").select("o_orderkey"), []
-    fails = rows.select(F.when(F.col("o_orderkey") % 97 == 5, F.raise_error(F.lit("stopped"))).otherwise(F.col("o_orderkey")).cast("bigint").alias("o_orderkey"))
-    for name, some in (("whole", rows), ("stopped", fails)):
-        path = scratch(spark, "marker")
-        try:
-            some.write.parquet(path)
-        except PySparkException:
-            pass
-        fs, where = file_system(path)
-        out.append((name, fs.get_file_info(f"{where}/_SUCCESS").is_file))
-    return spark.createDataFrame(out, "store string, marked boolean")
-
-
 @query("k08_session_store", f"select 'r' || g as recording, 4 * count(*) as n from {BASE} group by 1")
 def k08(spark, sf):
     path = scratch(spark, "session")
@@ -151,12 +135,6 @@ def v03(spark, sf):
     return plan.select("name", "out_name")
 
 
-@query("k21_subject", "select unnest(['age', 'age_reference', 'id', 'sex', 'species']) as field, unnest(['P90D', 'birth', 'r1', 'U', 'rat']) as value")
-def k21(spark, sf):
-    found = metadata.subject({"subject": {"id": "r1", "age": "P90D", "strain": "", "weight": None}}, {"species": "rat", "id": "old"})
-    return spark.createDataFrame(sorted(found.items()), "field string, value string")
-
-
 @query("k22_output_name", "select page_id, regexp_replace(url || '.NWB', '(?i)\\.nwb(\\.zarr)?$', '') || '.nwb.zarr' as name from pages")
 def k22(spark, sf):
     return table(spark, sf, "pages").select("page_id", output_name(F.concat("url", F.lit(".NWB")), ".nwb.zarr").alias("name"))
@@ -173,12 +151,6 @@ def v05(spark, sf):
     return found.select(F.regexp_extract("target_name", r"^(r:\d+)", 1).alias("target"), "message")
 
 
-@query("o10_block_choice", "select unnest([5, 12, 100]) as blocks, unnest([5, 10, 10]) as chosen, unnest([4, 11, 99]) as last")
-def o10(spark, sf):
-    found = [(n, job.choose_blocks(n)) for n in (5, 12, 100)]
-    return spark.createDataFrame([(n, len(set(b)), max(b)) for n, b in found], "blocks int, chosen int, last int")
-
-
 @query("x01_custom_reader", f"select g, count(*) as n, sum(raw[1])::bigint as total from {BASE} group by 1")
 def x01(spark, sf):
     """A reader that a caller brings: one int16 column per file, claimed by its suffix."""
@@ -193,9 +165,3 @@ def x01(spark, sf):
     session = folders.open_folder(spark, path, [*folders.FOLDERS, folders.Format("mine", lambda p: 0.5, opens)])
     long = stretches.samples(session.chunks())
     return long.groupBy(F.regexp_extract("recording", r"(\d)\.mine", 1).cast("bigint").alias("g")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("double")).cast("bigint").alias("total"))
-
-
-@query("s04_containers", "select unnest(['blackrock', 'intan', 'openephys', 'spikeglx', 'tdt']) as format, unnest([2, 2, 2, 1, 2]) as containers")
-def s04(spark, sf):
-    names = ("blackrock", "intan", "openephys", "spikeglx", "tdt")
-    return spark.createDataFrame([(n, len(folders.containers(deposit(spark, sf, MAKERS[n])))) for n in names], "format string, containers int")

@@ -454,18 +454,6 @@ def s55(spark, sf):
 MAKERS = {"tdt": _block, "spikeglx": _run, "intan": _intan("types"), "openephys": _binary, "openephys-legacy": _legacy, "blackrock": _nsx, "neuralynx": _csc}
 
 
-@query("s03_best_claim", "select unnest(['tdt', 'spikeglx', 'intan', 'openephys', 'openephys-legacy', 'blackrock', 'neuralynx']) as format, 1 as claims")
-def s03(spark, sf):
-    found = {name: folders.claims(deposit(spark, sf, make)) for name, make in MAKERS.items()}
-    return spark.createDataFrame([(c[0][0], len(c)) for c in found.values()], "format string, claims int")
-
-
-@query("v11_conformance", "select unnest(['tdt', 'blackrock']) as format, 0 as faults")
-def v11(spark, sf):
-    found = {name: folders.conforms(folders.open_folder(spark, deposit(spark, sf, MAKERS[name]))) for name in ("tdt", "blackrock")}
-    return spark.createDataFrame([(k, len(v)) for k, v in found.items()], "format string, faults int")
-
-
 @query("n01_decode", f"select g, t as dtype, count(*) as n, sum(v)::bigint as total from (select g, unnest(['<f4', '<i4', '<i2', '<i1', '<f8', '<i8', '<u2']) as t, raw[1] % 100 as v from {BASE}) group by 1, 2")
 def n01(spark, sf):
     kinds = ("<f4", "<i4", "<i2", "<i1", "<f8", "<i8", "<u2")

@@ -158,11 +158,9 @@ def _legacy(path: str) -> float:
 def _open_legacy(spark: SparkSession, path: str) -> Session:
     spark.dataSource.register(RecordSource)
     records = spark.read.format("records").option("format", "oe_continuous").load(path)
-    rows = openephys.legacy_samples(records).withColumn("block", F.floor(F.col("sample") / openephys.LEGACY_BLOCK))
-    values = F.transform(F.array_sort(F.collect_list(F.struct("sample", "value"))), lambda s: s["value"])
-    chunks = rows.groupBy("file", "block").agg(F.min("sample").alias("first"), values.alias("values"))
+    chunks = openephys.legacy_chunks(records)
     name = F.regexp_replace("file", r"\.continuous$", "")
-    return Session("openephys-legacy", chunked=chunks.select(name.alias("recording"), F.lit(0).alias("channel"), "first", "values"))
+    return Session("openephys-legacy", chunked=chunks.select(name.alias("recording"), F.lit(0).alias("channel"), "first", F.col("values").cast("array<float>").alias("values")))
 
 
 def _blackrock(path: str) -> float:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spoolwave.operators import sections
 from spoolwave.sources.files import file_system
-from spoolwave.sources.records import RecordSource
+from spoolwave.sources.records import RecordSource, shaped
 
 HEADER, BLOCK = 16384, 512
 
@@ -90,17 +90,15 @@ def ncs_samples(records: DataFrame, gain: float = 1.0) -> DataFrame:
     return long.select("file", (F.col("_first") + F.col("_i")).alias("sample"), (F.col("_v").cast("double") * gain).cast("float").alias("value"))
 
 
-def spikes(spark: SparkSession, path: str, wires: int, samples: int, gains: list[float]) -> DataFrame:
-    """(k, t_us, cell, wire, waveform): a 48-byte head, then [sample][wire] int16."""
-    kind = np.dtype([("timestamp", "<u8"), ("entity", "<u4"), ("cell", "<u4"), ("features", "<u4", (8,)), ("data", "<i2", (samples, wires))])
-    fs, where = file_system(path)
-    with fs.open_input_file(where) as f:
-        f.seek(HEADER)
-        raw = f.read()
-    rows = np.frombuffer(raw, kind, len(raw) // kind.itemsize)
-    df = spark.createDataFrame([(k, int(r["timestamp"]), int(r["cell"]), r["data"].T.astype(int).tolist()) for k, r in enumerate(rows)], "k bigint, t_us bigint, cell int, data array<array<int>>")
+def spikes(spark: SparkSession, path: str, wires: int, samples: int, gains: list[float], **options) -> DataFrame:
+    """(file, k, t_us, cell, wire, waveform): a 48-byte head, then [sample][wire] int16."""
+    fields = [("timestamp", "<u8"), ("entity", "<u4"), ("cell", "<u4"), ("features", "<u4", (8,)), ("data", "<i2", (samples, wires))]
+    suffix = "." + path.rsplit(".", 1)[1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    rows = shaped(spark, path, fields, HEADER, suffix, ["timestamp", "cell", "data"], **options)
+    wire = F.explode(F.sequence(F.lit(0), F.lit(wires - 1))).alias("wire")
+    long = rows.select("file", "k", F.col("timestamp").alias("t_us"), F.col("cell").cast("int").alias("cell"), "data", wire)
     g = F.array(*map(F.lit, gains))
-    return df.select("k", "t_us", "cell", F.posexplode("data").alias("wire", "_w")).select("k", "t_us", "cell", "wire", F.transform("_w", lambda v: (v * F.get(g, F.col("wire"))).cast("float")).alias("waveform"))
+    return long.select("file", "k", "t_us", "cell", "wire", F.transform("data", lambda v: (F.get(v, F.col("wire")) * F.get(g, F.col("wire"))).cast("float")).alias("waveform"))
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:

@@ -9,11 +9,12 @@ from collections import Counter
 from xml.etree import ElementTree
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoolwave.sources import stretches
 from spoolwave.sources.files import file_system, listing
+from spoolwave.sources.records import shaped
 
 LEGACY_HEADER, LEGACY_BLOCK = 1024, 1024
 
@@ -109,39 +110,120 @@ def legacy_name(file: str) -> tuple[str, str | None, str, int] | None:
     return parts[0], "_".join(parts[1:-1]) or None, parts[-1], start
 
 
-def legacy_samples(records: DataFrame, gains: dict[str, float] | None = None) -> DataFrame:
-    """(file, sample, value): records cut to the range that all files share, gaps read as 0.
+def legacy_runs(records: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """(file, first, n, samples) of records (file, k, timestamp, samples): the records' own runs, and a run without samples for each
+    gap, cut to the range that all files share and to start..end (S44, J21, W16).
 
-    Records of 1024 samples follow each other; sample numbers between them that no record holds get the value 0.
+    A gap is a row of its first sample number and its length, however long. The record after another one is found by a join on
+    record numbers, so a file's records are never one task.
     """
-    r = records.select("file", F.col("timestamp").alias("first"), "samples")
-    span = r.groupBy("file").agg(F.min("first").alias("a"), F.max("first").alias("b")).agg(F.max("a").alias("_from"), F.min(F.col("b") + LEGACY_BLOCK).alias("_to"))
-    cut = r.join(F.broadcast(span))
-    w = Window.partitionBy("file").orderBy("first")
-    cut = cut.withColumn("_next", F.least(F.coalesce(F.lead("first").over(w), F.col("_to")), F.col("_to")))
-    # a record's own samples, then zeros up to the next record
-    filled = F.concat("samples", F.array_repeat(F.lit(0).cast("smallint"), F.greatest(F.col("_next") - F.col("first") - LEGACY_BLOCK, F.lit(0)).cast("int")))
-    rows = cut.select("file", "first", "_from", "_to", F.posexplode(filled).alias("_i", "value")).withColumn("sample", F.col("first") + F.col("_i"))
-    rows = rows.where("sample >= _from and sample < _to")
+    own = records.select("file", F.col("k").cast("bigint").alias("k"), F.col("timestamp").alias("first"), "samples")
+    span = own.groupBy("file").agg(F.min("first").alias("a"), F.max("first").alias("b")).agg(F.max("a").alias("_from"), F.min(F.col("b") + LEGACY_BLOCK).alias("_to"))
+    after = own.select("file", (F.col("k") - 1).alias("k"), F.col("first").alias("_next"))
+    ends = own.select("file", "k", "first").join(after, ["file", "k"], "left")
+    gaps = ends.where(F.col("_next") > F.col("first") + LEGACY_BLOCK).select("file", (F.col("first") + LEGACY_BLOCK).alias("first"), F.col("_next").alias("_end"), F.lit(None).cast("array<smallint>").alias("samples"))
+    runs = own.select("file", "first", (F.col("first") + F.size("samples")).alias("_end"), "samples").unionByName(gaps).join(F.broadcast(span))
+    low, high = F.greatest("first", "_from", F.lit(start).cast("bigint")), F.least("_end", "_to", F.lit(end).cast("bigint"))  # nulls are skipped
+    cut = runs.withColumn("_low", low).withColumn("_n", (high - low)).where("_n > 0")
+    inside = F.when(F.col("samples").isNotNull(), F.slice("samples", (F.col("_low") - F.col("first") + 1).cast("int"), F.greatest(F.col("_n"), F.lit(0)).cast("int")))
+    return cut.select("file", F.col("_low").alias("first"), F.col("_n").alias("n"), inside.alias("samples"))
+
+
+def legacy_chunks(records: DataFrame, start: int | None = None, end: int | None = None, piece: int = 65536) -> DataFrame:
+    """(file, first, values) over the range: records as they are, gaps as zeros in pieces of at most `piece` samples."""
+    runs = legacy_runs(records, start, end)
+    part = F.explode(F.when(F.col("samples").isNotNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / piece))))
+    each = runs.withColumn("_k", part)
+    zeros = F.array_repeat(F.lit(0).cast("smallint"), F.least(F.lit(piece), F.col("n") - F.col("_k") * piece).cast("int"))
+    return each.select("file", (F.col("first") + F.col("_k") * piece).alias("first"), F.coalesce("samples", zeros).alias("values"))
+
+
+def legacy_samples(records: DataFrame, gains: dict[str, float] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """(file, sample, value): records cut to the range that all files share, gaps read as 0."""
+    rows = legacy_chunks(records, start, end).select("file", "first", F.posexplode("values").alias("_i", "value"))
     gain = F.lit(1.0)
     for k, g in (gains or {}).items():
         gain = F.when(F.col("file") == k, g).otherwise(gain)
-    return rows.select("file", "sample", (F.col("value") * gain).cast("float").alias("value"))
+    return rows.select("file", (F.col("first") + F.col("_i")).alias("sample"), (F.col("value") * gain).cast("float").alias("value"))
 
 
-def legacy_spikes(spark: SparkSession, path: str, channels: int, samples: int) -> DataFrame:
-    """(k, channel, waveform) in volts of a spike file: record = 42 + n m 2 + n 4 + n 2 + 2 bytes."""
+def locate(points: DataFrame, records: DataFrame, block: int = LEGACY_BLOCK) -> DataFrame:
+    """points (file, sample, ...) with `k` and `offset`: the record that holds the sample and the place in it, null in a gap.
+
+    Every record lies in at most two stretches of `block` samples, so records and points meet in an equal join on file and stretch:
+    a file is as many keys as it has stretches, and a point meets one or two records. Of records that overlap the last one holds.
+    Points that are asked twice are answered twice.
+    """
+    first = F.col("timestamp")
+    index = records.select("file", F.col("k").alias("_k"), first.alias("_first"), F.explode(F.array_distinct(F.array(F.floor(first / block), F.floor((first + block - 1) / block)))).alias("_stretch"))
+    asked = points.withColumn("_stretch", F.floor(F.col("sample") / block)).withColumn("_point", F.monotonically_increasing_id())
+    index = index.withColumnRenamed("file", "_file")
+    on = (F.col("file") == F.col("_file")) & (asked["_stretch"] == index["_stretch"]) & (F.col("_first") <= F.col("sample")) & (F.col("sample") < F.col("_first") + block)
+    met = asked.join(index, on, "left").drop(index["_stretch"])
+    best = met.groupBy(*points.columns, "_stretch", "_point").agg(F.max(F.struct("_first", "_k")).alias("_r"))
+    return best.select(*points.columns, F.col("_r._k").alias("k"), (F.col("sample") - F.col("_r._first")).alias("offset"))
+
+
+def legacy_spikes(spark: SparkSession, path: str, channels: int, samples: int, **options) -> DataFrame:
+    """(file, k, channel, waveform) in volts of spike files: record = 42 + n m 2 + n 4 + n 2 + 2 bytes."""
     n, m = channels, samples
-    kind = np.dtype([("head", "V42"), ("wave", "<u2", (n, m)), ("gain", "<f4", (n,)), ("threshold", "<u2", (n,)), ("recording", "<u2")])
-    fs, where = file_system(path)
-    with fs.open_input_file(where) as f:
-        f.seek(LEGACY_HEADER)
-        raw = f.read()
-    rows = np.frombuffer(raw, kind, len(raw) // kind.itemsize)
-    df = spark.createDataFrame([(k, r["wave"].astype(int).tolist(), r["gain"].astype(float).tolist()) for k, r in enumerate(rows)], "k bigint, wave array<array<int>>, gain array<double>")
-    long = df.select("k", "gain", F.posexplode("wave").alias("channel", "raw")).withColumn("_g", F.get("gain", F.col("channel")))
+    fields = [("head", "V42"), ("wave", "<u2", (n, m)), ("gain", "<f4", (n,)), ("threshold", "<u2", (n,)), ("recording", "<u2")]
+    rows = shaped(spark, path, fields, LEGACY_HEADER, ".spikes", ["wave", "gain"], **options)
+    long = rows.select("file", "k", "gain", F.posexplode("wave").alias("channel", "raw")).withColumn("_g", F.get("gain", F.col("channel")).cast("double"))
     scale = F.when(F.col("_g") != 0, 1e-3 / F.col("_g")).otherwise(0.0)
-    return long.withColumn("_s", scale).select("k", "channel", F.transform("raw", lambda v: ((v - 32768) * F.col("_s")).cast("float")).alias("waveform"))
+    return long.withColumn("_s", scale).select("file", "k", "channel", F.transform("raw", lambda v: ((v - 32768) * F.col("_s")).cast("float")).alias("waveform"))
+
+
+#: What is read of a structure file.
+OEBIN = "struct<continuous: array<struct<folder_name: string, stream_name: string, sample_rate: double, channels: array<struct<channel_name: string, bit_volts: double, units: string, description: string>>>>>"
+
+
+def structures(sidecars: DataFrame, text: str = "text") -> DataFrame:
+    """sidecars with (folder, stream, rate, channels: name, role, gain) of each continuous stream in a structure file's text (S40,
+    T26, P10): files of any number of sessions are parsed where they lie."""
+    s = sidecars.withColumn("_s", F.explode(F.from_json(F.col(text), OEBIN)["continuous"])).drop(text)
+    folder = F.regexp_replace(F.coalesce("_s.folder_name", F.lit("")), "/+$", "")
+
+    def channel(c):
+        name, said = F.coalesce(c["channel_name"], F.lit("")), F.lower(F.coalesce(c["description"], F.lit("")))
+        role = F.when(name.endswith("_SYNC") | said.contains("sync line"), "sync").when(name.startswith("ADC") | name.startswith("AUX"), "analog").otherwise("electrode")
+        unit = F.when(c["units"] == "V", 1.0).when(c["units"] == "mV", 1e-3).otherwise(1e-6)
+        return F.struct(name.alias("name"), role.alias("role"), F.when(role == "sync", 1.0).otherwise(F.coalesce(c["bit_volts"], F.lit(1.0)) * unit).alias("gain"))
+
+    keep = [c for c in sidecars.columns if c != text]
+    return s.select(*keep, folder.alias("folder"), F.coalesce(F.when(F.col("_s.stream_name") != "", F.col("_s.stream_name")), folder).alias("stream"), F.coalesce("_s.sample_rate", F.lit(0.0)).alias("rate"), F.transform(F.coalesce("_s.channels", F.array().cast("array<struct<channel_name: string, bit_volts: double, units: string, description: string>>")), channel).alias("channels"))
+
+
+def settings_rows(sidecars: DataFrame, text: str = "text") -> DataFrame:
+    """sidecars with (date, version, processors, sites) of a settings file's text (S43, T20, T35): processors by number, the sites' x and
+    y by channel, for files of any number of sessions."""
+    x = F.col(text)
+    said = lambda path: F.when(F.xpath_string(x, F.lit(path)) != "", F.xpath_string(x, F.lit(path)))
+    names = F.transform(F.xpath(x, F.lit("//PROCESSOR/@name")), lambda n: F.regexp_replace(F.trim(F.element_at(F.split(n, "/"), -1)), " ", "_"))
+    numbers = F.xpath(x, F.lit("//PROCESSOR/@nodeId | //PROCESSOR/@NodeId"))
+
+    def places(axis: str):
+        element = F.regexp_extract(x, f"<ELECTRODE_{axis}POS\\b([^>]*)>", 1)
+        keys, values = (F.regexp_extract_all(element, F.lit(r"""([\w:.-]+)\s*=\s*["']([^"']*)["']"""), F.lit(i)) for i in (1, 2))
+        return F.map_from_arrays(keys, F.transform(values, lambda v: v.cast("double")))
+
+    both = F.map_filter(F.map_zip_with(places("X"), places("Y"), lambda _, a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("x"), b.alias("y")))), lambda _, v: v.isNotNull())
+    keep = [c for c in sidecars.columns if c != text]
+    return sidecars.select(*keep, said("//DATE").alias("date"), said("//VERSION").alias("version"), F.map_from_arrays(numbers, names).alias("processors"), both.alias("sites"))
+
+
+def session_stretches(sessions: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Stretches of many recording folders at once (S40, S41): sessions (path, text of the structure file), sizes (path, bytes) of the
+    folders' data files. Nothing but the tables is looked at; a file that is absent has no size and is left out."""
+    streams = structures(sessions).withColumn("_file", F.concat("path", F.lit("/continuous/"), "folder", F.lit("/continuous.dat")))
+    known = sizes.select(F.col("path").alias("_file"), F.col("bytes"))
+    n = F.size("channels")
+    each = lambda what: F.transform(F.sequence(F.lit(0), n - 1), what)
+    return streams.where(n > 0).join(known, "_file").select(
+        F.concat_ws("/", F.element_at(F.split("path", "/"), -1), F.col("stream")).alias("recording"), F.col("_file").alias("path"), F.lit(0).cast("bigint").alias("first"), F.floor(F.col("bytes") / (2 * n)).alias("samples"),
+        F.lit(0).cast("bigint").alias("offset"), F.lit("<i2").alias("dtype"), (2 * n).cast("bigint").alias("step"), each(lambda i: (2 * i).cast("bigint")).alias("places"), each(lambda i: i).alias("channels"),
+        F.transform("channels", lambda c: c["gain"]).alias("gains"), each(lambda i: F.lit(0.0)).alias("shifts"),
+    )
 
 
 def software_time(text: str) -> int | None:

@@ -4,7 +4,8 @@ Format "recording", layouts by option `layout`:
   example      *.example files: 32-byte header (EXAMPLE1, uint32 channels, float64 rate, float64 volts per bit, uint32
                reserved), then int16 samples, channels interleaved. Several files are parts in name order.
   interleaved  headerless int16 files (options suffix, saved = number of channels, rate, gain)
-Options: channels = "3,0,7" (subset, order kept), start and end (sample range), scaled = true for volts.
+Options: channels = "3,0,7" (subset, order kept), start and end (sample range), scaled = true for volts, strict = true to refuse a
+range that ends behind the last sample (while the source is planned, before a job runs).
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -28,6 +31,26 @@ STRETCH = 1 << 20
 BATCH_VALUES = 1 << 20
 
 
+class SampleRange(ValueError):
+    """A range that ends before it starts, or behind the last sample."""
+
+
+class NoChannel(ValueError):
+    """A channel that the recording does not have."""
+
+
+def refusal(start: Column, end: Column, channels: Column, total: Column, samples: Column) -> Column:
+    """Why a request is refused: `sample range` before `channel`, null if it can be read."""
+    wrong = F.exists(channels, lambda c: c.isNull() | (c < 0) | (c >= total))
+    return F.when((start < 0) | (start > end) | (end > samples), "sample range").when(wrong, "channel")
+
+
+def check_requests(requests: DataFrame, total: Column, samples: Column) -> DataFrame:
+    """requests (start, end, channels) with `refused` and `samples`, the samples a channel gives (null if refused)."""
+    told = requests.withColumn("refused", refusal(F.col("start"), F.col("end"), F.col("channels"), total, samples))
+    return told.withColumn("samples", F.when(F.col("refused").isNull(), F.col("end") - F.col("start")))
+
+
 @dataclass
 class Header:
     channels: int
@@ -71,7 +94,8 @@ class RecordingReader(DataSourceReader):
         if self.layout not in ("example", "interleaved"):
             raise ValueError(f"unknown layout {self.layout}")
         if self.start < 0 or (self.end is not None and self.end < self.start):
-            raise ValueError(f"bad sample range {self.start}..{self.end}")
+            raise SampleRange(f"samples {self.start}..{self.end}")
+        self.strict = self.options.get("strict", "false").lower() == "true"
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -95,11 +119,13 @@ class RecordingReader(DataSourceReader):
             else:
                 skip, channels, gain = int(self.options.get("skip", 0)), int(self.options["saved"]), float(self.options.get("gain", 1.0))
             if self.wanted and (bad := [c for c in self.wanted if not 0 <= c < channels]):
-                raise ValueError(f"no channels {bad} among {channels}")
+                raise NoChannel(f"channels {bad} of {channels}")
             samples = (info.size - skip) // (2 * channels)
             lo, hi = max(self.start - first, 0), min(samples, (self.end if self.end is not None else first + samples) - first)
             out += [Part(info.path, first, a, min(a + STRETCH, hi), skip, channels, gain) for a in range(lo, hi, STRETCH)]
             first += samples
+        if self.strict and self.end is not None and self.end > first:
+            raise SampleRange(f"samples {self.start}..{self.end} of {first}")
         return out or [Part("", 0, 0, 0, 0, 1, 1.0)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:

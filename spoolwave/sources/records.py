@@ -1,16 +1,20 @@
-"""Fixed-size record files as a Spark data source.
+"""Fixed-size record files as a Spark data source.
 
-Format "records", option `format` names a layout below. Rows have `k` (record number in the file), `file` and the layout's
-fields; a read task is a range of records of one file.
+Format "records", option `format` names a layout below, or `custom` one that the options state: `fields` (JSON: name, number type
+and shape of each field, at most two dimensions), `suffix` and `skip` (bytes of the file's head). Rows have `k` (record number in
+the file), `file` and the layout's fields, or those that the option `columns` names; a read task is a range of records of one file
+(option `splitBytes`).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -26,17 +30,55 @@ FORMATS: dict[str, tuple[str, int, list[tuple]]] = {
 }
 STRETCH_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
-_SPARK = {"i1": "tinyint", "i2": "smallint", "u2": "int", "i4": "int", "u4": "bigint", "i8": "bigint", "u8": "bigint", "f4": "float", "f8": "double"}
+_SPARK = {"i1": "tinyint", "u1": "smallint", "i2": "smallint", "u2": "int", "i4": "int", "u4": "bigint", "i8": "bigint", "u8": "bigint", "f4": "float", "f8": "double"}
 _ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
 
 
-def _kinds(fmt: str) -> list[tuple[str, str, int]]:
-    """(field, Spark type, length): length 0 for a scalar."""
-    out = []
-    for field in FORMATS[fmt][2]:
-        code = field[1].lstrip("<>")
-        out.append((field[0], "string" if code[0] == "S" else _SPARK[code], field[2] if len(field) > 2 else 0))
-    return out
+@dataclass
+class RecordLayout:
+    """Suffix, head and fields of a record file, and the columns that are wanted."""
+
+    suffix: str
+    skip: int
+    dtype: np.dtype
+    columns: list[str]
+
+    @classmethod
+    def of(cls, options: dict[str, str]) -> RecordLayout:
+        name = options["format"]
+        if name == "custom":
+            fields = [(f[0], f[1], *([tuple(f[2])] if len(f) > 2 and f[2] else [])) for f in json.loads(options["fields"])]
+            suffix, skip = options.get("suffix", ""), int(options.get("skip", 0))
+        elif name in FORMATS:
+            suffix, skip, fields = FORMATS[name]
+        else:
+            raise ValueError(f"unknown format {name}")
+        kind = np.dtype(fields)
+        columns = [c for c in options["columns"].split(",") if c] if "columns" in options else [n for n in kind.names if kind[n].base.kind != "V"]
+        if unknown := [c for c in columns if c not in kind.names]:
+            raise ValueError(f"no fields {unknown} among {list(kind.names)}")
+        if deep := [c for c in columns if len(kind[c].shape) > 2 or kind[c].base.kind not in "iufS"]:
+            raise ValueError(f"fields {deep} are not read: bytes without a type, or more than two dimensions")
+        return cls(suffix, skip, kind, columns)
+
+    def spark(self, column: str) -> str:
+        base = self.dtype[column].base
+        return "string" if base.kind == "S" else _SPARK[base.str.lstrip("<>|=")]
+
+    def schema(self) -> str:
+        nested = lambda c: "".join("array<" for _ in self.dtype[c].shape) + self.spark(c) + "".join(">" for _ in self.dtype[c].shape)
+        return ", ".join(["file string", "k bigint", *[f"`{c}` {nested(c)}" for c in self.columns]])
+
+    def arrow(self, column: str, v: np.ndarray) -> pa.Array:
+        """A column of records as Arrow: a field with a shape becomes (nested) lists."""
+        spark, shape = self.spark(column), self.dtype[column].shape
+        if spark == "string":
+            return pa.array([x.split(b"\0")[0].decode("latin-1") for x in v.tolist()])
+        flat = np.ascontiguousarray(v).ravel()
+        out = pa.array(flat.astype(flat.dtype.newbyteorder("=")).astype(_ARROW[spark].to_pandas_dtype()), _ARROW[spark])
+        for size in reversed(shape):
+            out = pa.ListArray.from_arrays(np.arange(0, len(out) + 1, size, dtype=np.int32), out)
+        return out
 
 
 @dataclass
@@ -48,41 +90,29 @@ class Range(InputPartition):
 
 class RecordReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.path, self.format = options["path"], options["format"]
-        if self.format not in FORMATS:
-            raise ValueError(f"unknown format {self.format}")
+        self.path, self.layout = options["path"], RecordLayout.of(options)
+        self.stretch = int(options.get("splitBytes", STRETCH_BYTES))
 
     def partitions(self) -> list[Range]:
-        suffix, skip, fields = FORMATS[self.format]
-        size = np.dtype(fields).itemsize
-        step = max(1, STRETCH_BYTES // size)
-        _, files = listing(self.path, suffix)
+        skip, size = self.layout.skip, self.layout.dtype.itemsize
+        step = max(1, self.stretch // size)
+        _, files = listing(self.path, self.layout.suffix)
         # a partial record at the end of a file is left out
         return [Range(i.path, a, min(a + step, (i.size - skip) // size)) for i in files for a in range(0, max((i.size - skip) // size, 0), step)] or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if not part.path:
             return
-        _, skip, fields = FORMATS[self.format]
-        kind = np.dtype(fields)
-        fs, _ = file_system(self.path)
-        step = max(1, BATCH_BYTES // kind.itemsize)
+        layout, fs = self.layout, file_system(self.path)[0]
+        size = layout.dtype.itemsize
+        step = max(1, BATCH_BYTES // size)
         name = part.path.rsplit("/", 1)[-1]
         with fs.open_input_file(part.path) as f:
             for a in range(part.start, part.end, step):
                 n = min(step, part.end - a)
-                rows = np.frombuffer(f.read_at(n * kind.itemsize, skip + a * kind.itemsize), kind)
-                cols = [pa.array([name] * n), pa.array(np.arange(a, a + n))]
-                for field, spark, length in _kinds(self.format):
-                    v = rows[field]
-                    if spark == "string":
-                        cols.append(pa.array([x.split(b"\0")[0].decode("latin-1") for x in v.tolist()]))
-                    elif length:
-                        flat = pa.array(np.ascontiguousarray(v).ravel().astype(v.dtype.newbyteorder("=")), _ARROW[spark])
-                        cols.append(pa.ListArray.from_arrays(np.arange(0, n * length + 1, length, dtype=np.int32), flat))
-                    else:
-                        cols.append(pa.array(v.astype(v.dtype.newbyteorder("=")).astype(_ARROW[spark].to_pandas_dtype())))
-                yield pa.RecordBatch.from_arrays(cols, names=["file", "k", *[x[0] for x in _kinds(self.format)]])
+                rows = np.frombuffer(f.read_at(n * size, layout.skip + a * size), layout.dtype)
+                cols = [pa.array([name] * n), pa.array(np.arange(a, a + n)), *[layout.arrow(c, rows[c]) for c in layout.columns]]
+                yield pa.RecordBatch.from_arrays(cols, names=["file", "k", *layout.columns])
 
 
 class RecordSource(DataSource):
@@ -91,11 +121,19 @@ class RecordSource(DataSource):
         return "records"
 
     def schema(self) -> str:
-        cols = [f"`{f}` " + (f"array<{t}>" if n else t) for f, t, n in _kinds(self.options["format"])]
-        return "file string, k bigint, " + ", ".join(cols)
+        return RecordLayout.of(self.options).schema()
 
     def reader(self, schema: StructType) -> RecordReader:
-        return RecordReader(dict(self.options))
+        return RecordReader(self.options)
+
+
+def shaped(spark: SparkSession, path: str, fields: list[tuple], skip: int = 0, suffix: str = "", columns: list[str] | None = None, split_bytes: int = STRETCH_BYTES) -> DataFrame:
+    """Records of stated fields (name, number type[, shape]) behind `skip` bytes; only the wanted columns leave the reader."""
+    spark.dataSource.register(RecordSource)
+    options = {"format": "custom", "fields": json.dumps([[f[0], f[1], list(f[2]) if len(f) > 2 else []] for f in fields]), "skip": str(skip), "suffix": suffix, "splitBytes": str(split_bytes)}
+    if columns is not None:
+        options["columns"] = ",".join(columns)
+    return spark.read.format("records").options(**options).load(path)
 
 
 def write_records(records: np.ndarray, uri: str, fmt: str, header: bytes = b"") -> None:

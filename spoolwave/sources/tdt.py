@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spoolwave.sources import stretches
 from spoolwave.sources.files import file_system, listing
-from spoolwave.sources.records import RecordSource
+from spoolwave.sources.records import RecordSource, shaped
 
 # Event types and formats of the index.
 STREAM, MASK, INVALID = 0x8101, 0xFF0F, 0xFFFF0000
@@ -45,6 +45,20 @@ def index(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+#: The index record with its last-but-two field as the value of an event, which shares its place with a stream's file offset.
+EVENT_FIELDS = [("size", "<i4"), ("type", "<i4"), ("name", "S4"), ("chan", "<u2"), ("sortcode", "<u2"), ("timestamp", "<f8"), ("value", "<f8"), ("format", "<i4"), ("freq", "<f4")]
+
+
+def epoc_values(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(file, k, kind, name, chan, timestamp, value) of onsets, offsets and scalars of index files."""
+    rows = shaped(spark, path, EVENT_FIELDS, 0, ".tsq", ["type", "name", "chan", "timestamp", "value"], **options)
+    kind = F.lit(None).cast("string")
+    for k, said in KINDS.items():
+        kind = F.when(F.col("type") == k, said).otherwise(kind)
+    # marks of the block itself have names of one unprintable byte
+    return rows.withColumn("kind", kind).where((F.col("kind") != "snip") & (F.ascii("name") >= 32)).select("file", "k", "kind", "name", "chan", "timestamp", "value")
+
+
 def streams(rows: DataFrame, tev: str) -> DataFrame:
     """Stretches of the packet streams: packets of a channel in order, all channels cut to the shortest."""
     fmt = lambda table: F.element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]), F.col("format"))
@@ -72,13 +86,9 @@ def snips(rows: DataFrame, tev: str, bytes_in_file: int, sorts: DataFrame | None
     return s
 
 
-def sort_result(spark: SparkSession, path: str) -> DataFrame:
+def sort_result(spark: SparkSession, path: str, **options) -> DataFrame:
     """(seq, code) of an offline sort: a 1024-byte channel map, then a code per record."""
-    fs, where = file_system(path)
-    with fs.open_input_file(where) as f:
-        f.seek(1024)
-        codes = f.read()
-    return spark.createDataFrame(list(enumerate(codes)), "seq bigint, code int")
+    return shaped(spark, path, [("code", "u1")], 1024, **options).select(F.col("k").alias("seq"), F.col("code").cast("int").alias("code"))
 
 
 def sev_header(raw: bytes) -> dict:

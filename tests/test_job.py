@@ -61,12 +61,10 @@ def test_verify_reports_every_mismatch(spark, source, tmp_path):
     assert not report.ok and json.loads(report.json())["n_mismatches"] == 150
 
 
-def test_inspect_and_blocks(spark, source):
+def test_inspect_and_progress(spark, source):
     r = {x.recording: x for x in job.inspect(stretches.read(source), at=10).collect()}
     assert r["Temp"].channels == 2 and r["Temp"].samples == 100 and r["Temp"].head == [20.0, 22.0, 24.0, 26.0, 28.0]
-    assert job.choose_blocks(5) == [0, 1, 2, 3, 4]
-    b = job.choose_blocks(100)
-    assert len(b) == 10 == len(set(b)) and b[0] == 0 and b[-1] == 99 and job.Job(spark, source).progress()[0] >= 0
+    assert job.Job(spark, source).progress()[0] >= 0
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -143,3 +141,26 @@ def test_metadata_file(spark, tmp_path):
             metadata.check(bad)
     rec = spark.createDataFrame([("EMG",), ("Skip",)], "name string")
     assert [r.name for r in overlay.resolve(rec, metadata.spec(spark, back))[0].collect()] == ["EMG"]
+
+
+def test_validate_and_recheck_by_command(spark, tmp_path, capsys):
+    rec = tmp_path / "in"
+    (rec / "continuous" / "A").mkdir(parents=True)
+    (rec / "continuous" / "A" / "continuous.dat").write_bytes(np.arange(20, dtype="<i2").tobytes())
+    (rec / "structure.oebin").write_text('{"continuous":[{"folder_name":"A","sample_rate":10,"channels":[{"channel_name":"CH1","bit_volts":1,"units":"V"},{"channel_name":"CH2","bit_volts":1,"units":"V"}]}]}')
+    meta = tmp_path / "meta.json"
+    meta.write_text('{"streams": {"Gone": {"include": true}, "A": {"out_name": "B"}}}')
+    said = lambda: json.loads(capsys.readouterr().out)
+    assert main(["validate", str(tmp_path)]) == 0 and said()["findings"] == 0
+    main(["validate", str(tmp_path), "--meta", str(meta)])
+    assert [f["target_name"] for f in said()["first"]] == ["Gone"]
+    out = f"file://{tmp_path}/out"
+    assert main(["convert", str(tmp_path), out, "--meta", str(meta), "--verify", "sampled"]) == 0 and not (tmp_path / "out.digests").exists()
+    assert main(["convert", str(tmp_path), out, "--meta", str(meta), "--overwrite"]) == 0 and (tmp_path / "out.digests").exists()
+    capsys.readouterr()
+    assert main(["verify", out]) == 0 and said()["findings"] == 0
+    broken = spark.read.parquet(out).withColumn("values", F.transform("values", lambda v: v + (F.col("channel") == 1).cast("int"))).collect()
+    spark.createDataFrame(broken, "channel int, first bigint, values array<float>, recording string").write.mode("overwrite").partitionBy("recording").parquet(out)
+    assert main(["verify", out]) == 1
+    found = said()
+    assert found["by_level"] == {"error": 1} and found["first"][0]["message"] == "block differs" and found["first"][0]["target_name"] == "B:1:0"

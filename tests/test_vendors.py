@@ -1,11 +1,13 @@
 """Vendor layouts from bytes made in the tests."""
 
 import io
+import json
 import struct
 import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spoolwave.sources import blackrock, intan, neuralynx, openephys, spikeglx, stretches, tdt
 from spoolwave.sources.records import write_records
@@ -204,7 +206,9 @@ def test_openephys(spark, tmp_path):
     spike = np.zeros(2, np.dtype([("head", "V42"), ("wave", "<u2", (2, 3)), ("gain", "<f4", (2,)), ("threshold", "<u2", (2,)), ("recording", "<u2")]))
     spike["wave"], spike["gain"] = 32768 + 10, (1000.0, 0.0)
     (tmp_path / "SE0.spikes").write_bytes(bytes(1024) + spike.tobytes())
-    w = {(r.k, r.channel): r.waveform for r in openephys.legacy_spikes(spark, f"file://{tmp_path}/SE0.spikes", 2, 3).collect()}
+    found = openephys.legacy_spikes(spark, f"file://{tmp_path}/SE0.spikes", 2, 3, split_bytes=1)
+    w = {(r.k, r.channel): r.waveform for r in found.collect()}
+    assert found.rdd.getNumPartitions() == 2  # a task for each range of records
     assert np.allclose(w[0, 0], 10e-6) and w[1, 1] == [0.0] * 3
     xml = "<SETTINGS><INFO><VERSION>0.6</VERSION><DATE>30 Aug 2023 23:41:36</DATE></INFO><PROCESSOR name='Sources/Rhythm FPGA' nodeId='100'/><ELECTRODE_XPOS CH0='1'/><ELECTRODE_YPOS CH0='2'/></SETTINGS>"
     assert openephys.settings(xml) == {"date": "30 Aug 2023 23:41:36", "version": "0.6", "sites": {"CH0": (1.0, 2.0)}} and openephys.processor_names(xml) == {"100": "Rhythm_FPGA"}
@@ -234,3 +238,89 @@ def test_neuralynx(spark, tmp_path):
     (tmp_path / "x.nst").write_bytes(bytes(16384) + sp.tobytes())
     w = {(x.k, x.wire): x.waveform for x in neuralynx.spikes(spark, f"file://{tmp_path}/x.nst", 2, 4, [1.0, 2.0]).collect()}
     assert w[0, 0] == [0.0, 2.0, 4.0, 6.0] and w[1, 1] == [2.0, 6.0, 10.0, 14.0]
+
+
+def test_shaped_records(spark, tmp_path):
+    from spoolwave.sources.records import shaped
+
+    fields = [("head", "V3"), ("id", "<u4"), ("tag", "S4"), ("grid", ">i2", (2, 3)), ("line", "<f4", (2,)), ("byte", "u1")]
+    r = np.zeros(50, np.dtype(fields))
+    r["id"], r["tag"], r["byte"] = np.arange(50), [f"t{i}".encode() for i in range(50)], 255
+    r["grid"], r["line"] = np.arange(300).reshape(50, 2, 3) - 5, np.arange(100).reshape(50, 2) / 2
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.rec").write_bytes(bytes(7) + r.tobytes() + b"part")
+    df = shaped(spark, f"file://{tmp_path}", fields, 7, ".rec", split_bytes=200)
+    assert df.rdd.getNumPartitions() > 10 and df.columns == ["file", "k", "id", "tag", "grid", "line", "byte"]
+    got = {(x.file, x.k): x for x in df.collect()}
+    assert len(got) == 100 and got["b.rec", 49].grid == (np.arange(294, 300).reshape(2, 3) - 5).tolist() and got["a.rec", 3].line == [3.0, 3.5] and got["a.rec", 3].byte == 255 and got["a.rec", 3].tag == "t3"
+    few = shaped(spark, f"file://{tmp_path}/a.rec", fields, 7, columns=["grid"])
+    assert few.columns == ["file", "k", "grid"] and few.count() == 50
+    for bad in ({"columns": ["none"]}, {"columns": ["head"]}):
+        with pytest.raises(Exception, match="none|head"):
+            shaped(spark, f"file://{tmp_path}", fields, 7, ".rec", **bad).count()
+    assert shaped(spark, f"file://{tmp_path}", fields, 7, ".other").count() == 0
+
+
+def test_locate_in_records(spark):
+    block = 8
+    firsts = {"a": [0, 8, 16, 40, 48, 1000], "b": [3, 11, 100], "over": [0, 4]}
+    records = spark.createDataFrame([(f, k, t) for f, v in firsts.items() for k, t in enumerate(v)], "file string, k bigint, timestamp bigint")
+    asked = [(f, s) for f in (*firsts, "none") for s in (-1, 0, 3, 5, 7, 8, 10, 18, 19, 23, 24, 39, 40, 55, 56, 107, 108, 999, 1000, 1007, 1008)] + [("a", 5)] * 2 + [(None, 5)]
+    got = openephys.locate(spark.createDataFrame(asked, "file string, sample bigint"), records, block).collect()
+    want = []
+    for f, s in asked:
+        k = max((k for k, t in enumerate(firsts.get(f, [])) if t <= s), default=None)
+        inside = k is not None and s - firsts[f][k] < block
+        want.append((f, s, k if inside else None, s - firsts[f][k] if inside else None))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_long_gap_is_a_row(spark):
+    far = 10**9
+    records = spark.createDataFrame([("f", k, t, [k + 1] * 1024) for k, t in enumerate((0, 1024, far))], "file string, k bigint, timestamp bigint, samples array<smallint>")
+    runs = sorted((r.first, r.n, r.samples is None) for r in openephys.legacy_runs(records).collect())
+    assert runs == [(0, 1024, False), (1024, 1024, False), (2048, far - 2048, True), (far, 1024, False)]
+    got = sorted((r.sample, r.value) for r in openephys.legacy_samples(records, start=far - 3, end=far + 2).collect())
+    assert got == [(far - 3, 0.0), (far - 2, 0.0), (far - 1, 0.0), (far, 3.0), (far + 1, 3.0)]
+    pieces = openephys.legacy_chunks(records, 2000, 300_000)
+    assert pieces.agg(F.max(F.size("values"))).first()[0] == 65536 and openephys.legacy_samples(records, start=2000, end=300_000).count() == 298_000
+
+
+def test_sidecars_of_many_sessions(spark):
+    texts = [
+        '{"continuous": [{"folder_name": "A/", "sample_rate": 30000, "channels": [{"channel_name": "CH1", "bit_volts": 0.5, "units": "uV"}, {"channel_name": "x_SYNC", "bit_volts": 3, "units": "V"}, {"channel_name": "ADC1", "units": "V", "bit_volts": 2}]}, {"folder_name": "B", "stream_name": "s"}]}',
+        '{"continuous": []}', "{}", "broken", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {(r.k, r.folder): r for r in openephys.structures(df).collect()}
+    assert set(got) == {(0, "A"), (0, "B")} and got[0, "A"].stream == "A" and got[0, "B"].stream == "s" and got[0, "B"].channels == []
+    want = openephys.structure(texts[0])[0]
+    assert [c.asDict() for c in got[0, "A"].channels] == want["channels"] and got[0, "A"].rate == want["rate"]
+    xml = "<SETTINGS><INFO><VERSION>0.6</VERSION><DATE>30 Aug 2023 23:41:36</DATE></INFO><PROCESSOR name='Sources/Rhythm FPGA' nodeId='100'/><ELECTRODE_XPOS CH0='1' CH1=\"3.5\"/><ELECTRODE_YPOS CH0='2'/></SETTINGS>"
+    rows = openephys.settings_rows(spark.createDataFrame([(1, xml), (2, "<SETTINGS/>"), (3, None)], "k int, text string")).collect()
+    one = next(r for r in rows if r.k == 1)
+    said = openephys.settings(xml)
+    assert (one.date, one.version, one.processors) == (said["date"], said["version"], openephys.processor_names(xml)) and {k: (v.x, v.y) for k, v in one.sites.items()} == said["sites"]
+    assert all(r.version is None and not r.processors and not r.sites for r in rows if r.k != 1)
+
+
+def test_metadata_of_many_files(spark):
+    from spoolwave.plans import metadata
+
+    texts = ['{"subject": {"id": "a", "sex": "M"}}', '{"extra": 1, "subject": {"colour": 1, "sex": "X"}}', "[1]", None, '{"groups": [{"name": "g", "bad": 1}], "streams": {"a": {"gain": 1}, "b": {}}, "session": {"lab": "l"}}', "{}"]
+    got = sorted((r.k, r.fault) for r in metadata.faults(spark.createDataFrame(list(enumerate(texts)), "k int, text string")).collect())
+    assert got == [(1, "subject.sex"), (1, "unknown key extra"), (1, "unknown key subject.colour"), (2, "no metadata"), (3, "no metadata"), (4, "unknown key groups.bad"), (4, "unknown key streams.gain")]
+    for k, t in enumerate(texts):
+        if t and t.startswith("{"):
+            if any(x[0] == k for x in got):
+                with pytest.raises(ValueError):
+                    metadata.check(json.loads(t))
+            else:
+                metadata.check(json.loads(t))
+    stated = spark.createDataFrame([(1, "s", "", None), (2, None, None, "P1D")], "k int, id string, species string, age string")
+    recorded = spark.createDataFrame([(1, "old", "rat"), (3, None, None), (4, "only", None)], "k int, id string, species string")
+    found = {}
+    for r in metadata.subjects(stated, recorded, "k").collect():
+        found.setdefault(r.k, {})[r.field] = r.value
+    assert found == {1: {"id": "s", "species": "rat", "sex": "U"}, 2: {"age": "P1D", "age_reference": "birth", "sex": "U"}, 4: {"id": "only", "sex": "U"}}
+    assert found[1] == metadata.subject({"subject": {"id": "s", "species": ""}}, {"id": "old", "species": "rat"})
