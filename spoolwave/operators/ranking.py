@@ -23,15 +23,15 @@ def running_sum(df: DataFrame, order: list[Column], value: Column, out: str, ran
     spark = df.sparkSession
     ranges = ranges or RANGES * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     plain = [c for c, kind in df.dtypes if not kind.startswith("map")]
-    told = df.select("*", F.coalesce(value.cast("bigint"), F.lit(0)).alias("_value"), F.xxhash64(*plain).alias("_tie"), F.monotonically_increasing_id().alias("_row"))
-    dealt = checkpoint(told.repartitionByRange(ranges, *order, "_tie", "_row").withColumn("_range", F.spark_partition_id()))
-    totals = dealt.groupBy("_range").agg(F.sum("_value").alias("_total"))
+    told = df.select("*", F.coalesce(value.cast("bigint"), F.lit(0)).alias("_rank_value"), F.xxhash64(*plain).alias("_rank_tie"), F.monotonically_increasing_id().alias("_rank_row"))
+    dealt = checkpoint(told.repartitionByRange(ranges, *order, "_rank_tie", "_rank_row").withColumn("_rank_range", F.spark_partition_id()))
+    totals = dealt.groupBy("_rank_range").agg(F.sum("_rank_value").alias("_rank_total"))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     # one row a range: as many as there are ranges, whatever the table
-    ahead = totals.select("_range", F.coalesce(F.sum("_total").over(before.orderBy("_range")), F.lit(0)).alias("_ahead"))
-    within = Window.partitionBy("_range").orderBy(*order, "_tie", "_row").rowsBetween(Window.unboundedPreceding, -1)
-    own = dealt.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    return own.join(F.broadcast(ahead), "_range").select(*df.columns, (F.col("_ahead") + F.col("_within")).alias(out))
+    ahead = totals.select("_rank_range", F.coalesce(F.sum("_rank_total").over(before.orderBy("_rank_range")), F.lit(0)).alias("_rank_ahead"))
+    within = Window.partitionBy("_rank_range").orderBy(*order, "_rank_tie", "_rank_row").rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumn("_rank_within", F.coalesce(F.sum("_rank_value").over(within), F.lit(0)))
+    return own.join(F.broadcast(ahead), "_rank_range").select(*df.columns, (F.col("_rank_ahead") + F.col("_rank_within")).alias(out))
 
 
 def ranked(df: DataFrame, order: list[Column], out: str = "rank", ranges: int | None = None) -> DataFrame:

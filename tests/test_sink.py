@@ -212,7 +212,7 @@ def test_ranks_over_a_whole_table(spark):
     assert ranked(df.where("k > 9"), [F.col("k")]).count() == 0
     plan = ranked(df, [F.col("k")])._jdf.queryExecution().executedPlan().toString()
     # the one window without a key is over one row a range
-    assert plan.count("SinglePartition") == 1 and "Window [sum(_total" in plan
+    assert plan.count("SinglePartition") == 1 and "Window [sum(_rank_total" in plan
 
 
 def test_ranks_deal_one_value_over_tasks(spark):
