@@ -7,13 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoolwave.llm.common import map_batches, plain, spread, text_col
 
-#: Bound of the training sample, in documents; all lines of a sampled document take part.
+#: Bounds of the training sample: documents, and lines of them in all. All lines of a sampled document take part; a document that
+#: would go over the lines is left out.
 TRAIN_DOCS = 4000
+TRAIN_LINES = 1_000_000
+#: What a label says of a document's lines: good ones hold at least the first share of its length in good documents, at most the
+#: second in bad ones.
+GOOD_SHARE, BAD_SHARE = 0.95, 0.3
 THRESHOLD = 0.3
 FOLDS = 5
 SPACES = b" \t\n\x0b\x0c\r"
@@ -146,10 +151,40 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p) - np.log1p(-p)
 
 
-def fit(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 200, ridge: float = 1e-3) -> Model:
-    """Maximum conditional likelihood; every line takes its document's label. Full-batch Adam, fixed start: reruns agree.
+def constrained(scores: np.ndarray, trans: np.ndarray, n: np.ndarray, starts: np.ndarray, weight: np.ndarray, labels: np.ndarray, halvings: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Line and transition probabilities of the chains nearest to the model's that keep what the labels say.
 
-    The logistic scale comes from the sample's labels too, and its shift puts the threshold where the labels part best.
+    The expected length-weighted share of good lines is held at GOOD_SHARE or more in good documents, at BAD_SHARE or less in bad
+    ones. The nearest distribution (in relative entropy) adds a multiple of a line's weight to its good score; the multiple of a
+    document that keeps its bound is 0, that of any other is found by halving.
+    """
+    p, pair, _ = marginals(scores, trans, n)
+    share = np.add.reduceat(p[:, 1] * weight, starts)
+    bound = np.where(labels == 1, GOOD_SHARE, BAD_SHARE)
+    sign = np.where(labels == 1, 1.0, -1.0)
+    off = sign * (share - bound) < 0
+    if not off.any():
+        return p, pair
+    # weights sum to 1 in a document, so a line's tilt is in units of its mean weight
+    unit = weight * np.repeat(n, n)
+    low, high = np.zeros(len(n)), np.where(off, 30.0, 0.0)
+    for _ in range(halvings):
+        mid = (low + high) / 2
+        tilted = scores.copy()
+        tilted[:, 1] += np.repeat(sign * mid, n) * unit
+        p, pair, _ = marginals(tilted, trans, n)
+        short = sign * (np.add.reduceat(p[:, 1] * weight, starts) - bound) < 0
+        low, high = np.where(off & short, mid, low), np.where(off & ~short, mid, high)
+    return p, pair
+
+
+def fit(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 200, every: int = 20, ridge: float = 1e-3) -> Model:
+    """Expectation-maximisation with latent lines: a label bounds the share of a document's good lines and says nothing of any one.
+
+    Lines begin with their document's label. After `every` rounds their probabilities are taken from the model again, held to the
+    labels' bounds by `constrained`, so that a bad document may have good lines and chains change state. Between, the conditional
+    likelihood of these probabilities rises by full-batch Adam from a fixed start: reruns agree. The logistic scale comes from the
+    sample's labels, and its shift puts the threshold where the labels part best.
     """
     use = [i for i, (x, _) in enumerate(parts) if len(x)]
     x = [parts[i][0] for i in use]
@@ -158,7 +193,10 @@ def fit(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds:
         return Model(np.zeros((3 * N_OWN, 2)), np.zeros((2, 2)), 1.0, 2.0)
     starts = np.concatenate(([0], np.cumsum(n)[:-1]))
     data = with_neighbours(np.vstack(x), starts)
-    y = np.repeat(labels[use].astype(np.int64), n)
+    known = labels[use].astype(np.int64)
+    size = np.concatenate([parts[i][1] for i in use])
+    weight = size / np.repeat(np.add.reduceat(size, starts), n)
+    y = np.repeat(known, n)
     gold = np.zeros((len(y), 2))
     gold[np.arange(len(y)), y] = 1.0
     inner = np.ones(len(y), bool)
@@ -169,7 +207,10 @@ def fit(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds:
     w, t = np.zeros((data.shape[1], 2)), np.zeros((2, 2))
     mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
     for k in range(1, rounds + 1):
-        p, pair, _ = marginals(data @ w, t, n)
+        scores = data @ w
+        if k > every and k % every == 1:
+            gold, pairs = constrained(scores, t, n, starts, weight, known)
+        p, pair, _ = marginals(scores, t, n)
         gw = data.T @ (p - gold) / len(y) + ridge * w
         gt = (pair - pairs) / len(y) + ridge * t
         for v, g, m, s in ((w, gw, mw, vw), (t, gt, mt, vt)):
@@ -196,8 +237,9 @@ def _cut(z: np.ndarray, good: np.ndarray) -> float:
     return float((z[max(low - 1, 0)] + z[min(high, len(z) - 1)]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Model:
-    """Fit on at most `sample` labelled documents whose fold is not held out, those of the least digest of their id.
+def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> Model:
+    """Fit on at most `sample` labelled documents whose fold is not held out, those of the least digest of their id, and of these on
+    the first whose lines are at most `lines` in all.
 
     Labels outside 0 and 1, null labels and null ids are left out; of repeated labels the least counts. Only line features
     of that sample reach the driver. Without labels of both kinds, the model scores every text alike.
@@ -212,6 +254,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Model
         .limit(sample)
     )
     rows = docs.select(F.col("doc_id").alias("_id"), text_col().alias("_text")).join(F.broadcast(picked), F.col("_id") == F.col("_label_id")).select("_id", "_label", "_text")
+    # a row per sampled document, so the running sum sees no more rows than the sample has
+    so_far = F.sum(F.size(F.split("_text", "\n"))).over(Window.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")))
+    rows = rows.withColumn("_lines", so_far).where(F.col("_lines") <= lines).drop("_lines").repartition(min(sample, docs.sparkSession.sparkContext.defaultParallelism * 4))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [line_features(t) for t in batch.column(2).to_pylist()]
@@ -225,6 +270,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS) -> Model
     return fit(parts, np.array([r.label for r in got], np.int64))
 
 
+def line_states(model: Model, text: str) -> np.ndarray:
+    """The probability of being good of every line that has a word."""
+    x, _ = line_features(text)
+    if not len(x):
+        return np.empty(0)
+    return marginals(with_neighbours(x, np.array([0])) @ model.weights, model.trans, np.array([len(x)]))[0][:, 1]
+
+
 def score_texts(model: Model, texts: list[str]) -> np.ndarray:
     out = []
     for i in range(0, len(texts), 512):
