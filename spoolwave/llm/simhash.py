@@ -117,6 +117,10 @@ SPARE_BITS = 6
 LEAST_WORDS = 24
 #: Words that are compared first; only pairs that pass are compared in all.
 COARSE_WORDS = 8
+#: Bits of the first word that a text's key begins with, for a first look at distances; the rest of the key is a hash of all words,
+#: so that texts of one key have, but for a chance of hashes, one long fingerprint.
+HEAD_BITS = 48
+_HEAD = np.int64((1 << HEAD_BITS) - 1)
 #: Pairs of a text that are looked at first, the closest ones.
 FIRST = 3
 #: Texts that meet in one table entry up to which all their pairs are made; a larger entry is first joined as a star.
@@ -135,7 +139,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int, int, int]:
-    """(bits of a segment, segments, radius of the first word, of the coarse words, of all words) for n texts.
+    """(bits of a segment, segments, radius of a key's head, of the coarse words, of all words) for n texts.
 
     Two sets of Jaccard similarity s have a cosine of 2s / (1 + s) at least, so a bit of their fingerprints differs with
     probability p = arccos(cosine) / pi. Balls of radius 1 on both sides meet when a segment differs in at most 2 bits; there are
@@ -146,7 +150,7 @@ def layout(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tu
     meets = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
     segments = math.ceil(math.log(1 - recall) / math.log(1 - meets))
     radius = lambda size, times: math.ceil(size * p + times * math.sqrt(size * p * (1 - p)))
-    return bits, segments, radius(64, 3), radius(64 * COARSE_WORDS, 2.5), radius(64 * _words(bits, segments), 2.5)
+    return bits, segments, radius(HEAD_BITS, 3), radius(64 * COARSE_WORDS, 2.5), radius(64 * _words(bits, segments), 2.5)
 
 
 def _words(bits: int, segments: int) -> int:
@@ -170,11 +174,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _marked(docs: DataFrame, words: int) -> DataFrame:
-    """(id, digest, fp, words): the first word and all words of each text's long fingerprint."""
+    """(id, digest, fp, words): the key and all words of each text's long fingerprint."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [long_fingerprint(shingle_set(t), words) for t in batch.column(2).to_pylist()]
-        fp = np.array([f[0] for f in found], np.uint64).view(np.int64)
+        head = np.array([f[0] for f in found], np.uint64) & np.uint64(_HEAD)
+        rest = np.array([xxhash.xxh64_intdigest(f.tobytes()) for f in found], np.uint64) << np.uint64(HEAD_BITS)
+        fp = (head | rest).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["id", "digest", "fp", "words"])
 
     return map_batches(spread(_texts(docs)), run, "id bigint, digest string, fp bigint, words array<bigint>")
@@ -262,7 +268,7 @@ def _meet(t: pa.Table, radius: int) -> pa.Table:
     left += [np.repeat(start, n), at - 1]
     right += [at, at]
     i, j = np.concatenate(left), np.concatenate(right)
-    near = np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= radius
+    near = np.bitwise_count((fp[i] ^ fp[j]) & _HEAD) <= radius
     pairs = np.unique(np.stack([fp[i[near]], fp[j[near]]], axis=1), axis=0) if near.any() else np.empty((0, 2), np.int64)
     inside = np.repeat(big, size)
     entry = _entry(np.int64(t.column("table")[0].as_py()), key[inside])
@@ -304,7 +310,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """(id, digest, group) of every row: groups of texts linked by five-word shingle sets of Jaccard similarity >= similarity.
 
     Multi-index hashing over long fingerprints: balls of radius 1 around each segment of both texts meet in a table, the distance
-    of the first word is verified, then that of eight and of all words, then the similarity itself. Equal texts, and texts equal in the first 64 bits, are one node.
+    of the first word is verified, then that of eight and of all words, then the similarity itself. Texts of one long fingerprint are one node.
     Pairs are made of entries that few texts share; entries of large groups of copies are joined as stars at first, and then
     only what the groups found so far leave apart is compared, in tiles, until no entry holds an unseen pair of two groups. So no
     group is expanded into all its pairs. Texts without words are one node. Empty tables give empty results.
