@@ -66,28 +66,39 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return map_batches(spread(docs.select(F.col(id_col).cast("bigint").alias("id"), text_col(text).alias("text"))), run, "id bigint, fp bigint")
 
 
-def near_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+#: Fingerprints of one table entry beyond which its members look up whole balls instead of the entry: as many as such a ball has.
+ENTRY = 1 + 64 + 64 * 63 // 2
+
+
+def near_pairs(fps: DataFrame, radius: int = RADIUS, entry: int = ENTRY) -> DataFrame:
     """Pairs (a < b) of distinct fingerprints at Hamming distance <= radius (at most 2), each once.
 
     Multi-index hashing over two 32-bit segments: if two fingerprints differ in at most 2 bits, their low segments differ in
     at most one bit, or their high segments are equal. So every fingerprint looks up the Hamming ball of radius 1 around its
-    low segment (33 values) and its exact high segment; the whole distance is then verified. Each fingerprint has at most
-    2080 others in reach, so the number of pairs is linear in the number of distinct fingerprints.
+    low segment (33 values) and its exact high segment; the whole distance is then verified. An entry that more than `entry`
+    fingerprints share would hand each of them all others: its members look up the ball of radius 2 around themselves instead
+    (2,081 values), which are their links and nothing else. So candidates grow with the fingerprints, whatever they share.
     """
     if not 0 <= radius <= 2:
         raise ValueError("two segments cover radius 0 to 2")
     low, high = F.expr("fp & 4294967295L"), F.expr("shiftrightunsigned(fp, 32)")
     ball = F.expr("concat(array(0L), transform(sequence(0, 31), i -> shiftleft(1L, i)))")
     tables = fps.select(F.col("fp").alias("b"), F.explode(F.array(F.struct(F.lit(0).alias("seg"), low.alias("v")), F.struct(F.lit(1).alias("seg"), high.alias("v")))).alias("k")).select("b", "k.*")
+    large = checkpoint(tables.groupBy("seg", "v").agg(F.count("*").alias("n")).where(F.col("n") > entry).select("seg", "v"))
     near = fps.select("fp", F.explode(ball).alias("mask")).select(F.col("fp").alias("a"), F.lit(0).alias("seg"), F.expr("(fp & 4294967295L) ^ mask").alias("v"))
     same = fps.select(F.col("fp").alias("a"), F.lit(1).alias("seg"), high.alias("v"))
+    small = tables.join(large, ["seg", "v"], "left_anti")
     apart = F.expr("bit_count((a ^ b) & 4294967295L)")
-    return (
-        near.unionByName(same)
-        .join(tables, ["seg", "v"])
-        .where((F.col("a") < F.col("b")) & (F.expr("bit_count(a ^ b)") <= radius) & ((F.col("seg") == 0) | (apart > 1)))
-        .select("a", "b")
-    )
+    found = near.unionByName(same).join(small, ["seg", "v"]).where((F.expr("bit_count(a ^ b)") <= radius) & ((F.col("seg") == 0) | (apart > 1))).select("a", "b")
+    if not large.isEmpty():  # what the large entries held back: whatever lies around their members
+        members = tables.join(large, ["seg", "v"], "left_semi").select(F.col("b").alias("fp")).distinct()
+        one = "transform(sequence(0, 63), i -> shiftleft(1L, i))"
+        two = "flatten(transform(sequence(0, 62), i -> transform(sequence(i + 1, 63), j -> shiftleft(1L, i) | shiftleft(1L, j))))"
+        around = members.select(F.col("fp").alias("a"), F.explode(F.expr({0: "array(0L)", 1: one}.get(radius, f"concat({one}, {two})"))).alias("mask"))
+        met = around.select("a", F.expr("a ^ mask").alias("b")).join(fps.select(F.col("fp").alias("b")), "b", "left_semi")
+        found = found.unionByName(met.select("a", "b"))
+        return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.where("a < b")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -44,6 +44,8 @@ SCHEMA = (
 WRITE_SCHEMA = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload binary"
 #: Payloads of fewer bytes are never stored as a revisit.
 LEAST_SHARED = 100
+#: Tasks over which the pages of one payload are dealt.
+SHARES = 32
 #: Bytes of an archive file after which the next one begins, and of a stretch that one read task gets.
 FILE_BYTES = 256 << 20
 SPLIT_BYTES = 32 << 20
@@ -374,9 +376,12 @@ def as_records(pages: DataFrame) -> DataFrame:
         .drop("_n")
     )
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    # payloads that are never shared get keys of their own, so that all empty pages do not meet in one task
+    # payloads that are never shared get keys of their own, so that all empty pages do not meet in one task; the pages of one
+    # payload are dealt over SHARES keys, each of which finds the same narrow row
     key = F.when(F.length("payload") >= LEAST_SHARED, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
-    return own.withColumn("_key", key).join(shared, F.col("_key") == F.col("_digest"), "left").select(
+    dealt = own.withColumn("_key", key).withColumn("_share", F.pmod(F.xxhash64("page_id", "url"), F.lit(SHARES)))
+    shared = shared.withColumn("_of", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SHARES - 1).cast("bigint"))))
+    return dealt.join(shared, (F.col("_key") == F.col("_digest")) & (F.col("_share") == F.col("_of")), "left").select(
         "page_id", "url", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"), "payload_digest", "payload"
     )
 

@@ -229,3 +229,42 @@ def test_quality_stage_with_clashing_names(spark):
     out = keep_good(wide, labels)
     assert out.columns == wide.columns
     assert sorted(r[0] for r in out.toDF(*[f"c{i}" for i in range(9)]).collect()) == sorted(r.doc_id for r in keep_good(d, labels).collect())
+
+
+# 7: table entries
+
+
+def test_op7_large_entries_are_looked_up_around_their_members(spark):
+    from spoolwave.llm.simhash import near_pairs
+
+    rng = random.Random(5)
+    high = 0x1234567 << 32
+    fps = {high | rng.getrandbits(32) for _ in range(1500)} | {(rng.getrandbits(31) << 32) | 77 for _ in range(1500)}
+    fps |= {f ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for f in list(fps)[:200]} | {f ^ 1 for f in list(fps)[:100]}
+    own = sorted(fps)
+    bits = np.array(own, np.uint64)
+    want = {(own[i], own[j]) for i in range(len(own)) for j in (np.flatnonzero(np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= 2) + i + 1).tolist()}
+    df = spark.createDataFrame([(f,) for f in own], "fp bigint").repartition(4)
+    for entry in (50, 10_000):
+        got = [tuple(r) for r in near_pairs(df, entry=entry).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_op8_pages_of_one_payload_are_dealt(spark):
+    from spoolwave.llm import warc
+
+    html = "<p>" + "same page " * 30 + "</p>"
+    rows = spark.range(20000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), F.col("id")).alias("url"), F.lit(html).alias("html"))
+    got = warc.as_records(rows).groupBy("record_type", "refers_to").count().collect()
+    assert sorted((r.record_type, r.refers_to, r["count"]) for r in got) == [("response", None, 1), ("revisit", 0, 19999)]
+    keys = rows.select(F.pmod(F.xxhash64("page_id", "url"), F.lit(warc.SHARES)).alias("k")).groupBy("k").count().agg(F.max("count")).first()[0]
+    assert keys < 2 * 20000 / warc.SHARES
+
+
+def test_op10_vectors_of_one_value(spark):
+    from spoolwave.llm.embed_dedup import near_duplicates
+
+    rows = [(i, [1.0, 0.0, 0.0], 0) for i in range(3000)] + [(i, [0.0, 1.0, float(i)], 0) for i in range(5000, 5005)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(5)).collect()
+    one = [r for r in got if r.vec_id < 3000]
+    assert {(r.n_links, r.component_id, r.kept) for r in one} == {(2999, 0, True), (2999, 0, False)} and sum(r.kept for r in one) == 1
