@@ -29,9 +29,11 @@ BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 24
 #: Occurrences from which a hash counts as hot: its windows are then dealt one by one, by their whole content.
 HOT = 20_000
-#: Bytes in a shard, and in a merge of shards (a merge takes whole groups of pieces that share a hash).
+#: Bytes in a shard, and in a merge of shards (a merge takes whole groups of pieces that share a hash). A smaller merge is cut into
+#: LEAST_SHARDS shards too, so that order and intervals come from merging at every size.
 SHARD = 1 << 18
 MERGE = 1 << 20
+LEAST_SHARDS = 4
 SECTION = 1 << 20
 END = 255  # the terminator: no byte of UTF-8
 NO_DOC = np.iinfo(np.int64).max
@@ -325,7 +327,8 @@ def window_docs(pieces: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.n
     stop = np.cumsum(size)
     start = stop - size
     left = np.repeat(stop - 1, size) - np.arange(len(text))
-    cuts = np.unique(np.searchsorted(stop, np.arange(SHARD, len(text) + SHARD, SHARD)).clip(max=len(pieces) - 1)) + 1
+    step = min(SHARD, -(-len(text) // LEAST_SHARDS))
+    cuts = np.unique(np.searchsorted(stop, np.arange(step, len(text) + step, step)).clip(max=len(pieces) - 1)) + 1
     arrays, transforms, strings, at = [], [], [], 0
     for upto in cuts.tolist():
         lo, hi = start[at], stop[upto - 1]

@@ -268,3 +268,58 @@ def test_op10_vectors_of_one_value(spark):
     got = near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(5)).collect()
     one = [r for r in got if r.vec_id < 3000]
     assert {(r.n_links, r.component_id, r.kept) for r in one} == {(2999, 0, True), (2999, 0, False)} and sum(r.kept for r in one) == 1
+
+
+# 2: linked parts
+
+
+def test_op2_names_the_parts_it_links(spark):
+    from spoolwave.llm import secret_scan as s
+
+    rng = random.Random(8)
+    pad = lambda n: " ".join("filler" for _ in range(n // 7))
+    key, user, host = "auth: Zx9" + "q" * 12, "login: rosa", "https://api.example.org/v1"
+    access = "AKIA" + "Q" * 16
+    rows = [
+        (1, f"{user} {pad(100)} {key} {host}"),  # all three
+        (2, f"{user} {pad(600)} {key}"),  # too far apart
+        (3, f"{key} {host}"),  # no identifier: nothing
+        (4, f"{access} {pad(480)} {key}"),  # inside the scope, in the next stretch
+        (5, f"{pad(505)} {user}\n{key}\n{key.replace('q', 'r')}"),  # over the end of a stretch, two secrets
+        (6, None), (7, ""), (8, user),
+    ]
+    rows += [(20 + i, " ".join(rng.choice((user, key, host, access, pad(rng.randint(0, 400)))) for _ in range(12))) for i in range(15)]
+    d = docs(spark, [(i, t, "s") for i, t in rows])
+    got = {}
+    for r in s.links(d).collect():
+        got.setdefault(r.doc_id, set()).add((r.kind, r.start, r.end, r.with_kind, r.with_start, r.with_end, r.apart))
+    want = {}
+    for r in s.scan(d).collect():
+        parts = [(k, int(a), int(b)) for k, a, b in (p.split(":") for p in r.spans.split(",") if p)]
+        role = lambda p: "identifier" if p[0] in ("access", "pair_id") else "endpoint" if p[0] == "pair_endpoint" else "secret"
+        pairs = {(*p, *q, abs(p[1] - q[1])) for p in parts for q in parts if abs(p[1] - q[1]) <= s.SCOPE and ((role(p) == "identifier" and role(q) == "secret") or (role(p) == "endpoint" and role(q) != "endpoint"))}
+        if pairs:
+            want[r.doc_id] = pairs
+    assert got == want and {1, 4, 5} <= set(got) and not {2, 3, 6, 7, 8} & set(got)
+    assert len(got[1]) == 3 and len(got[5]) == 2 and s.links(docs(spark, [(1, "x", "s")])).count() == 0
+
+
+# 1: shards
+
+
+def test_op1_small_merges_have_shards(spark, monkeypatch):
+    from spoolwave.llm import suffix_dedup as s
+
+    seen, merge = [], s.merge_transforms
+    monkeypatch.setattr(s, "merge_transforms", lambda shards, *a, **k: seen.append(len(shards)) or merge(shards, *a, **k))
+    rng = random.Random(3)
+    passage = " ".join(f"w{rng.randrange(900)}" for _ in range(60))
+    pieces = [" ".join(f"x{rng.randrange(900)}" for _ in range(20)) + passage[rng.randrange(100) :] for _ in range(30)]
+    text = [p.encode() for p in pieces]
+    least, n = s.window_docs(text, np.arange(30)[::-1].copy())
+    first = {}
+    for k, t in enumerate(text):
+        for at in range(len(t) - 49):
+            first[t[at : at + 50]] = min(first.get(t[at : at + 50], 99), 29 - k)
+    assert seen == [4] and n.tolist() == [len(t) - 49 for t in text]
+    assert least.tolist() == [first[t[at : at + 50]] for t in text for at in range(len(t) - 49)]
