@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoolwave.llm.common import plain, split_small, text_col
+from spoolwave.llm.common import checkpoint, plain, split_small, text_col
 
 #: Kind, pattern, least length of the match, least value (length of group 1, or 1 for a mixed token; 0: none asked for), and
 #: strings of which the text in lower case must hold one for a match to be possible (none: every text is searched). The first
@@ -108,6 +108,26 @@ def scan(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(said(F.filter("_all", lambda s: s["kind"] < N_BASE)), 256).alias("base_sha256"), said(F.col("_all")).alias("spans"), "n_linked")
 
 
+def links(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """(doc_id, kind, start, end, with_kind, with_start, with_end, apart): every reported part with each complementary part of its
+    scope: identifiers with secrets, endpoints with identifiers and with secrets; a row for each two parts.
+
+    The interval join is an equal join on text and stretch of `scope` code points, a part standing in its own stretch and the other
+    one in that and the two beside it, with the distance verified; so parts meet what lies near them, however long a text is.
+    Equal rows give their links once each; a null text has none.
+    """
+    own = split_small(plain(docs, "doc_id", "text").select("doc_id", text_col().alias("text"))).withColumn("_row", F.monotonically_increasing_id())
+    names = F.array(*[F.lit(k[0]) for k in KINDS])
+    found = checkpoint(spans(own, ["_row", "doc_id"], scope=scope).where("kind is not null"))
+    role = F.when(F.col("kind").isin(ACCESS, ID), "identifier").when(F.col("kind") == ENDPOINT, "endpoint").otherwise("secret")
+    part = found.select("_row", "doc_id", role.alias("role"), F.element_at(names, F.col("kind") + 1).alias("kind"), "start", "end", F.floor(F.col("start") / scope).alias("_at"))
+    others = part.where("role <> 'endpoint'").select(F.col("_row").alias("_of"), F.col("role").alias("with_role"), F.col("kind").alias("with_kind"), F.col("start").alias("with_start"), F.col("end").alias("with_end"), F.explode(F.array(F.col("_at") - 1, F.col("_at"), F.col("_at") + 1)).alias("_near"))
+    apart = F.abs(F.col("start") - F.col("with_start"))
+    fits = ((F.col("role") == "identifier") & (F.col("with_role") == "secret")) | (F.col("role") == "endpoint")
+    met = part.join(others, (F.col("_row") == F.col("_of")) & (F.col("_at") == F.col("_near")) & (apart <= scope) & fits)
+    return met.select("doc_id", "kind", "start", "end", "with_kind", "with_start", "with_end", apart.alias("apart"))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every reported span replaced by a mark (overlapping spans by one), n_chars following; other rows unchanged.
 
