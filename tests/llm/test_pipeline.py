@@ -45,7 +45,7 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     found = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in found} and "pipeline" in found
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in found} and "pipeline" in found
     assert set(entry.oracle_sql()) <= set(found)
 
 
