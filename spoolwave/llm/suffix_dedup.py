@@ -29,10 +29,10 @@ BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 24
 #: Occurrences from which a hash counts as hot: its windows are then dealt one by one, by their whole content.
 HOT = 20_000
-#: Bytes in a shard, and in a merge of shards (a merge takes whole groups of pieces that share a hash). A smaller merge is cut into
-#: LEAST_SHARDS shards too, so that order and intervals come from merging at every size.
+#: Bytes in a shard, and of the pieces whose spans are merged at once (whole groups of pieces that share a hash; their spans take
+#: about a quarter). A smaller merge is cut into LEAST_SHARDS shards too, so that order and intervals come from merging at every size.
 SHARD = 1 << 18
-MERGE = 1 << 20
+MERGE = 1 << 21
 LEAST_SHARDS = 4
 SECTION = 1 << 20
 END = 255  # the terminator: no byte of UTF-8
@@ -309,7 +309,7 @@ def merge_transforms(shards: list[np.ndarray], strings: list[int], depth: int =
     begins[0] = True
     merged = np.empty_like(chars)
     for _ in range(depth):
-        merged[np.argsort(z, kind="stable")] = chars
+        merged[np.concatenate([np.flatnonzero(z == i) for i in range(len(shards))]) if len(shards) <= 8 else np.argsort(z, kind="stable")] = chars
         order = np.argsort(merged, kind="stable")
         interval = np.cumsum(begins, dtype=np.int32)[order]
         byte = merged[order]
@@ -320,6 +320,53 @@ def merge_transforms(shards: list[np.ndarray], strings: list[int], depth: int =
     return z, begins
 
 
+def shared_spans(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each piece whose hash another window of the pieces has too; a piece without one gives (0, -1).
+
+    Equal windows have equal hashes, so what lies outside a span equals nothing else. What lies inside is left to the merge.
+    """
+    size = np.array([len(x) for x in pieces], np.int64)
+    n, start = size - WINDOW + 1, np.cumsum(size) - size
+    at = _ragged(start, n)
+    h = gram_hashes(np.frombuffer(b"".join(pieces), np.uint8), WINDOW)[at]
+    order = np.argsort(h, kind="quicksort")
+    same = h[order[1:]] == h[order[:-1]]
+    many = np.zeros(len(h), bool)
+    many[order[1:][same]] = True
+    many[order[:-1][same]] = True
+    low, high = np.zeros(len(pieces), np.int64), np.full(len(pieces), -1)
+    found = np.flatnonzero(many)
+    if len(found):
+        piece = np.repeat(np.arange(len(pieces)), n)[found]
+        first = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+        last = np.append(first[1:], len(piece)) - 1
+        low[piece[first]] = at[found[first]] - start[piece[first]]
+        high[piece[first]] = at[found[last]] - start[piece[first]]
+    return low, high
+
+
+def group_docs(pieces: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `window_docs`, for whole groups of pieces that share a hash: only the spans that may have an equal are merged.
+
+    A window outside every span has its own piece's id. Spans of one text go through the merge once, under their least id.
+    """
+    n = np.array([len(x) - WINDOW + 1 for x in pieces], np.int64)
+    out = np.repeat(docs, n)
+    low, high = shared_spans(pieces)
+    own = np.flatnonzero(high >= low)
+    spans: dict[bytes, int] = {}
+    index = spans.setdefault
+    of = np.array([index(pieces[i][a : b + WINDOW], len(spans)) for i, a, b in zip(own.tolist(), low[own].tolist(), high[own].tolist())], np.int64)
+    text, least = list(spans), np.full(len(spans), NO_DOC)
+    np.minimum.at(least, of, docs[own])
+    if text:
+        found, number = window_docs(text, least)
+        begin = np.cumsum(number) - number
+        start = np.cumsum(n) - n
+        out[_ragged(start[own] + low[own], number[of])] = found[_ragged(begin[of], number[of])]
+    return out, n
+
+
 def window_docs(pieces: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least id over all pieces for each window of each piece, and each piece's number of windows."""
     size = np.array([len(x) + 1 for x in pieces], np.int64)
@@ -349,7 +396,8 @@ def window_docs(pieces: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _merge(t: pa.Table) -> pa.Table:
-    """For each batch's pieces the least id of every window, as runs; hashes whose pieces are all equal need no merge."""
+    """For each batch's pieces the least id of every window, as runs; hashes whose pieces are all equal need no merge, nor do windows
+    whose hash no other piece of theirs has."""
     parts = [_unpack(x) for x in t.column("value").to_pylist()]
     seen: dict[tuple[int, bytes], int] = {}
     uids = []
@@ -379,7 +427,7 @@ def _merge(t: pa.Table) -> pa.Table:
         held += sum(len(text[u]) + 1 for u in own.tolist())
         if held >= MERGE or i == len(shared) - 1:
             own = np.concatenate(block)
-            docs, n = window_docs([text[u] for u in own.tolist()], least[own])
+            docs, n = group_docs([text[u] for u in own.tolist()], least[own])
             change = np.append(True, docs[1:] != docs[:-1])
             starts = np.cumsum(n) - n
             change[starts] = True

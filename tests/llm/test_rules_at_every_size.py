@@ -323,3 +323,31 @@ def test_op1_small_merges_have_shards(spark, monkeypatch):
             first[t[at : at + 50]] = min(first.get(t[at : at + 50], 99), 29 - k)
     assert seen == [4] and n.tolist() == [len(t) - 49 for t in text]
     assert least.tolist() == [first[t[at : at + 50]] for t in text for at in range(len(t) - 49)]
+
+
+def test_op1_merges_only_what_may_be_equal(monkeypatch):
+    """Pieces that share a 20-byte string but no window of 50 stay out of the merge; of others only the common span goes in, once."""
+    import pyarrow as pa
+
+    from spoolwave.llm import suffix_dedup as s
+
+    sizes, merge = [], s.merge_transforms
+    monkeypatch.setattr(s, "merge_transforms", lambda shards, *a, **k: sizes.append(sum(map(len, shards))) or merge(shards, *a, **k))
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(9))
+    phrase, passage = "the very same phrase of 40 bytes in all.", " ".join(word() for _ in range(9))[:70]
+    text = [f"{word()} {word()} {phrase} {word()} {word()}".encode() for _ in range(60)]
+    alike = [f"{word()} {passage} {word()}".encode() for _ in range(20)]
+    pieces = lambda some: [t[:114] for t in some]
+    value = s._pack(
+        key=np.repeat(np.array([5, 9], np.uint64), [60, 20]), v=np.repeat(np.array([5, 9], np.uint64), [60, 20]), hot=np.zeros(80, np.uint8), run=np.array([len(p) - 49 for p in pieces(text + alike)], np.uint16),
+        doc=np.arange(80)[::-1].copy(), text=np.frombuffer(b"".join(pieces(text + alike)), np.uint8),
+    )
+    out = s._unpack(s._merge(s._rows(0, [(0, value)])).column("value")[0].as_py())
+    got = np.split(np.repeat(out["doc"], out["length"]), np.cumsum([len(p) - 49 for p in pieces(text + alike)])[:-1])
+    first = {}
+    for k, t in enumerate(pieces(text + alike)):
+        for at in range(len(t) - 49):
+            first[t[at : at + 50]] = min(first.get(t[at : at + 50], 99), 79 - k)
+    assert [g.tolist() for g in got] == [[first[t[at : at + 50]] for at in range(len(t) - 49)] for t in pieces(text + alike)]
+    assert 0 < sum(sizes) < 1600  # 20 spans of about 74 bytes at most; the pieces are over 7,000
