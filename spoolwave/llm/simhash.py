@@ -136,6 +136,9 @@ _HEAD = np.int64((1 << HEAD_BITS) - 1)
 FIRST = 3
 #: Texts that meet in one table entry up to which all their pairs are made; a larger entry is first joined as a star.
 SMALL = 8
+#: A place is the number of the segment's bit that was turned on the way to an entry (0: none), with FREE added where the entry has a
+#: 0 there. ANY stands for a text that comes to one entry by several places.
+FREE, ANY = 128, 255
 #: Entries of the tables behind one task.
 ENTRIES = 2_000_000
 _TEXTS = 2048
@@ -234,7 +237,8 @@ def _entries(fps: np.ndarray, words: np.ndarray, bits: int, segments: int, table
     order = np.argsort(table, kind="stable")
     low = (key >> np.uint64(32)).astype("<u4")[order]
     owner = np.repeat(fps, segments * (bits + 1))[order]
-    place = np.tile(np.arange(bits + 1, dtype=np.uint8), segments * len(fps))[order]  # which bit of the segment was turned; 0: none
+    turned = (value[:, :, None] & mask) != 0  # a bit that is turned off is 0 in the entry
+    place = (np.arange(bits + 1, dtype=np.uint8) + FREE * turned.astype(np.uint8)).reshape(-1)[order]
     used, at = np.unique(table[order], return_index=True)
     stop = [*at[1:].tolist(), len(order)]
     return pa.RecordBatch.from_arrays(
@@ -244,11 +248,12 @@ def _entries(fps: np.ndarray, words: np.ndarray, bits: int, segments: int, table
 
 
 def _meet(t: pa.Table, radius: int) -> pa.Table:
-    """(kind, a, b): kind 0 a pair within the radius, kind 1 a text b in the entry a, which more than SMALL texts share.
+    """(kind, a, b, place): kind 0 a pair within the radius, kind 1 a text b in the entry a, which more than SMALL texts share.
 
     All pairs of a small entry are made. A larger one gives its stars and its neighbours in order of fingerprint, and itself. Texts
     that come to an entry by the same turned bit have one value and meet at that value too, so an entry of such texts alone is left
-    out: most entries of a large group of copies are.
+    out: most entries of a large group of copies are. Of a larger entry only those texts are given that have a partner for
+    which this is the first entry (see `_partners`).
     """
     key = np.frombuffer(b"".join(t.column("keys").to_pylist()), "<u4")
     fp = np.frombuffer(b"".join(t.column("fps").to_pylist()), "<i8")
@@ -256,14 +261,16 @@ def _meet(t: pa.Table, radius: int) -> pa.Table:
     order = np.lexsort((fp, key))
     key, fp, place = key[order], fp[order], place[order]
     fresh = np.append(True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]))
-    key, fp, place = key[fresh], fp[fresh], place[fresh]
+    at = np.flatnonzero(fresh)
+    once = np.diff(np.append(at, len(key))) == 1
+    key, fp, place = key[fresh], fp[fresh], np.where(once, place[fresh], np.uint8(ANY))
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(first, len(key)))
     low, high = np.minimum.reduceat(place, first), np.maximum.reduceat(place, first)
-    of_use = np.repeat((size > 1) & ((low != high) | (low == 0)), size)
-    key, fp = key[of_use], fp[of_use]
+    of_use = np.repeat((size > 1) & ((low != high) | (low == 0) | (low == ANY)), size)
+    key, fp, place = key[of_use], fp[of_use], place[of_use]
     if not len(key):
-        return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "place": pa.array([], pa.int32())})
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(first, len(key)))
     left, right = [], []
@@ -281,10 +288,30 @@ def _meet(t: pa.Table, radius: int) -> pa.Table:
     i, j = np.concatenate(left), np.concatenate(right)
     near = np.bitwise_count((fp[i] ^ fp[j]) & _HEAD) <= radius
     pairs = np.unique(np.stack([fp[i[near]], fp[j[near]]], axis=1), axis=0) if near.any() else np.empty((0, 2), np.int64)
-    inside = np.repeat(big, size)
+    inside = np.repeat(big, size) & _partners(place, first, size)
     entry = _entry(np.int64(t.column("table")[0].as_py()), key[inside])
     kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(entry), np.int32)])
-    return pa.table({"kind": kind, "a": np.concatenate([pairs[:, 0], entry]), "b": np.concatenate([pairs[:, 1], fp[inside]])})
+    places = np.concatenate([np.zeros(len(pairs), np.int32), place[inside].astype(np.int32)])
+    return pa.table({"kind": kind, "a": np.concatenate([pairs[:, 0], entry]), "b": np.concatenate([pairs[:, 1], fp[inside]]), "place": places})
+
+
+def _partners(place: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which texts have a partner in their entry whose first entry with them (see `_first_entry`) it can be.
+
+    Two texts that come by different bits meet in two entries, and in the lesser one the higher of the bits is 0; two of one value
+    meet first at that value.
+    """
+    bit, free = place % FREE, place >= FREE
+    highest = np.repeat(np.maximum.reduceat(np.where(free, bit, 0), first), size)  # of the bits that are 0 in the entry
+    lowest = np.repeat(np.minimum.reduceat(bit, first), size)
+    bare = np.repeat(np.add.reduceat((bit == 0).astype(np.int64), first), size)
+    return (highest > bit) | (free & (lowest < bit)) | ((bit == 0) & (bare > 1)) | (place == ANY)
+
+
+def _can_meet(p, q):
+    """The rule of `_partners` for two places of one entry, as a column."""
+    a, b = p % FREE, q % FREE
+    return F.when(a == b, (a == 0) | (p == ANY)).otherwise(F.greatest(p.bitwiseAND(F.lit(127)), q.bitwiseAND(F.lit(127))) == F.greatest(F.when(p >= FREE, a).otherwise(-1), F.when(q >= FREE, b).otherwise(-1)))
 
 
 def _across(t: pa.Table, radius: int, bits: int, segments: int, tables: int) -> pa.Table:
@@ -340,13 +367,13 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         return pa.Table.from_batches([_entries(fps[at : at + _TEXTS], words[at : at + _TEXTS], bits, segments, tables) for at in range(0, len(fps), _TEXTS)])
 
     entries = map_batches(spread(nodes.select("fp", "first.words")), enter, "table bigint, keys binary, fps binary, places binary")
-    met = checkpoint(entries.groupBy("table").applyInArrow(lambda t: _meet(t, radius), "kind int, a bigint, b bigint"))
+    met = checkpoint(entries.groupBy("table").applyInArrow(lambda t: _meet(t, radius), "kind int, a bigint, b bigint, place int"))
     some = lambda c: nodes.select(F.col("fp").alias(c), F.slice("first.words", 1, COARSE_WORDS).alias(f"_{c}"))
     long = lambda c: nodes.select(F.col("fp").alias(c), F.col("first.words").alias(f"_{c}"))
     apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
     pairs = met.where("kind = 0").select("a", "b").distinct().join(some("a"), "a").join(some("b"), "b").where(apart <= coarse).select("a", "b")
     pairs = checkpoint(pairs.join(long("a"), "a").join(long("b"), "b").withColumn("apart", apart).where(F.col("apart") <= whole).select("a", "b", "apart"))
-    shared = met.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("fp"))
+    shared = met.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("fp"), "place")
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(shared.select("fp")).distinct()
     wanted = nodes.join(wanted, "fp", "left_semi").select("fp", F.coalesce(F.col("first.id").cast("string"), F.lit("null")).alias("key"), F.col("first.digest").alias("digest"))
 
@@ -365,9 +392,14 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     label = lambda parts, c: parts.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     of = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c))
     between = lambda found, parts: found.join(label(parts, "a"), "a", "left").join(label(parts, "b"), "b", "left").where(of("a") != of("b"))
-    large = shared.join(label(so_far, "fp"), "fp", "left").select("entry", "fp", of("fp").alias("label"))
-    split = large.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / _SIDE).cast("int").alias("tiles")).where("low <> high").select("entry", "tiles")
-    large = checkpoint(large.join(split, "entry").join(nodes.select("fp", "first.words"), "fp")).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    large = shared.join(label(so_far, "fp"), "fp", "left").select("entry", "fp", "place", of("fp").alias("label"))
+    # only texts go on that have a partner of another group for which the entry can be the first
+    by_place = large.groupBy("entry", "place").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+    split = by_place.groupBy("entry").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.struct("place", "low", "high")).alias("_places"), F.ceil(F.sum("n") / _SIDE).cast("int").alias("tiles"))
+    split = split.where("low <> high").select("entry", "_places", "tiles")
+    apart_from = F.exists("_places", lambda q: ((q["low"] != F.col("label")) | (q["high"] != F.col("label"))) & _can_meet(F.col("place"), q["place"]))
+    large = large.join(split, "entry").where(apart_from).select("entry", "fp", "label", "tiles")
+    large = checkpoint(large.join(nodes.select("fp", "first.words"), "fp")).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     # a tile for each two parts of an entry, the first no later than the second
     sides = large.select("entry", "fp", "label", "words", F.col("i"), F.explode(F.expr("sequence(i, tiles - 1)")).alias("j"), F.lit(0).alias("side")).unionByName(
         large.select("entry", "fp", "label", "words", F.explode(F.expr("sequence(0, i)")).alias("i"), F.col("i").alias("j"), F.lit(1).alias("side"))

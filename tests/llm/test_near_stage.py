@@ -112,3 +112,36 @@ def test_stage_of_the_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").where(F.col("doc_id") < 150).collect()]
     assert left(corpus_pipeline.near_duplicates(spark, docs(spark, rows), sf)) == brute_keep(rows)
+
+
+def test_entries_give_only_texts_with_partners():
+    """Of a large entry the texts go on that meet another one there first; no pair loses its first entry."""
+    import pyarrow as pa
+
+    from spoolwave.llm import simhash as s
+
+    rng, bits, segments = np.random.default_rng(5), 12, 3
+    base = rng.integers(0, 1 << 62, (3, 2), dtype=np.uint64)
+    words = base[rng.integers(0, 3, 240)]
+    for _ in range(3):  # near copies: some bits of the segments are turned
+        words[:, 1] ^= np.where(rng.random(240) < 0.6, np.uint64(1) << rng.integers(0, bits * segments, 240).astype(np.uint64), np.uint64(0))
+    words = np.unique(words, axis=0)
+    fps = np.arange(1, len(words) + 1)
+    t = pa.Table.from_batches([s._entries(fps, words, bits, segments, 1)])
+    met = s._meet(t, 48)
+    given = {(a, b) for kind, a, b in zip(*(met.column(c).to_pylist() for c in ("kind", "a", "b"))) if kind == 1}
+    keys, owner = (np.concatenate([np.frombuffer(x, d) for x in t.column(c).to_pylist()]) for c, d in (("keys", "<u4"), ("fps", "<i8")))
+    members = {}
+    for k, f in zip(keys.tolist(), owner.tolist()):
+        members.setdefault(int(s._entry(np.int64(0), np.array([k], np.uint64))[0]), set()).add(f)
+    value, needed = s._segments(words, bits, segments), set()
+    for i in range(len(fps)):
+        others = np.flatnonzero((np.bitwise_count(value ^ value[i]) <= 2).any(axis=1) & (fps > fps[i]))
+        if len(others):
+            for j, e in zip(others.tolist(), s._first_entry(np.broadcast_to(value[i], (len(others), segments)), value[others], bits, 1).tolist()):
+                assert {int(fps[i]), int(fps[j])} <= members[e]
+                if len(members[e]) > s.SMALL:
+                    needed |= {(e, int(fps[i])), (e, int(fps[j]))}
+    large = sum(len(m) for m in members.values() if len(m) > s.SMALL)
+    assert needed and needed <= given and len(given) < 0.7 * large
+'''
