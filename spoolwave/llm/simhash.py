@@ -141,8 +141,11 @@ SMALL = 8
 FREE, ANY = 128, 255
 #: Entries of the tables behind one task.
 ENTRIES = 2_000_000
+#: The same where texts come along with their words.
+LABELLED_ENTRIES = 1 << 18
 _TEXTS = 2048
 _SIDE = 4096
+_PAIRS = 1 << 15
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -247,14 +250,9 @@ def _entries(fps: np.ndarray, words: np.ndarray, bits: int, segments: int, table
     )
 
 
-def _meet(t: pa.Table, radius: int) -> pa.Table:
-    """(kind, a, b, place): kind 0 a pair within the radius, kind 1 a text b in the entry a, which more than SMALL texts share.
-
-    All pairs of a small entry are made. A larger one gives its stars and its neighbours in order of fingerprint, and itself. Texts
-    that come to an entry by the same turned bit have one value and meet at that value too, so an entry of such texts alone is left
-    out: most entries of a large group of copies are. Of a larger entry only those texts are given that have a partner for
-    which this is the first entry (see `_partners`).
-    """
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, place) of a table's entries in this order, each text once an entry, and the first row and size of every entry;
+    without entries of one text, and without those whose texts all turned the same bit (see `_meet`)."""
     key = np.frombuffer(b"".join(t.column("keys").to_pylist()), "<u4")
     fp = np.frombuffer(b"".join(t.column("fps").to_pylist()), "<i8")
     place = np.frombuffer(b"".join(t.column("places").to_pylist()), np.uint8)
@@ -267,12 +265,22 @@ def _meet(t: pa.Table, radius: int) -> pa.Table:
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(first, len(key)))
     low, high = np.minimum.reduceat(place, first), np.maximum.reduceat(place, first)
-    of_use = np.repeat((size > 1) & ((low != high) | (low == 0) | (low == ANY)), size)
-    key, fp, place = key[of_use], fp[of_use], place[of_use]
+    own = (size > 1) & ((low != high) | (low == 0) | (low == ANY))
+    of_use, size = np.repeat(own, size), size[own]
+    return key[of_use], fp[of_use], place[of_use], np.cumsum(size) - size, size
+
+
+def _meet(t: pa.Table, radius: int) -> pa.Table:
+    """(kind, a, b): kind 0 a pair within the radius, kind 1 a text b in the entry a, which more than SMALL texts share.
+
+    All pairs of a small entry are made. A larger one gives its stars and its neighbours in order of fingerprint, and itself. Texts
+    that come to an entry by the same turned bit have one value and meet at that value too, so an entry of such texts alone is left
+    out: most entries of a large group of copies are. Of a larger entry only those texts are given that have a partner for
+    which this is the first entry (see `_partners`).
+    """
+    key, fp, place, first, size = _unpacked(t)
     if not len(key):
-        return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "place": pa.array([], pa.int32())})
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(first, len(key)))
+        return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     left, right = [], []
     for gap in range(1, SMALL):  # pairs at this distance inside small entries
         own = first[(size > gap) & (size <= SMALL)]
@@ -291,8 +299,7 @@ def _meet(t: pa.Table, radius: int) -> pa.Table:
     inside = np.repeat(big, size) & _partners(place, first, size)
     entry = _entry(np.int64(t.column("table")[0].as_py()), key[inside])
     kind = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(len(entry), np.int32)])
-    places = np.concatenate([np.zeros(len(pairs), np.int32), place[inside].astype(np.int32)])
-    return pa.table({"kind": kind, "a": np.concatenate([pairs[:, 0], entry]), "b": np.concatenate([pairs[:, 1], fp[inside]]), "place": places})
+    return pa.table({"kind": kind, "a": np.concatenate([pairs[:, 0], entry]), "b": np.concatenate([pairs[:, 1], fp[inside]])})
 
 
 def _partners(place: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -308,10 +315,80 @@ def _partners(place: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndar
     return (highest > bit) | (free & (lowest < bit)) | ((bit == 0) & (bare > 1)) | (place == ANY)
 
 
-def _can_meet(p, q):
-    """The rule of `_partners` for two places of one entry, as a column."""
-    a, b = p % FREE, q % FREE
-    return F.when(a == b, (a == 0) | (p == ANY)).otherwise(F.greatest(p.bitwiseAND(F.lit(127)), q.bitwiseAND(F.lit(127))) == F.greatest(F.when(p >= FREE, a).otherwise(-1), F.when(q >= FREE, b).otherwise(-1)))
+def _can_meet(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The rule of `_partners` for two places of one entry."""
+    a, b = (p % FREE).astype(np.int16), (q % FREE).astype(np.int16)
+    free = np.maximum(np.where(p >= FREE, a, -1), np.where(q >= FREE, b, -1))
+    return np.where(a == b, (a == 0) | (p == ANY), np.maximum(a, b) == free)
+
+
+def _texts_met(t: pa.Table, radius: int) -> pa.Table:
+    """What `_meet` gives, with the texts of large entries once a table instead of once an entry."""
+    met = _meet(t, radius)
+    kind, a, b = (met.column(c).to_numpy() for c in ("kind", "a", "b"))
+    texts = np.unique(b[kind == 1])
+    return pa.table({"kind": np.repeat(np.array([0, 1], np.int32), [(kind == 0).sum(), len(texts)]), "a": np.concatenate([a[kind == 0], np.zeros_like(texts)]), "b": np.concatenate([b[kind == 0], texts])})
+
+
+def _labelled_entries(fps: np.ndarray, labels: np.ndarray, words: np.ndarray, bits: int, segments: int, tables: int) -> pa.RecordBatch:
+    """`_entries` with the label and words of each text beside them, once a table."""
+    out = _entries(fps, words, bits, segments, tables)
+    order = np.argsort(fps)
+    mine = [order[np.searchsorted(fps, np.unique(np.frombuffer(x, "<i8")), sorter=order)] for x in out.column("fps").to_pylist()]
+    more = [pa.array([v[k].tobytes() for k in mine], pa.binary()) for v in (fps, labels, words)]
+    return pa.RecordBatch.from_arrays([*out.columns, *more], names=[*out.schema.names, "texts", "labels", "words"])
+
+
+def _between_labels(t: pa.Table, radius: int, bits: int, segments: int, tables: int, side: int) -> pa.Table:
+    """(kind, a, b, apart): kind 0 a pair within the radius of texts of different labels, out of its first entry (see `_across`);
+    kind 1 a text b of the entry a, and in apart the parts that its texts are dealt to.
+
+    Only pairs of two labels are looked at, a block at a time. An entry of more than side * side / 2 of them is dealt over tasks.
+    """
+    key, fp, place, first, size = _unpacked(t)
+    texts, labels = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<i8") for c in ("texts", "labels"))
+    words = np.frombuffer(b"".join(t.column("words").to_pylist()), "<u8").reshape(len(texts), -1)
+    order = np.argsort(texts)
+    if len(key):
+        kept = _partners(place, first, size)
+        key, fp, place = key[kept], fp[kept], place[kept]
+    own = order[np.searchsorted(texts, fp, sorter=order)]
+    label = labels[own]
+    by_label = np.lexsort((fp, label, key))
+    key, fp, place, own, label = key[by_label], fp[by_label], place[by_label], own[by_label], label[by_label]
+    # partners of a text are those of its entry behind the last one of its own label
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    run = new | np.append(True, label[1:] != label[:-1])[: len(key)]
+    ends = lambda fresh: np.append(np.flatnonzero(fresh)[1:], len(key))[np.cumsum(fresh) - 1]
+    after, end = (ends(run), ends(new)) if len(key) else (own, own)
+    n = end - after
+    entry = np.cumsum(new) - 1
+    large = (np.bincount(entry, n) > side * side / 2)[entry] if len(key) else new
+    here = _entry(np.int64(t.column("table")[0].as_py()), key)
+    members = np.bincount(entry)[entry] if len(key) else n
+    left, right, far = [fp[:0]], [fp[:0]], [np.empty(0, np.int32)]
+    at = np.flatnonzero((n > 0) & ~large)
+    block = (np.cumsum(n[at]) - 1) // _PAIRS
+    for rows in np.split(at, np.flatnonzero(np.diff(block)) + 1):
+        i = np.repeat(rows, n[rows])
+        j = np.arange(len(i)) + np.repeat(after[rows] - np.cumsum(n[rows]) + n[rows], n[rows])
+        meet = _can_meet(place[i], place[j])
+        i, j = i[meet], j[meet]
+        for k in range(0, len(i), _PAIRS):
+            p, q = i[k : k + _PAIRS], j[k : k + _PAIRS]
+            apart = np.bitwise_count(words[own[p]] ^ words[own[q]]).sum(axis=1, dtype=np.int32)
+            near = apart <= radius
+            p, q, apart = p[near], q[near], apart[near]
+            if len(p):
+                x, y = (_segments(words[own[r]], bits, segments) for r in (p, q))
+                out = _first_entry(x, y, bits, tables) == here[p]
+                left.append(fp[p[out]])
+                right.append(fp[q[out]])
+                far.append(apart[out])
+    a, b = np.concatenate(left), np.concatenate(right)
+    kind = np.repeat(np.array([0, 1], np.int32), [len(a), large.sum()])
+    tiles = -(-members[large] // side)
+    return pa.table({"kind": kind, "a": np.concatenate([np.minimum(a, b), here[large]]), "b": np.concatenate([np.maximum(a, b), fp[large]]), "apart": np.concatenate([*far, tiles]).astype(np.int32)})
 
 
 def _across(t: pa.Table, radius: int, bits: int, segments: int, tables: int) -> pa.Table:
@@ -367,14 +444,14 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         return pa.Table.from_batches([_entries(fps[at : at + _TEXTS], words[at : at + _TEXTS], bits, segments, tables) for at in range(0, len(fps), _TEXTS)])
 
     entries = map_batches(spread(nodes.select("fp", "first.words")), enter, "table bigint, keys binary, fps binary, places binary")
-    met = checkpoint(entries.groupBy("table").applyInArrow(lambda t: _meet(t, radius), "kind int, a bigint, b bigint, place int"))
+    met = checkpoint(entries.groupBy("table").applyInArrow(lambda t: _texts_met(t, radius), "kind int, a bigint, b bigint"))
     some = lambda c: nodes.select(F.col("fp").alias(c), F.slice("first.words", 1, COARSE_WORDS).alias(f"_{c}"))
     long = lambda c: nodes.select(F.col("fp").alias(c), F.col("first.words").alias(f"_{c}"))
     apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
     pairs = met.where("kind = 0").select("a", "b").distinct().join(some("a"), "a").join(some("b"), "b").where(apart <= coarse).select("a", "b")
     pairs = checkpoint(pairs.join(long("a"), "a").join(long("b"), "b").withColumn("apart", apart).where(F.col("apart") <= whole).select("a", "b", "apart"))
-    shared = met.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("fp"), "place")
-    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(shared.select("fp")).distinct()
+    shared = met.where("kind = 1").select(F.col("b").alias("fp")).distinct()
+    wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(shared).distinct()
     wanted = nodes.join(wanted, "fp", "left_semi").select("fp", F.coalesce(F.col("first.id").cast("string"), F.lit("null")).alias("key"), F.col("first.digest").alias("digest"))
 
     def collect_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -392,19 +469,25 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     label = lambda parts, c: parts.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     of = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c))
     between = lambda found, parts: found.join(label(parts, "a"), "a", "left").join(label(parts, "b"), "b", "left").where(of("a") != of("b"))
-    large = shared.join(label(so_far, "fp"), "fp", "left").select("entry", "fp", "place", of("fp").alias("label"))
-    # only texts go on that have a partner of another group for which the entry can be the first
-    by_place = large.groupBy("entry", "place").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-    split = by_place.groupBy("entry").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.struct("place", "low", "high")).alias("_places"), F.ceil(F.sum("n") / _SIDE).cast("int").alias("tiles"))
-    split = split.where("low <> high").select("entry", "_places", "tiles")
-    apart_from = F.exists("_places", lambda q: ((q["low"] != F.col("label")) | (q["high"] != F.col("label"))) & _can_meet(F.col("place"), q["place"]))
-    large = large.join(split, "entry").where(apart_from).select("entry", "fp", "label", "tiles")
-    large = checkpoint(large.join(nodes.select("fp", "first.words"), "fp")).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
+    # the texts of large entries meet a second time, with the labels of the groups found so far
+    large = checkpoint(shared.join(nodes.select("fp", "first.words"), "fp").join(label(so_far, "fp"), "fp", "left").select("fp", of("fp").alias("label"), "words"))
+    parts_of, side = max(1, -(-large.count() * segments * (bits + 1) // LABELLED_ENTRIES)), _SIDE
+
+    def enter_again(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        return _labelled_entries(fps, labels, batch.column(2).flatten().to_numpy().reshape(len(fps), -1), bits, segments, parts_of)
+
+    entries = map_batches(spread(large), enter_again, "table bigint, keys binary, fps binary, places binary, texts binary, labels binary, words binary")
+    again = checkpoint(entries.groupBy("table").applyInArrow(lambda t: _between_labels(t, whole, bits, segments, parts_of, side), "kind int, a bigint, b bigint, apart int"))
+    # what is left are entries of more pairs than one task looks at
+    dealt = again.where("kind = 1").select(F.col("a").alias("entry"), F.col("b").alias("fp"), F.col("apart").alias("tiles")).join(large, "fp")
+    large = checkpoint(dealt.withColumn("i", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")))
     # a tile for each two parts of an entry, the first no later than the second
     sides = large.select("entry", "fp", "label", "words", F.col("i"), F.explode(F.expr("sequence(i, tiles - 1)")).alias("j"), F.lit(0).alias("side")).unionByName(
         large.select("entry", "fp", "label", "words", F.explode(F.expr("sequence(0, i)")).alias("i"), F.col("i").alias("j"), F.lit(1).alias("side"))
     )
-    more = sides.groupBy("entry", "i", "j").applyInArrow(lambda t: _across(t, whole, bits, segments, tables), "a bigint, b bigint, apart int")
+    more = sides.groupBy("entry", "i", "j").applyInArrow(lambda t: _across(t, whole, bits, segments, parts_of), "a bigint, b bigint, apart int")
+    more = more.unionByName(again.where("kind = 0").select("a", "b", "apart"))
     rest = checkpoint(between(pairs.unionByName(more).distinct().join(first, ["a", "b"], "left_anti"), so_far).select("a", "b", "apart", F.least(of("a"), of("b")).alias("x"), F.greatest(of("a"), of("b")).alias("y")))
     second = checkpoint(rest.groupBy("x", "y").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b"))
     links = checkpoint(links.unionByName(_similar(second, sets, similarity)))
