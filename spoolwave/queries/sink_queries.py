@@ -13,7 +13,7 @@ from spoolwave.plans import job
 from spoolwave.plans.tables import table
 from spoolwave.queries.registry import query
 from spoolwave.sources import recordings, stretches, zarr
-from spoolwave.sources.files import file_system, scratch
+from spoolwave.sources.files import checkpoint, file_system, scratch
 
 #: Orders as three recordings of one channel: order i is sample i / 3 of recording i % 3, in chunks of 64 samples.
 ORDERS = "(select 'r' || (o_orderkey % 3) as recording, o_orderkey // 3 as sample, o_orderkey // 3 // 64 as block, o_custkey as v from orders)"
@@ -81,10 +81,10 @@ def k01(spark, sf):
 @query("k03_stored_types", f"select t as dtype, recording, count(*) as n, sum(v % m)::bigint as total from {ORDERS}, (select unnest(['int8', 'int16', 'uint16', 'int32', 'int64', 'float64']) as t, unnest([100, 30000, 60000, 1000000, 1000000, 1000000]) as m) group by 1, 2")
 def k03_types(spark, sf):
     """Arrays of the source's own number type: whole numbers come back as they went in."""
-    parts = []
+    parts, orders = [], checkpoint(order_chunks(spark, sf, "bigint"))  # once for all types
     for kind, most in (("int8", 100), ("int16", 30000), ("uint16", 60000), ("int32", 1000000), ("int64", 1000000), ("float64", 1000000)):
         path = scratch(spark, "typed")
-        zarr.write(order_chunks(spark, sf, "bigint").withColumn("values", F.expr(f"transform(values, v -> v % {most})")), path, rows=100, dtype=kind)
+        zarr.write(orders.withColumn("values", F.expr(f"transform(values, v -> v % {most})")), path, rows=100, dtype=kind)
         said = zarr.node(f"{path}/r0")["attributes"]["_DTYPE"]
         back = stretches.samples(zarr.read(spark, path, values="double" if kind == "float64" else "bigint"))
         parts.append(back.groupBy("recording").agg(F.count("*").alias("n"), F.sum("value").cast("bigint").alias("total")).select(F.lit(said).alias("dtype"), "*"))

@@ -30,6 +30,13 @@ from spoolwave.sources.files import file_system
 CHUNK_BYTES = 10_000_000
 #: Tasks of a read at most; each reads its chunks one after another.
 MOST_TASKS = 10_000
+#: Bytes behind one task, and what a file counts for at least: small chunks share a task.
+TASK_BYTES = 32 << 20
+FILE_BYTES = 32 << 10
+#: Bytes of chunks that are laid out, or read, as one batch.
+BATCH_BYTES = 4 << 20
+#: Chunks of a batch at most.
+BATCH_CHUNKS = 256
 #: Number types of an array.
 TYPES = ("int8", "int16", "uint16", "int32", "int64", "uint64", "float32", "float64")
 ROWS = "array string, chunk bigint, data binary"
@@ -207,19 +214,26 @@ def as_chunks(chunks: DataFrame, sizes: list[tuple[str, int, list[int]]], rows:
     high = F.least(F.col("first") + F.size("values"), (F.col("block") + 1) * rows)
     cut = cut.select("recording", "block", "channel", (low - F.col("block") * rows).alias("at"), F.slice("values", (low - F.col("first") + 1).cast("int"), (high - low).cast("int")).alias("values"))
     shapes = {name: (max(1, min(rows, n)), {c: i for i, c in enumerate(channels)}) for name, n, channels in sizes}
+    # small chunks that follow each other are laid out together
+    cells = max((height * max(len(places), 1) for height, places in shapes.values()), default=1)
+    run = max(1, min(BATCH_CHUNKS, BATCH_BYTES // (8 * cells)))
 
     def lay(t: pa.Table) -> pa.Table:
         recording, kind = t.column("recording")[0].as_py(), np.dtype(dtype).newbyteorder("<")
         height, places = shapes[recording]
-        data = np.full((height, len(places)), fill_of(dtype), kind)
-        for c, at, v in zip(t.column("channel").to_pylist(), t.column("at").to_pylist(), t.column("values")):
-            own = v.values.to_numpy(zero_copy_only=False)
-            data[at : at + len(own), places[c]] = own
-            if kind.kind in "iu" and not (data[at : at + len(own), places[c]] == own).all():
+        parts = t.column("values").combine_chunks()
+        flat, stops = parts.flatten().to_numpy(zero_copy_only=False), np.cumsum(parts.value_lengths().to_numpy())
+        laid: dict[int, np.ndarray] = {}
+        for block, c, at, stop, n in zip(t.column("block").to_pylist(), t.column("channel").to_pylist(), t.column("at").to_pylist(), stops.tolist(), np.diff(stops, prepend=0).tolist()):
+            if block not in laid:
+                laid[block] = np.full((height, len(places)), fill_of(dtype), kind)
+            own, data = flat[stop - n : stop], laid[block]
+            data[at : at + n, places[c]] = own
+            if kind.kind in "iu" and not (data[at : at + n, places[c]] == own).all():
                 raise ValueError(f"{recording}, channel {c}: a value is no {dtype}")
-        return pa.table({"array": [recording], "chunk": pa.array([t.column("block")[0].as_py()], pa.int64()), "data": pa.array([data.tobytes()], pa.binary())})
+        return pa.table({"array": [recording] * len(laid), "chunk": pa.array(list(laid), pa.int64()), "data": pa.array([d.tobytes() for d in laid.values()], pa.binary())})
 
-    return cut.groupBy("recording", "block").applyInArrow(lay, ROWS)
+    return cut.groupBy("recording", F.floor(F.col("block") / run).alias("run")).applyInArrow(lay, ROWS)
 
 
 def write(chunks: DataFrame, path: str, rows: int = 65536, level: int | None = 1, overwrite: bool = False, dtype: str = "float32") -> DataFrame:
@@ -251,7 +265,8 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
     # a row per array on the driver; chunks are told apart by the executors
     arrays = spark.createDataFrame(todo, "recording string, total bigint, channels array<int>, rows bigint, dtype string, fill double, packed boolean")
     each = arrays.withColumn("block", F.explode(F.expr("sequence(0L, (total - 1) div rows)")))
-    tasks = max(1, min(sum(-(-t[1] // t[3]) for t in todo), MOST_TASKS))
+    work = sum(-(-t[1] // t[3]) * max(FILE_BYTES, t[3] * max(len(t[2]), 1) * np.dtype(t[4]).itemsize) for t in todo)
+    tasks = max(1, min(sum(-(-t[1] // t[3]) for t in todo), max(spark.sparkContext.defaultParallelism, -(-work // TASK_BYTES)), MOST_TASKS))
     return each.select("recording", "block", (F.col("block") * F.col("rows")).alias("first"), "rows", F.least(F.col("rows"), F.col("total") - F.col("block") * F.col("rows")).alias("samples"), "channels", "dtype", "fill", "packed").repartition(tasks, "recording", "block")
 
 
@@ -267,21 +282,32 @@ def read(spark: SparkSession, path: str, only: DataFrame | None = None, values:
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(path)
+        held, size = [], 0
         for batch in batches:
             for r in batch.to_pylist():
                 kind, k = np.dtype(r["dtype"]).newbyteorder("<"), len(r["channels"])
-                where = f"{root}/{r['recording']}/{chunk_key(r['block'], 2)}"
-                if fs.get_file_info(where).is_file:
-                    with fs.open_input_stream(where, compression=None) as f:
+                try:
+                    with fs.open_input_stream(f"{root}/{r['recording']}/{chunk_key(r['block'], 2)}", compression=None) as f:
                         raw = f.read()
                     data = np.frombuffer(gzip.decompress(raw) if r["packed"] else raw, kind).reshape(r["rows"], k)[: r["samples"]]
-                else:
+                except FileNotFoundError:
                     data = np.full((r["samples"], k), r["fill"], kind)
                 data = data.astype(arrow.to_pandas_dtype())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["recording"]] * k), pa.array(r["channels"], pa.int32()), pa.array([r["first"]] * k, pa.int64()), pa.array([np.ascontiguousarray(data[:, i]) for i in range(k)], pa.list_(arrow))],
-                    names=["recording", "channel", "first", "values"],
-                )
+                held.append((r["recording"], r["channels"], r["first"], data))
+                size += data.nbytes
+                if size >= BATCH_BYTES or len(held) == BATCH_CHUNKS:
+                    yield joined(held)
+                    held, size = [], 0
+        if held:
+            yield joined(held)
+
+    def joined(held: list[tuple]) -> pa.RecordBatch:
+        each = [len(channels) for _, channels, _, _ in held]
+        values = [np.ascontiguousarray(data[:, i]) for _, _, _, data in held for i in range(data.shape[1])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([h[0] for h, k in zip(held, each) for _ in range(k)], pa.string()), pa.array([c for h in held for c in h[1]], pa.int32()), pa.array([h[2] for h, k in zip(held, each) for _ in range(k)], pa.int64()), pa.array(values, pa.list_(arrow))],
+            names=["recording", "channel", "first", "values"],
+        )
 
     return plan.select("recording", "block", "first", "rows", "samples", "channels", "dtype", "fill", "packed").mapInArrow(load, f"recording string, channel int, first bigint, values array<{values}>")
 
