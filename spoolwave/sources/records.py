@@ -3,7 +3,7 @@
 Format "records", option `format` names a layout below, or `custom` one that the options state: `fields` (JSON: name, number type
 and shape of each field, at most two dimensions), `suffix` and `skip` (bytes of the file's head). Rows have `k` (record number in
 the file), `file` and the layout's fields, or those that the option `columns` names; a read task is a range of records of one file
-(option `splitBytes`).
+(option `splitBytes`; more than MOST_TASKS ranges of it grow together, up to STRETCH_BYTES).
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ FORMATS: dict[str, tuple[str, int, list[tuple]]] = {
 }
 STRETCH_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
+#: Tasks up to which a stated `splitBytes` holds: each task costs the driver some kB, whatever it reads.
+MOST_TASKS = 256
 _SPARK = {"i1": "tinyint", "u1": "smallint", "i2": "smallint", "u2": "int", "i4": "int", "u4": "bigint", "i8": "bigint", "u8": "bigint", "f4": "float", "f8": "double"}
 _ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
 
@@ -95,8 +97,9 @@ class RecordReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         skip, size = self.layout.skip, self.layout.dtype.itemsize
-        step = max(1, self.stretch // size)
         _, files = listing(self.path, self.layout.suffix)
+        least = min(STRETCH_BYTES, -(-sum(max(i.size - skip, 0) for i in files) // MOST_TASKS))
+        step = max(1, self.stretch // size, -(-least // size))
         # a partial record at the end of a file is left out
         return [Range(i.path, a, min(a + step, (i.size - skip) // size)) for i in files for a in range(0, max((i.size - skip) // size, 0), step)] or [Range("", 0, 0)]
 

@@ -40,3 +40,13 @@ def test_a_task_lays_out_a_run_of_chunks(spark, store, monkeypatch):
     assert "block" in plan and "run" in plan and len(whole) == chunks.select("recording", "first").distinct().count()
     monkeypatch.setattr(zarr, "BATCH_CHUNKS", 1)  # a group for each chunk, as before
     assert whole == {(r.array, r.chunk): bytes(r.data) for r in zarr.as_chunks(chunks, sizes, 2).collect()}
+
+
+def test_many_ranges_share_tasks(spark, tmp_path):
+    from spoolwave.sources import records
+
+    for name, n in (("a", 5000), ("b", 7), ("c", 0)):
+        (tmp_path / f"{name}.rec").write_bytes(b"#" * 5 + b"".join(struct.pack("<id", k, k / 4) for k in range(n)) + b"x")
+    df = records.shaped(spark, f"file://{tmp_path}", [("id", "<i4"), ("value", "<f8")], 5, ".rec", split_bytes=12)
+    assert 7 < df.rdd.getNumPartitions() <= records.MOST_TASKS + 3
+    assert sorted((r.file, r.k, r.id, r.value) for r in df.collect()) == sorted((f, k, k, k / 4) for f, n in (("a.rec", 5000), ("b.rec", 7)) for k in range(n))
