@@ -100,8 +100,8 @@ def s41_many(spark, sf):
 )
 def s43(spark, sf):
     """A settings file per order: its lines as processors and as probe sites."""
-    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice", "l_returnflag"))).alias("lines"), F.max("l_linenumber").alias("top"), F.count_distinct("l_linenumber").alias("d"))
-    li = li.where(F.size("lines") == F.col("d"))
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice", "l_returnflag"))).alias("lines"), F.max("l_linenumber").alias("top"))
+    li = li.where(F.size("lines") == F.size(F.array_distinct(F.array_compact(F.transform("lines", lambda r: r["l_linenumber"])))))
     join = lambda what: F.array_join(F.transform("lines", what), " ")
     processors = join(lambda r: F.concat(F.lit('<PROCESSOR name="Sources/P '), r["l_linenumber"].cast("string"), r["l_returnflag"], F.lit('" nodeId="'), r["l_linenumber"].cast("string"), F.lit('"/>')))
     site = lambda value: join(lambda r: F.concat(F.lit("CH"), r["l_linenumber"].cast("string"), F.lit('="'), value(r).cast("string"), F.lit('"')))

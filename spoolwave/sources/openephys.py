@@ -7,8 +7,10 @@ import json
 import re
 from collections import Counter
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -194,13 +196,32 @@ def structures(sidecars: DataFrame, text: str = "text") -> DataFrame:
     return s.select(*keep, folder.alias("folder"), F.coalesce(F.when(F.col("_s.stream_name") != "", F.col("_s.stream_name")), folder).alias("stream"), F.coalesce("_s.sample_rate", F.lit(0.0)).alias("rate"), F.transform(F.coalesce("_s.channels", F.array().cast("array<struct<channel_name: string, bit_volts: double, units: string, description: string>>")), channel).alias("channels"))
 
 
+def _settings_said(texts: pa.Array) -> pa.Array:
+    """What the elements of settings texts say, each text parsed once: first date and version (null if empty), the processors' names
+    and numbers in the order of the file. A text that is no XML stops the job; null and empty texts say nothing."""
+
+    def first(root: ElementTree.Element, tag: str) -> str | None:
+        found = next(root.iter(tag), None)
+        return "".join(found.itertext()) or None if found is not None else None
+
+    def said(t: str) -> dict:
+        tree, parser = ElementTree.TreeBuilder(), expat.ParserCreate("utf-8")  # names as they are written, whatever their namespace
+        parser.buffer_text, parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = True, tree.start, tree.end, tree.data
+        parser.Parse(t, True)
+        root = tree.close()
+        them = [p.attrib for p in root.iter("PROCESSOR")]
+        return {"date": first(root, "DATE"), "version": first(root, "VERSION"), "names": [a["name"] for a in them if "name" in a], "numbers": [a[k] for a in them for k in ("NodeId", "nodeId") if k in a]}
+
+    kind = pa.struct([("date", pa.string()), ("version", pa.string()), ("names", pa.list_(pa.string())), ("numbers", pa.list_(pa.string()))])
+    return pa.array([said(t) if t else None for t in texts.to_pylist()], kind)
+
+
 def settings_rows(sidecars: DataFrame, text: str = "text") -> DataFrame:
     """sidecars with (date, version, processors, sites) of a settings file's text (S43, T20, T35): processors by number, the sites' x and
     y by channel, for files of any number of sessions."""
     x = F.col(text)
-    said = lambda path: F.when(F.xpath_string(x, F.lit(path)) != "", F.xpath_string(x, F.lit(path)))
-    names = F.transform(F.xpath(x, F.lit("//PROCESSOR/@name")), lambda n: F.regexp_replace(F.trim(F.element_at(F.split(n, "/"), -1)), " ", "_"))
-    numbers = F.xpath(x, F.lit("//PROCESSOR/@nodeId | //PROCESSOR/@NodeId"))
+    said = F.arrow_udf(_settings_said, "struct<date: string, version: string, names: array<string>, numbers: array<string>>")(x)
+    names = F.transform("_said.names", lambda n: F.regexp_replace(F.trim(F.element_at(F.split(n, "/"), -1)), " ", "_"))
 
     def places(axis: str):
         element = F.regexp_extract(x, f"<ELECTRODE_{axis}POS\\b([^>]*)>", 1)
@@ -209,7 +230,7 @@ def settings_rows(sidecars: DataFrame, text: str = "text") -> DataFrame:
 
     both = F.map_filter(F.map_zip_with(places("X"), places("Y"), lambda _, a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("x"), b.alias("y")))), lambda _, v: v.isNotNull())
     keep = [c for c in sidecars.columns if c != text]
-    return sidecars.select(*keep, said("//DATE").alias("date"), said("//VERSION").alias("version"), F.map_from_arrays(numbers, names).alias("processors"), both.alias("sites"))
+    return sidecars.select(*keep, text, said.alias("_said")).select(*keep, "_said.date", "_said.version", F.map_from_arrays("_said.numbers", names).alias("processors"), both.alias("sites"))
 
 
 def session_stretches(sessions: DataFrame, sizes: DataFrame) -> DataFrame:

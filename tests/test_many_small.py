@@ -50,3 +50,23 @@ def test_many_ranges_share_tasks(spark, tmp_path):
     df = records.shaped(spark, f"file://{tmp_path}", [("id", "<i4"), ("value", "<f8")], 5, ".rec", split_bytes=12)
     assert 7 < df.rdd.getNumPartitions() <= records.MOST_TASKS + 3
     assert sorted((r.file, r.k, r.id, r.value) for r in df.collect()) == sorted((f, k, k, k / 4) for f, n in (("a.rec", 5000), ("b.rec", 7)) for k in range(n))
+
+
+def test_settings_are_parsed_once(spark):
+    from spoolwave.sources import openephys
+
+    texts = [
+        "<SETTINGS><INFO><VERSION>0.<b>6</b>&amp;</VERSION><VERSION>9</VERSION><DATE/></INFO><A><PROCESSOR name='Sources/Rhythm FPGA' nodeId='100'/></A><PROCESSOR NodeId='7' name=' x &lt;y '/><PROCESSOR/></SETTINGS>",
+        "<?xml version='1.0' encoding='UTF-8'?><!-- <VERSION>1</VERSION> --><SETTINGS><VERSION><![CDATA[<2>]]><!-- 3 --></VERSION><DATE> d </DATE></SETTINGS>",
+        "<VERSION xmlns='urn:a'>1</VERSION>", "<a:X xmlns:a='u'><a:VERSION>1</a:VERSION></a:X>", "<SETTINGS/>", "", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    rows = openephys.settings_rows(df)
+    assert "xpath" not in rows._jdf.queryExecution().toString()
+    x = F.col("text")
+    said = lambda path: F.when(F.xpath_string(x, F.lit(path)) != "", F.xpath_string(x, F.lit(path)))
+    want = df.select("k", said("//DATE").alias("date"), said("//VERSION").alias("version"), F.xpath(x, F.lit("//PROCESSOR/@nodeId | //PROCESSOR/@NodeId")).alias("numbers")).collect()
+    got = {r.k: r for r in rows.collect()}
+    assert got[0].processors == {"100": "Rhythm_FPGA", "7": "x_<y"}
+    for r in want:
+        assert (r.date, r.version) == (got[r.k].date, got[r.k].version) and (None if r.numbers is None else sorted(r.numbers)) == (None if got[r.k].processors is None else sorted(got[r.k].processors))
