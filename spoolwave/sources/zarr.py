@@ -312,8 +312,11 @@ def read(spark: SparkSession, path: str, only: DataFrame | None = None, values:
     return plan.select("recording", "block", "first", "rows", "samples", "channels", "dtype", "fill", "packed").mapInArrow(load, f"recording string, channel int, first bigint, values array<{values}>")
 
 
-def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """(recording, block, bytes) of the chunk files that stand in a store; listed by the executors."""
+def stored_bytes(spark: SparkSession, path: str, only: DataFrame | None = None) -> DataFrame:
+    """(recording, block, bytes) of the chunk files that stand in a store, or of those that `only` names; listed by the executors."""
+    plan = blocks(spark, path).select("recording", "block")
+    if only is not None:
+        plan = plan.join(only.select("recording", "block"), ["recording", "block"], "left_semi")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(path)
@@ -322,4 +325,4 @@ def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
             sizes = [i.size or 0 for i in fs.get_file_info(names)]
             yield pa.RecordBatch.from_arrays([batch.column("recording"), batch.column("block"), pa.array(sizes, pa.int64())], names=["recording", "block", "bytes"])
 
-    return blocks(spark, path).select("recording", "block").mapInArrow(look, "recording string, block bigint, bytes bigint")
+    return plan.mapInArrow(look, "recording string, block bigint, bytes bigint")

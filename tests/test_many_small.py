@@ -42,6 +42,15 @@ def test_a_task_lays_out_a_run_of_chunks(spark, store, monkeypatch):
     assert whole == {(r.array, r.chunk): bytes(r.data) for r in zarr.as_chunks(chunks, sizes, 2).collect()}
 
 
+def test_sizes_of_chosen_chunks(spark, store):
+    from spoolwave.sources import zarr
+
+    path, _ = store
+    chosen = spark.createDataFrame([("r0", 0), ("r1", 5)], "recording string, block bigint")
+    every = {(r.recording, r.block): r.bytes for r in zarr.stored_bytes(spark, path).collect()}
+    assert {(r.recording, r.block): r.bytes for r in zarr.stored_bytes(spark, path, chosen).collect()} == {k: every[k] for k in [("r0", 0), ("r1", 5)]}
+
+
 def test_many_ranges_share_tasks(spark, tmp_path):
     from spoolwave.sources import records
 
