@@ -134,6 +134,9 @@ HEAD_BITS = 48
 _HEAD = np.int64((1 << HEAD_BITS) - 1)
 #: Pairs of a text that are looked at first, the closest ones.
 FIRST = 3
+#: Pairs of a text that leave a task of the first look, and pairs of all tasks that go on, the closest ones by their keys. Texts that
+#: have more meet a second time.
+CLOSE, CLOSE_IN_ALL = 8, 16
 #: Texts that meet in one table entry up to which all their pairs are made; a larger entry is first joined as a star.
 SMALL = 8
 #: A place is the number of the segment's bit that was turned on the way to an entry (0: none), with FREE added where the entry has a
@@ -322,12 +325,31 @@ def _can_meet(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(a == b, (a == 0) | (p == ANY), np.maximum(a, b) == free)
 
 
-def _texts_met(t: pa.Table, radius: int) -> pa.Table:
-    """What `_meet` gives, with the texts of large entries once a table instead of once an entry."""
+def _closest(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs are among the `most` closest of one of their two texts, by their keys, and the texts that have more pairs.
+
+    A pair that is not among them leaves two texts with more pairs, so both of its texts are given.
+    """
+    apart, tie = np.bitwise_count((a ^ b) & _HEAD), _mix((a ^ b).view(np.uint64))
+    text = np.concatenate([a, b])
+    order = np.lexsort((np.tile(tie, 2), np.tile(apart, 2), text))
+    fresh = np.append(True, np.diff(text[order]) != 0)[: len(text)]
+    first = np.flatnonzero(fresh)
+    size = np.diff(np.append(first, len(text)))
+    rank = np.empty(len(text), np.int64)
+    rank[order] = np.arange(len(text)) - np.repeat(first, size)
+    return (rank < most).reshape(2, -1).any(axis=0), text[order][first[size > most]]
+
+
+def _texts_met(t: pa.Table, radius: int, most: int) -> pa.Table:
+    """What `_meet` gives, but only the closest pairs of each text, and as kind 1, once a table instead of once an entry, the texts of
+    large entries and those that have more pairs."""
     met = _meet(t, radius)
     kind, a, b = (met.column(c).to_numpy() for c in ("kind", "a", "b"))
-    texts = np.unique(b[kind == 1])
-    return pa.table({"kind": np.repeat(np.array([0, 1], np.int32), [(kind == 0).sum(), len(texts)]), "a": np.concatenate([a[kind == 0], np.zeros_like(texts)]), "b": np.concatenate([b[kind == 0], texts])})
+    pair = kind == 0
+    near, crowded = _closest(a[pair], b[pair], most)
+    texts = np.unique(np.concatenate([b[~pair], crowded]))
+    return pa.table({"kind": np.repeat(np.array([0, 1], np.int32), [near.sum(), len(texts)]), "a": np.concatenate([a[pair][near], np.zeros_like(texts)]), "b": np.concatenate([b[pair][near], texts])})
 
 
 def _labelled_entries(fps: np.ndarray, labels: np.ndarray, words: np.ndarray, bits: int, segments: int, tables: int) -> pa.RecordBatch:
@@ -414,6 +436,17 @@ def _across(t: pa.Table, radius: int, bits: int, segments: int, tables: int) ->
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "apart": np.concatenate(far or [np.empty(0, np.int32)])})
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(a, b, apart): each pair from both of its texts."""
+    return pairs.select("a", "b", "apart").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+
+
+def _closest_pairs(pairs: DataFrame, most: int, *ties) -> DataFrame:
+    """Those pairs (a < b, apart) that are among the `most` closest of one of their texts, as (a, b)."""
+    ranked = _ends(pairs).withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("apart", *ties)))
+    return ranked.where(F.col("_n") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have the Jaccard similarity."""
     joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("_x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("_y")), "b")
@@ -426,9 +459,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
     Multi-index hashing over long fingerprints: balls of radius 1 around each segment of both texts meet in a table, the distance
     of the first word is verified, then that of eight and of all words, then the similarity itself. Texts of one long fingerprint are one node.
-    Pairs are made of entries that few texts share; entries of large groups of copies are joined as stars at first, and then
-    only what the groups found so far leave apart is compared, in tiles, until no entry holds an unseen pair of two groups. So no
-    group is expanded into all its pairs. Texts without words are one node. Empty tables give empty results.
+    Pairs are made of entries that few texts share; entries of large groups of copies are joined as stars at first. Of a text's
+    pairs the closest few go on; then only what the groups found so far leave apart is compared, where texts of large entries and
+    of more pairs meet again and in tiles, until no entry holds an unseen pair of two groups. So no group is expanded into all its pairs. Texts without words are one node. Empty tables give empty results.
     """
     docs = plain(docs, "doc_id", "text")
     n = docs.count()
@@ -436,7 +469,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     own = checkpoint(_marked(docs, _words(bits, segments)))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "words")
     nodes = checkpoint(own.groupBy("fp").agg(F.min(order).alias("first")))
-    tables = max(1, -(-n * segments * (bits + 1) // ENTRIES))
+    tables, close, in_all = max(1, -(-n * segments * (bits + 1) // ENTRIES)), CLOSE, CLOSE_IN_ALL
 
     def enter(batch: pa.RecordBatch) -> pa.Table:
         fps = batch.column(0).to_numpy()
@@ -444,13 +477,18 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         return pa.Table.from_batches([_entries(fps[at : at + _TEXTS], words[at : at + _TEXTS], bits, segments, tables) for at in range(0, len(fps), _TEXTS)])
 
     entries = map_batches(spread(nodes.select("fp", "first.words")), enter, "table bigint, keys binary, fps binary, places binary")
-    met = checkpoint(entries.groupBy("table").applyInArrow(lambda t: _texts_met(t, radius), "kind int, a bigint, b bigint"))
+    met = checkpoint(entries.groupBy("table").applyInArrow(lambda t: _texts_met(t, radius, close), "kind int, a bigint, b bigint"))
     some = lambda c: nodes.select(F.col("fp").alias(c), F.slice("first.words", 1, COARSE_WORDS).alias(f"_{c}"))
     long = lambda c: nodes.select(F.col("fp").alias(c), F.col("first.words").alias(f"_{c}"))
     apart = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    pairs = met.where("kind = 0").select("a", "b").distinct().join(some("a"), "a").join(some("b"), "b").where(apart <= coarse).select("a", "b")
+    # a text's pairs are as many as its entries, or the texts of a large one: only its closest go on, those beyond meet a second time
+    head = F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(int(_HEAD))))
+    seen = checkpoint(met.where("kind = 0").select("a", "b").distinct().withColumn("apart", head))
+    crowded = _ends(seen).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > in_all).select(F.col("a").alias("fp"))
+    near = _closest_pairs(seen, in_all, F.xxhash64(F.col("a").bitwiseXOR(F.col("b"))))
+    pairs = near.join(some("a"), "a").join(some("b"), "b").where(apart <= coarse).select("a", "b")
     pairs = checkpoint(pairs.join(long("a"), "a").join(long("b"), "b").withColumn("apart", apart).where(F.col("apart") <= whole).select("a", "b", "apart"))
-    shared = met.where("kind = 1").select(F.col("b").alias("fp")).distinct()
+    shared = met.where("kind = 1").select(F.col("b").alias("fp")).unionByName(crowded).distinct()
     wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).unionByName(shared).distinct()
     wanted = nodes.join(wanted, "fp", "left_semi").select("fp", F.coalesce(F.col("first.id").cast("string"), F.lit("null")).alias("key"), F.col("first.digest").alias("digest"))
 
@@ -461,15 +499,13 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     sets = checkpoint(map_batches(texts.select("fp", "text"), collect_shingles, "fp bigint, shingles array<bigint>").dropDuplicates(["fp"]))
     # the closest pairs of each text come first and join most of every group; then the closest pair of each two groups; then all
     # pairs that still lead from group to group
-    ends = pairs.select("a", "b", "apart").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
-    closest = ends.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("_n") <= FIRST)
-    first = checkpoint(closest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    first = checkpoint(_closest_pairs(pairs, FIRST, "b"))
     links = checkpoint(_similar(first, sets, similarity))
     so_far = connected_components(links)
     label = lambda parts, c: parts.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     of = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c))
     between = lambda found, parts: found.join(label(parts, "a"), "a", "left").join(label(parts, "b"), "b", "left").where(of("a") != of("b"))
-    # the texts of large entries meet a second time, with the labels of the groups found so far
+    # the texts of large entries and those with more pairs meet a second time, with the labels of the groups found so far
     large = checkpoint(shared.join(nodes.select("fp", "first.words"), "fp").join(label(so_far, "fp"), "fp", "left").select("fp", of("fp").alias("label"), "words"))
     parts_of, side = max(1, -(-large.count() * segments * (bits + 1) // LABELLED_ENTRIES)), _SIDE
 
